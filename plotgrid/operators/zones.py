@@ -17,6 +17,7 @@ from pyspark.sql import Window
 
 from plotgrid.functions import geometry as g
 from plotgrid.operators.sizes import broadcast_if_small
+from plotgrid.session import cut_lineage
 
 LEVEL_FACTOR = 16
 LEVELS = 5
@@ -127,7 +128,8 @@ def zone_pairs(
     shuffle by window, where adaptive execution splits crowded windows of ``df``.
     """
     columns = keep if keep is not None else [c for c in df.columns if c != "zone"]
-    lookup = zone_windows(zones, key, cell).withColumnRenamed(key, "zone")
+    # Kept as a table: the size check then reads it instead of building it twice.
+    lookup = cut_lineage(zone_windows(zones, key, cell).withColumnRenamed(key, "zone"), "windows")
     lookup = broadcast_if_small(lookup)
     joined = with_window_key(df, cell).join(lookup, ["level", "wx", "wy"])
     size = _cell_size(F.col("level"), cell)
