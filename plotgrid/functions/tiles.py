@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
-from plotgrid.functions import kernels, projections, wkb
+from plotgrid.functions import kernels, projections
 
 # The latitude limit of the square web map, and the tile grid.
 MAX_LATITUDE = 85.05112878
@@ -76,44 +76,49 @@ def _tile_space(extent: int, buffer: int):
         px = (shapes.x - (col * size - WORLD / 2)[owner]) / size[owner] * extent
         py = ((WORLD / 2 - row * size)[owner] - shapes.y) / size[owner] * extent
         # Halves go up (as floor(v + 1/2)), which both engines of the checks can repeat.
-        px, py = np.floor(px + 0.5), np.floor(py + 0.5)
-        low, high = -float(buffer), float(extent + buffer)
-        values: list = [[] for _ in range(shapes.n)]
-        part_now = [-1] * shapes.n
-        for r in range(len(shapes.ring_len)):
-            span = slice(shapes.ring_start[r], shapes.ring_start[r] + shapes.ring_len[r])
-            ring = _clip_ring(np.stack([px[span], py[span]], axis=1), low, high)
-            geom, part = shapes.ring_geom[r], shapes.ring_part[r]
-            if ring is None:
-                if not shapes.ring_hole[r]:
-                    part_now[geom] = -1
-                continue
-            if not shapes.ring_hole[r]:
-                values[geom].append([ring])
-                part_now[geom] = part
-            elif part_now[geom] == part:
-                values[geom][-1].append(ring)
-        return wkb.from_lists([v or None for v in values])
+        xy = np.floor(np.stack([px, py], axis=1) + 0.5)
+        return _cut_rings(shapes, xy, -float(buffer), float(extent + buffer))
 
     return g._once(to_tile)
 
 
-def _clip_ring(ring: np.ndarray, low: float, high: float):
-    """Cut a closed ring to the square [low, high]; None when no area is left."""
-    if ring.min() < low or ring.max() > high:
-        for axis, limit, keep_above in ((0, low, True), (0, high, False), (1, low, True), (1, high, False)):
-            ring = _half_plane(ring, axis, limit, keep_above)
-            if ring is None:
-                return None
-        ring = np.floor(ring + 0.5)
-    moved = np.concatenate(([True], np.any(ring[1:] != ring[:-1], axis=1)))
-    ring = ring[moved]
-    if len(ring) < 4:
-        return None
-    x, y = ring[:, 0], ring[:, 1]
-    if np.sum(x[:-1] * y[1:] - x[1:] * y[:-1]) == 0:
-        return None
-    return ring
+def _cut_rings(shapes: kernels.Shapes, xy: np.ndarray, low: float, high: float) -> pa.ListArray:
+    """Cut closed rings to the square [low, high] and drop those left without area."""
+    count = shapes.ring_len.copy()
+    outside = ((xy < low) | (xy > high)).any(axis=1)
+    pieces, done = [], 0
+    for r in np.unique(shapes.point_ring[outside]):
+        begin = shapes.ring_start[r]
+        ring = _clip_ring(xy[begin:begin + shapes.ring_len[r]], low, high)
+        pieces += [xy[done:begin], ring]
+        done, count[r] = begin + shapes.ring_len[r], len(ring)
+    xy = np.concatenate([*pieces, xy[done:]])
+
+    owner = np.repeat(np.arange(len(count)), count)
+    moved = np.ones(len(xy), bool)
+    moved[1:] = (owner[1:] != owner[:-1]) | (xy[1:] != xy[:-1]).any(axis=1)
+    xy, owner = xy[moved], owner[moved]
+    count = np.bincount(owner, minlength=len(count))
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    a, b = xy[same], xy[same + 1]
+    twice = np.bincount(owner[same], a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1], minlength=len(count))
+    keep = (count >= 4) & (twice != 0)
+    # A hole goes with its shell.
+    shell_kept = np.zeros(len(shapes.part_geom), bool)
+    shell_kept[shapes.ring_part[keep & ~shapes.ring_hole]] = True
+    keep &= shell_kept[shapes.ring_part]
+    rings = np.bincount(shapes.ring_part[keep], minlength=len(shell_kept))[shell_kept]
+    parts = np.bincount(shapes.part_geom[shell_kept], minlength=shapes.n)
+    points = keep[owner]
+    return kernels.nest(xy[points, 0], xy[points, 1], count[keep], rings, parts, parts == 0)
+
+
+def _clip_ring(ring: np.ndarray, low: float, high: float) -> np.ndarray:
+    for axis, limit, keep_above in ((0, low, True), (0, high, False), (1, low, True), (1, high, False)):
+        ring = _half_plane(ring, axis, limit, keep_above)
+        if not len(ring):
+            break
+    return np.floor(ring + 0.5)
 
 
 def _half_plane(ring: np.ndarray, axis: int, limit: float, keep_above: bool):
@@ -128,7 +133,7 @@ def _half_plane(ring: np.ndarray, axis: int, limit: float, keep_above: bool):
             t = (bound - value[i]) / (value[i + 1] - value[i])
             kept.append(ring[i] + t * (ring[i + 1] - ring[i]))
     if len(kept) < 3:
-        return None
+        return np.zeros((0, 2))
     kept.append(kept[0])
     return np.array(kept)
 
