@@ -25,3 +25,23 @@ def with_row_number(df: DataFrame, lead: list[str], rest: list[str], name: str)
         .withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("bigint"))
         .drop("_in", "_before")
     )
+
+
+def previous_row(df: DataFrame, keys: list[str], ts: str, order: list[str], columns: list[str], width: float) -> DataFrame:
+    """Append ``prev_<column>``: the values of the row before, per key in ``order``.
+
+    A key may hold a large share of all rows, so rows are ordered inside time buckets of
+    ``width`` and only the last row of each bucket is handed to the next one. ``order``
+    must start with ``ts`` (or follow it).
+    """
+    bucketed = df.withColumn("_bucket", F.floor(F.col(ts) / width))
+    tails = bucketed.groupBy(*keys, "_bucket").agg(
+        F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail")
+    )
+    over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
+    handed = tails.select(*keys, "_bucket", F.lag("_tail").over(over_buckets).alias("_handed"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    near = bucketed.withColumn("_near", F.lag(F.struct(*columns)).over(inside))
+    joined = near.join(handed, [*keys, "_bucket"], "left")
+    before = F.coalesce(F.col("_near"), F.col("_handed"))
+    return joined.withColumns({f"prev_{c}": before[c] for c in columns}).drop("_bucket", "_near", "_handed")
