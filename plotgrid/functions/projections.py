@@ -87,6 +87,10 @@ def laea_inverse(east, north):
         + (23 * E2**2 / 360 + 251 * E2**3 / 3780) * np.sin(4 * beta)
         + (761 * E2**3 / 45360) * np.sin(6 * beta)
     )
+    # One Newton step removes the series' remainder of about 1e-9 degrees.
+    s = np.sin(phi)
+    slope = 2 * (1 - E2) * np.cos(phi) / (1 - E2 * s * s) ** 2
+    phi = phi + (_QP * np.sin(beta) - _authalic_q(s)) / slope
     return LAEA_LON0 + np.degrees(np.where(rho > 0, lam, 0.0)), np.degrees(phi)
 
 

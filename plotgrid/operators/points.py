@@ -71,6 +71,11 @@ def point_in_polygon_counts(points: DataFrame, buildings: DataFrame) -> DataFram
     )
 
 
+def containing_pairs(polygons: DataFrame, points: DataFrame) -> DataFrame:
+    """Every polygon row beside every point row strictly inside it (columns of both)."""
+    return _containing(polygons, points)
+
+
 def containing_polygons(polygons: DataFrame, points: DataFrame) -> DataFrame:
     """Distinct polygons that strictly contain at least one point."""
     positions = points.select("lon", "lat").distinct()

@@ -61,22 +61,15 @@ def zone_edges(zones: DataFrame, key: str) -> DataFrame:
     return edges.select(key, "edge", "edge.*")
 
 
-def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | None = None) -> DataFrame:
-    """Lookup ``key, level, wx, wy, edges, inside``: windows that meet each zone.
+def edge_cells(edges: DataFrame, size: Column) -> DataFrame:
+    """Append ``row, column`` of every grid cell a segment (x0, y0, x1, y1) touches.
 
-    ``edges`` holds the zone's segments in the window (NULL when there are none) and
-    ``inside`` tells whether the window's anchor point is in the zone.
+    The walk goes row by row and takes only the columns passed inside each row, so a long
+    slanted segment lists the cells along it and not those of its whole box.
     """
-    grid = F.explode(F.array(*[F.lit(v) for v in (levels or range(LEVELS))]))
-    edges = zone_edges(zones, key).withColumn("level", grid).withColumn("size", _cell_size(F.col("level"), cell))
-    size = F.col("size")
     low_y, high_y = F.least("y0", "y1"), F.greatest("y0", "y1")
     low_x, high_x = F.least("x0", "x1"), F.greatest("x0", "x1")
-
-    # Cell rows an edge passes, then the cell columns it passes inside that row.
-    rows = edges.withColumn("row", F.explode(F.sequence(
-        F.ceil(low_y / size) - 1, F.floor(high_y / size)
-    )))
+    rows = edges.withColumn("row", F.explode(F.sequence(F.ceil(low_y / size) - 1, F.floor(high_y / size))))
     slack = size * 1e-9
     slope = (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
     at_floor = F.col("x0") + slope * (F.greatest(F.col("row") * size, low_y) - F.col("y0"))
@@ -84,10 +77,22 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
     flat = F.col("y0") == F.col("y1")
     left = F.when(flat, low_x).otherwise(F.greatest(low_x, F.least(at_floor, at_roof) - slack))
     right = F.when(flat, high_x).otherwise(F.least(high_x, F.greatest(at_floor, at_roof) + slack))
-    cells = rows.withColumns({"left": left, "right": right}).select(
-        key, "level", "edge", "row",
-        F.explode(F.sequence(F.ceil(F.col("left") / size) - 1, F.floor(F.col("right") / size))).alias("column"),
-    )
+    return rows.withColumns({"_left": left, "_right": right}).withColumn("column", F.explode(
+        F.sequence(F.ceil(F.col("_left") / size) - 1, F.floor(F.col("_right") / size))
+    )).drop("_left", "_right")
+
+
+def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | None = None) -> DataFrame:
+    """Lookup ``key, level, wx, wy, edges, inside``: windows that meet each zone.
+
+    ``edges`` holds the zone's segments in the window (NULL when there are none) and
+    ``inside`` tells whether the window's anchor point is in the zone.
+    """
+    grid = F.explode(F.array(*[F.lit(v) for v in (levels or range(LEVELS))]))
+    edges = zone_edges(zones, key).withColumn("level", grid).withColumn("size", _cell_size(F.col("level"), cell))
+    size = F.col("size")
+    low_y, high_y = F.least("y0", "y1"), F.greatest("y0", "y1")
+    cells = edge_cells(edges, size).select(key, "level", "edge", "row", "column")
     # A window covers the cells (wx, wy) to (wx + 1, wy + 1).
     border = cells.select(
         key, "level", "edge",
@@ -96,7 +101,7 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
     border = border.groupBy(key, "level", "wx", "wy").agg(F.collect_set("edge").alias("edges"))
 
     # Anchors inside the zone: between odd and even crossings of a horizontal line.
-    lines = edges.filter(~flat).withColumn("wy", F.explode(F.sequence(
+    lines = edges.filter(F.col("y0") != F.col("y1")).withColumn("wy", F.explode(F.sequence(
         F.floor(low_y / size) - 1, F.floor(high_y / size)
     ))).withColumn("line", (F.col("wy") + ANCHOR_Y) * size)
     crossings = lines.filter(

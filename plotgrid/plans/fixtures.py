@@ -172,3 +172,38 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 2 END").alias("minimum"),
         (F.col("value") * 4).alias("maximum"),
     )
+
+
+def linework(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building drawings, one block per order on a lattice, lines not cut where they meet.
+
+    Modulo 3: a square with two middle lines and a dead end; a square with a diagonal; a
+    square with a separate square inside joined by nothing. Even keys also have a building
+    point in the lower left (inside the inner square for the last kind).
+    """
+    k = F.col("k")
+    s = 1 / 2048
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k")).withColumns({
+        "x": (k % 4096) / 1024, "y": F.floor(k / 4096) / 1024,
+    })
+    x, y = F.col("x"), F.col("y")
+
+    def line(*points):
+        return F.array(*[g.point(x + dx * s, y + dy * s) for dx, dy in points])
+
+    square = line((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    middle = F.array(square, line((0.5, 0), (0.5, 1.25)), line((0, 0.5), (1, 0.5)))
+    diagonal = F.array(square, line((0, 0), (1, 1)), line((0, 0), (0, 1)))
+    nested = F.array(square, line((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75), (0.25, 0.25)))
+    lines = blocks.select(
+        "k", F.posexplode(F.when(k % 3 == 0, middle).when(k % 3 == 1, diagonal).otherwise(nested)).alias("i", "geometry")
+    ).select(
+        "k", F.when(F.col("i") == 0, "Takkant").when(F.col("i") == 1, "Bygningsdelelinje")
+        .otherwise("FiktivBygningsavgrensning").alias("layer"), "geometry",
+    )
+    marks = blocks.filter(k % 2 == 0).select(
+        "k", F.when(k % 4 == 0, "Bygning").otherwise("AnnenBygning").alias("layer"),
+        F.when(k % 3 == 2, line((0.5, 0.5))).otherwise(line((0.375, 0.25))).alias("geometry"),
+    )
+    other = blocks.filter(k % 5 == 0).select("k", F.lit("Veg").alias("layer"), line((-0.5, 0.3), (1.5, 0.3)).alias("geometry"))
+    return lines.unionByName(marks).unionByName(other)
