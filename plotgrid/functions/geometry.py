@@ -84,20 +84,40 @@ def _once(function):
     return function.asNondeterministic()
 
 
+MEASURES = ["area", "perimeter", "cx", "cy"]
+
+
+def _measure_columns(shapes: kernels.Shapes) -> list[pa.Array]:
+    values = kernels.measures(shapes)
+    return [pa.array(values[n], pa.float64(), mask=shapes.null) for n in MEASURES]
+
+
 @lru_cache(maxsize=None)
 def _measure_function(src: int, dst: int):
     @F.arrow_udf("struct<area:double,perimeter:double,cx:double,cy:double>")
     def measured(geometry: pa.Array) -> pa.Array:
         shapes = kernels.Shapes(geometry, projections.projector(src, dst))
-        values = kernels.measures(shapes)
-        return pa.StructArray.from_arrays(
-            [pa.array(values[n], pa.float64(), mask=shapes.null) for n in ("area", "perimeter", "cx", "cy")],
-            names=["area", "perimeter", "cx", "cy"],
-        )
+        return pa.StructArray.from_arrays(_measure_columns(shapes), names=MEASURES)
 
     return _once(measured)
 
 
+@lru_cache(maxsize=None)
+def _checked_measure_function(src: int, dst: int):
+    @F.arrow_udf("struct<valid:boolean,area:double,perimeter:double,cx:double,cy:double>")
+    def checked(geometry: pa.Array) -> pa.Array:
+        valid = pa.array(kernels.valid(kernels.Shapes(geometry)))
+        shapes = kernels.Shapes(geometry, projections.projector(src, dst))
+        return pa.StructArray.from_arrays([valid, *_measure_columns(shapes)], names=["valid", *MEASURES])
+
+    return _once(checked)
+
+
+def checked_measures(geometry: Column, src: int = 4326, dst: int = 4326) -> Column:
+    """struct(valid, area, perimeter, cx, cy): validity and measures in one pass."""
+    return _checked_measure_function(src, dst)(geometry)
+
+
 def measures(geometry: Column, src: int = 4326, dst: int = 4326) -> Column:
     """struct(area, perimeter, cx, cy), measured in the target projection."""
     return _measure_function(src, dst)(geometry)

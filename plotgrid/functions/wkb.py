@@ -75,7 +75,7 @@ def _read(value: bytes):
     try:
         shape, _ = _read_geometry(value, 0)
         return shape
-    except (struct.error, ValueError):
+    except (struct.error, ValueError, IndexError):
         return None
 
 

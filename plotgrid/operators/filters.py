@@ -48,9 +48,8 @@ def bbox_filter_advanced(
     """Count, mean area and perimeter range of valid buildings of medium size in a frame."""
     measured = (
         bbox_intersects(df, frame)
-        .filter(g.is_valid(F.col("geometry")))
-        .withColumn("m", g.measures(F.col("geometry"), 4326, epsg))
-        .filter(F.col("m.area").between(low, high))
+        .withColumn("m", g.checked_measures(F.col("geometry"), 4326, epsg))
+        .filter(F.col("m.valid") & F.col("m.area").between(low, high))
     )
     return area_stats(measured, F.col("m.area"), F.col("m.perimeter"))
 

@@ -35,7 +35,7 @@ def building_polygons(spark, sf_dir):
     return _named(pz.building_polygons(fx.linework(spark, sf_dir)))
 
 
-@query("a11_union_lines", f"""{BLOCKS} SELECT k, CASE k % 3 WHEN 0 THEN 13 WHEN 1 THEN 5 ELSE 8 END AS pieces FROM b""")
+@query("a11_union_lines", f"""{BLOCKS} SELECT k, CAST(CASE k % 3 WHEN 0 THEN 13 WHEN 1 THEN 5 ELSE 8 END AS BIGINT) AS pieces FROM b""")
 def union_lines(spark, sf_dir):
     lines = f.keep_layers(fx.linework(spark, sf_dir), f.LINE_LAYERS)
     pieces = pz.split_segments(pz.line_segments(lines))

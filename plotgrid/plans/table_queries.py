@@ -164,8 +164,8 @@ def _samples(spark, sf_dir):
     )
 
 
-@query("s11_append_samples", """SELECT event_type AS query_id, event_id % 2 + 1 AS benchmark_run,
-event_id % 5 + 5 * (event_id % 2) AS iteration, count(*) AS n FROM events GROUP BY 1, 2, 3""")
+@query("s11_append_samples", """SELECT event_type AS query_id, CAST(event_id % 2 + 1 AS INTEGER) AS benchmark_run,
+CAST(event_id % 5 + 5 * (event_id % 2) AS INTEGER) AS iteration, count(*) AS n FROM events GROUP BY 1, 2, 3""")
 def append_samples(spark, sf_dir):
     path = scratch_folder(spark, "samples")
     rows = _samples(spark, sf_dir).withColumn("run_id", F.col("run_id") % 3)

@@ -43,18 +43,20 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own_folder: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder named by ``spark.checkpoint.dir``.
 
     Where the setting is missing, a local session gets a temporary folder; a cluster
     session must name one, since executors cannot share a machine-local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder.get(spark.sparkContext.applicationId)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="plotgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="plotgrid-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
