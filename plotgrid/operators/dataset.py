@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from plotgrid.operators.conflation import Conflation
 from plotgrid.operators.filters import keep_valid
 from plotgrid.operators.shaping import union_by_name, with_missing_columns
 from plotgrid.operators.sizes import broadcast_if_small
-from plotgrid.operators.zones import zone_pairs
+from plotgrid.operators.zones import zone_lookup, zone_pairs
+from plotgrid.session import cut_lineage
 
 PARTITION_PRECISION = 3
 OPTIONAL_TIMES = {"feature_update_time": "timestamp", "feature_capture_time": "timestamp"}
@@ -38,19 +40,28 @@ def partitioned(df: DataFrame) -> DataFrame:
     return with_partition_key(df).hint("rebalance", "partition_key").sortWithinPartitions("partition_key")
 
 
-def clip_to_regions(frames: list[DataFrame], zones: DataFrame, key: str = "region") -> DataFrame:
+def clip_to_regions(
+    frames: list[DataFrame], zones: DataFrame, key: str = "region", lookup: DataFrame | None = None
+) -> DataFrame:
     """Union of all rows that share a point with a zone, one copy per zone; optional time
     columns are NULL where a source lacks them."""
     filled = [with_missing_columns(df, OPTIONAL_TIMES) for df in frames]
-    return zone_pairs(union_by_name(filled).drop(key), zones, key).withColumnRenamed("zone", key)
+    rows = union_by_name(filled).drop(key)
+    return zone_pairs(rows, zones, key, lookup=lookup).withColumnRenamed("zone", key)
 
 
 def prepare_dataset(fkb: DataFrame, osm: DataFrame, zones: DataFrame, key: str = "region") -> DataFrame:
-    """Clip both sources to all regions at once, key them, and conflate within regions."""
-    def sided(df):
-        return with_partition_key(clip_to_regions([df], zones, key))
+    """Clip both sources to all regions at once, key them, and conflate within regions.
+
+    The clipped sources are kept as tables (the raw layer of the dataset), since the
+    conflation reads them more than once.
+    """
+    lookup = zone_lookup(zones, key)
+
+    def raw(df, name):
+        return cut_lineage(with_partition_key(clip_to_regions([df], zones, key, lookup)), name)
 
-    return Conflation(sided(fkb), sided(osm), by=(key,)).merged()
+    return Conflation(raw(fkb, "raw-fkb"), raw(osm, "raw-osm"), by=(key,)).merged()
 
 
 def rotation_matrix(angle: Column, cx: Column, cy: Column, target_x: Column, target_y: Column) -> dict[str, Column]:

@@ -23,3 +23,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int
     if row_bytes:
         rows = min(rows, (64 << 20) // row_bytes)
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small scan at least as many partitions as there are cores.
+
+    One small file arrives as one partition, which would leave all later work to one
+    core. A scan that already has enough partitions is returned as it is, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -98,7 +98,6 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
         key, "level", "edge",
         F.explode(F.expr("array(column - 1, column)")).alias("wx"), "row",
     ).select(key, "level", "edge", "wx", F.explode(F.expr("array(row - 1, row)")).alias("wy"))
-    border = border.groupBy(key, "level", "wx", "wy").agg(F.collect_set("edge").alias("edges"))
 
     # Anchors inside the zone: between odd and even crossings of a horizontal line.
     lines = edges.filter(F.col("y0") != F.col("y1")).withColumn("wy", F.explode(F.sequence(
@@ -116,26 +115,37 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
     inside = spans.filter(first <= last).select(
         key, "level", F.explode(F.sequence(first, last)).alias("wx"), "wy", F.lit(True).alias("inside"),
     )
-    return (
-        border.join(inside, [key, "level", "wx", "wy"], "full_outer")
-        .withColumn("inside", F.coalesce("inside", F.lit(False)))
+    # A window's edges are at most its zone's own edges, so a list never outgrows the
+    # geometry value it comes from.
+    gathered = border.unionByName(inside, allowMissingColumns=True).groupBy(key, "level", "wx", "wy").agg(
+        F.collect_set("edge").alias("edges"), F.bool_or(F.coalesce("inside", F.lit(False))).alias("inside"),
     )
+    return gathered.withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")))
+
+
+def zone_lookup(zones: DataFrame, key: str = "region", cell: float = 1 / 64) -> DataFrame:
+    """The window lookup kept as a table (zone key in ``zone``), ready for many joins.
+
+    It is marked for broadcast when a count proves it small; otherwise joins shuffle both
+    sides by window and adaptive execution splits crowded windows of the building side.
+    """
+    lookup = cut_lineage(zone_windows(zones, key, cell).withColumnRenamed(key, "zone"), "windows")
+    return broadcast_if_small(lookup)
 
 
 def zone_pairs(
     df: DataFrame, zones: DataFrame, key: str = "region", cell: float = 1 / 64,
-    geometry: str = "geometry", keep: list[str] | None = None,
+    geometry: str = "geometry", keep: list[str] | None = None, lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join: every row of ``df`` with every zone it shares a point with.
 
     The zone key arrives as ``zone``. ``keep`` names the columns of ``df`` wanted in the
-    result. The lookup is broadcast when a count proves it small; otherwise both sides
-    shuffle by window, where adaptive execution splits crowded windows of ``df``.
+    result. ``lookup`` is a :func:`zone_lookup` of the same zones and cell, where one
+    exists already.
     """
     columns = keep if keep is not None else [c for c in df.columns if c != "zone"]
-    # Kept as a table: the size check then reads it instead of building it twice.
-    lookup = cut_lineage(zone_windows(zones, key, cell).withColumnRenamed(key, "zone"), "windows")
-    lookup = broadcast_if_small(lookup)
+    if lookup is None:
+        lookup = zone_lookup(zones, key, cell)
     joined = with_window_key(df, cell).join(lookup, ["level", "wx", "wy"])
     size = _cell_size(F.col("level"), cell)
     settled = F.col("edges").isNull()

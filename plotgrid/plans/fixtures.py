@@ -6,10 +6,14 @@ and can be compared bit by bit with another engine.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
+from plotgrid.functions import wkb
+from plotgrid.operators.sizes import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rectangle per order: key, attributes, lower-left corner, width and height."""
     k = F.col("k")
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
     return (
-        table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
+        spread(keys, "k")
         .select(
             "k",
             F.concat(F.lit("o"), k.cast("string")).alias("external_id"),
@@ -143,8 +148,9 @@ ZONE_PIECES: list[tuple[str, list[tuple[float, float]]]] = [
 
 def zones(spark: SparkSession) -> DataFrame:
     """Regions as polygons (a fixed small table, like county borders)."""
-    rows = [(r, [[[(float(x), float(y)) for x, y in ring] for ring in rings]]) for r, rings in ZONE_SHAPES.items()]
-    return spark.createDataFrame(rows, f"region string, geometry {g.GEOMETRY}").withColumn(
+    shapes_of = wkb.from_lists([[[np.array(ring, float) for ring in rings]] for rings in ZONE_SHAPES.values()])
+    local = pa.table({"region": list(ZONE_SHAPES), "geometry": shapes_of})
+    return spark.createDataFrame(local, f"region string, geometry {g.GEOMETRY}").withColumn(
         "bbox", g.bounds(F.col("geometry"))
     )
 

@@ -67,7 +67,7 @@ def test_zone_join_equals_brute_force(spark, seed, cell):
 
 def test_zone_join_without_broadcast(spark, sf_dir, monkeypatch):
     wide = zn.spatial_join_counts(fx.buildings(spark, sf_dir), fx.zones(spark)).collect()
-    monkeypatch.setattr(zn, "broadcast_if_small", lambda df: df.hint("merge"))
+    monkeypatch.setattr(zn, "broadcast_if_small", lambda df: df.hint("merge"))  # the large-lookup path
     assert zn.spatial_join_counts(fx.buildings(spark, sf_dir), fx.zones(spark)).collect() == wide
 
 
