@@ -23,9 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rectangle per order: key, attributes, lower-left corner, width and height."""
     k = F.col("k")
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
     return (
-        spread(keys, "k")
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
         .select(
             "k",
             F.concat(F.lit("o"), k.cast("string")).alias("external_id"),
@@ -50,7 +49,7 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shape(df: DataFrame, geometry: Column) -> DataFrame:
     x, y, w, h = (F.col(c) for c in ("minx", "miny", "w", "h"))
-    return df.withColumns({"geometry": geometry, "bbox": g.box(x, y, x + w, y + h)})
+    return spread(df.withColumns({"geometry": geometry, "bbox": g.box(x, y, x + w, y + h)}), "k")
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
