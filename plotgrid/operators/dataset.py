@@ -14,7 +14,7 @@ from plotgrid.operators.conflation import Conflation
 from plotgrid.operators.filters import keep_valid
 from plotgrid.operators.shaping import union_by_name, with_missing_columns
 from plotgrid.operators.sizes import broadcast_if_small
-from plotgrid.operators.zones import zone_lookup, zone_pairs
+from plotgrid.operators.zones import ZoneLookup, zone_lookup, zone_pairs
 from plotgrid.session import cut_lineage
 
 PARTITION_PRECISION = 3
@@ -41,7 +41,7 @@ def partitioned(df: DataFrame) -> DataFrame:
 
 
 def clip_to_regions(
-    frames: list[DataFrame], zones: DataFrame, key: str = "region", lookup: DataFrame | None = None
+    frames: list[DataFrame], zones: DataFrame, key: str = "region", lookup: ZoneLookup | None = None
 ) -> DataFrame:
     """Union of all rows that share a point with a zone, one copy per zone; optional time
     columns are NULL where a source lacks them."""

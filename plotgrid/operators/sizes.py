@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_ITEMS = 1_000_000
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -13,16 +14,20 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int | None = None) -> DataFrame:
-    """Mark a frame for broadcast when a count proves it small, else leave it to a
-    shuffle join (adaptive execution splits skewed partitions there).
+def broadcast_if_small(
+    df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None, total: int = BROADCAST_ITEMS
+) -> DataFrame:
+    """Mark a frame for broadcast when counts prove it small, else leave it to a shuffle
+    join (adaptive execution splits skewed partitions there).
 
-    ``row_bytes`` is the widest row of frames with arrays; it lowers the row bound so
-    that the broadcast stays below about 64 MB.
+    For frames with arrays, ``weight`` is a row's number of array items; their sum must
+    stay within ``total`` as well.
     """
-    if row_bytes:
-        rows = min(rows, (64 << 20) // row_bytes)
-    return F.broadcast(df) if at_most(df, rows) else df
+    if not at_most(df, rows):
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > total:
+        return df
+    return F.broadcast(df)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -11,9 +11,11 @@ window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from plotgrid.functions import geometry as g
 from plotgrid.operators.sizes import broadcast_if_small
@@ -21,6 +23,8 @@ from plotgrid.session import cut_lineage
 
 LEVEL_FACTOR = 16
 LEVELS = 5
+FINE_LEVEL = -1
+CROWDED_EDGES = 128
 # The anchor sits at this share of a window's first cell, away from round coordinates.
 ANCHOR_X, ANCHOR_Y = 0.381966, 0.618034
 EDGE = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -82,11 +86,14 @@ def edge_cells(edges: DataFrame, size: Column) -> DataFrame:
     )).drop("_left", "_right")
 
 
-def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | None = None) -> DataFrame:
+def zone_windows(
+    zones: DataFrame, key: str, cell: float, levels: list[int] | None = None, within: DataFrame | None = None
+) -> DataFrame:
     """Lookup ``key, level, wx, wy, edges, inside``: windows that meet each zone.
 
     ``edges`` holds the zone's segments in the window (NULL when there are none) and
-    ``inside`` tells whether the window's anchor point is in the zone.
+    ``inside`` tells whether the window's anchor point is in the zone. ``within`` (columns
+    ``wx, wy`` of level 0) limits the finer level -1 to those windows' lower-left cells.
     """
     grid = F.explode(F.array(*[F.lit(v) for v in (levels or range(LEVELS))]))
     edges = zone_edges(zones, key).withColumn("level", grid).withColumn("size", _cell_size(F.col("level"), cell))
@@ -98,11 +105,17 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
         key, "level", "edge",
         F.explode(F.expr("array(column - 1, column)")).alias("wx"), "row",
     ).select(key, "level", "edge", "wx", F.explode(F.expr("array(row - 1, row)")).alias("wy"))
+    if within is not None:
+        border = _with_parent(border).join(_parents(within), ["px", "py"], "left_semi").drop("px", "py")
 
     # Anchors inside the zone: between odd and even crossings of a horizontal line.
     lines = edges.filter(F.col("y0") != F.col("y1")).withColumn("wy", F.explode(F.sequence(
         F.floor(low_y / size) - 1, F.floor(high_y / size)
     ))).withColumn("line", (F.col("wy") + ANCHOR_Y) * size)
+    if within is not None:
+        lines = lines.withColumn("py", F.floor(F.col("wy") / LEVEL_FACTOR)).join(
+            _parents(within).select("py").distinct(), "py", "left_semi"
+        ).drop("py")
     crossings = lines.filter(
         (F.col("y0") > F.col("line")) != (F.col("y1") > F.col("line"))
     ).withColumn("at", F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("line") - F.col("y0")) / (F.col("y1") - F.col("y0")))
@@ -112,8 +125,14 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
     }).filter(F.col("nth") % 2 == 1)
     first = F.ceil(F.col("at") / size - ANCHOR_X)
     last = F.floor(F.col("until") / size - ANCHOR_X)
-    inside = spans.filter(first <= last).select(
-        key, "level", F.explode(F.sequence(first, last)).alias("wx"), "wy", F.lit(True).alias("inside"),
+    spans = spans.withColumns({"first": first, "last": last})
+    if within is not None:
+        spans = spans.withColumn("py", F.floor(F.col("wy") / LEVEL_FACTOR)).join(_parents(within), "py").withColumns({
+            "first": F.greatest("first", F.col("px") * LEVEL_FACTOR),
+            "last": F.least("last", F.col("px") * LEVEL_FACTOR + LEVEL_FACTOR - 1),
+        })
+    inside = spans.filter("first <= last").select(
+        key, "level", F.explode(F.sequence("first", "last")).alias("wx"), "wy", F.lit(True).alias("inside"),
     )
     # A window's edges are at most its zone's own edges, so a list never outgrows the
     # geometry value it comes from.
@@ -123,31 +142,77 @@ def zone_windows(zones: DataFrame, key: str, cell: float, levels: list[int] | No
     return gathered.withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")))
 
 
-def zone_lookup(zones: DataFrame, key: str = "region", cell: float = 1 / 64) -> DataFrame:
-    """The window lookup kept as a table (zone key in ``zone``), ready for many joins.
+def _with_parent(df: DataFrame) -> DataFrame:
+    return df.withColumns({"px": F.floor(F.col("wx") / LEVEL_FACTOR), "py": F.floor(F.col("wy") / LEVEL_FACTOR)})
+
+
+def _parents(within: DataFrame) -> DataFrame:
+    return within.select(F.col("wx").alias("px"), F.col("wy").alias("py"))
+
 
-    It is marked for broadcast when a count proves it small; otherwise joins shuffle both
-    sides by window and adaptive execution splits crowded windows of the building side.
+class ZoneLookup(NamedTuple):
+    """Windows of all zones (zone key in ``zone``) and the level 0 windows, if any, whose
+    many edges made a finer level necessary."""
+
+    windows: DataFrame
+    crowded: DataFrame | None
+    cell: float
+
+
+def zone_lookup(zones: DataFrame, key: str = "region", cell: float = 1 / 64) -> ZoneLookup:
+    """The window lookup kept as a table, ready for many joins.
+
+    Where a detailed border (a coastline) puts many edges into one window, that window is
+    also listed on a level sixteen times finer, so that a row never drags a long edge list
+    along. The lookup is marked for broadcast when its rows and edges are proven few;
+    otherwise joins shuffle both sides by window and adaptive execution splits crowded
+    windows of the building side. ``cell`` must be a power of two, which keeps cell
+    numbers of both levels exact.
     """
-    lookup = cut_lineage(zone_windows(zones, key, cell).withColumnRenamed(key, "zone"), "windows")
-    return broadcast_if_small(lookup)
+    if math.frexp(cell)[0] != 0.5:
+        raise ValueError("the cell size must be a power of two")
+    windows = cut_lineage(zone_windows(zones, key, cell).withColumnRenamed(key, "zone"), "windows")
+    crowded = windows.filter((F.col("level") == 0) & (F.size("edges") > CROWDED_EDGES)).select("wx", "wy").distinct()
+    if crowded.isEmpty():
+        crowded = None
+    else:
+        crowded = broadcast_if_small(crowded)
+        fine = zone_windows(zones, key, cell, [FINE_LEVEL], crowded).withColumnRenamed(key, "zone")
+        windows = cut_lineage(windows.unionByName(fine), "windows")
+    return ZoneLookup(broadcast_if_small(windows, weight=F.coalesce(F.size("edges"), F.lit(0))), crowded, cell)
+
+
+def _keyed(df: DataFrame, lookup: ZoneLookup) -> DataFrame:
+    """Window key of each row; small rows in crowded windows take the finer level."""
+    keyed = with_window_key(df, lookup.cell)
+    if lookup.crowded is None:
+        return keyed
+    marks = lookup.crowded.select("wx", "wy", F.lit(0).alias("level"), F.lit(True).alias("_crowded"))
+    size = lookup.cell / LEVEL_FACTOR
+    extent = F.greatest(F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin"))
+    fine = F.col("_crowded").isNotNull() & (extent <= size)
+    return keyed.join(marks, ["level", "wx", "wy"], "left").withColumns({
+        "level": F.when(fine, FINE_LEVEL).otherwise(F.col("level")),
+        "wx": F.when(fine, F.floor(F.col("bbox.xmin") / size)).otherwise(F.col("wx")),
+        "wy": F.when(fine, F.floor(F.col("bbox.ymin") / size)).otherwise(F.col("wy")),
+    }).drop("_crowded")
 
 
 def zone_pairs(
     df: DataFrame, zones: DataFrame, key: str = "region", cell: float = 1 / 64,
-    geometry: str = "geometry", keep: list[str] | None = None, lookup: DataFrame | None = None,
+    geometry: str = "geometry", keep: list[str] | None = None, lookup: ZoneLookup | None = None,
 ) -> DataFrame:
     """Inner join: every row of ``df`` with every zone it shares a point with.
 
     The zone key arrives as ``zone``. ``keep`` names the columns of ``df`` wanted in the
-    result. ``lookup`` is a :func:`zone_lookup` of the same zones and cell, where one
-    exists already.
+    result. ``lookup`` is a :func:`zone_lookup` of the same zones, where one exists
+    already.
     """
     columns = keep if keep is not None else [c for c in df.columns if c != "zone"]
     if lookup is None:
         lookup = zone_lookup(zones, key, cell)
-    joined = with_window_key(df, cell).join(lookup, ["level", "wx", "wy"])
-    size = _cell_size(F.col("level"), cell)
+    joined = _keyed(df, lookup).join(lookup.windows, ["level", "wx", "wy"])
+    size = _cell_size(F.col("level"), lookup.cell)
     settled = F.col("edges").isNull()
     exact = g.meets_zone(
         F.when(~settled, F.col(geometry)), F.col("edges"),

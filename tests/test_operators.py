@@ -46,8 +46,10 @@ def kernel_shape(parts):
     return kernels.Shapes(wkb.from_lists([[[np.array(r, float) for r in part] for part in parts]]))
 
 
-@pytest.mark.parametrize("seed, cell", [(1, 1 / 64), (2, 1 / 4), (3, 1.0)])
-def test_zone_join_equals_brute_force(spark, seed, cell):
+@pytest.mark.parametrize("seed, cell, crowded", [(1, 1 / 64, 128), (2, 1 / 4, 2), (3, 1.0, 0)])
+def test_zone_join_equals_brute_force(spark, monkeypatch, seed, cell, crowded):
+    """Also with the finer level for windows of many edges, down to every border window."""
+    monkeypatch.setattr(zn, "CROWDED_EDGES", crowded)
     rng = random.Random(seed)
     zones = [(f"z{i}", blob(rng, rng.uniform(0, 4), rng.uniform(0, 4), rng.uniform(0.1, 2), rng.randint(3, 24))) for i in range(8)]
     zones.append(("holed", [[closed([(0, 0), (4, 0), (4, 4), (0, 4)]), closed([(1, 1), (1, 3), (3, 3), (3, 1)])]]))
@@ -67,10 +69,16 @@ def test_zone_join_equals_brute_force(spark, seed, cell):
 
 def test_zone_join_without_broadcast(spark, sf_dir, monkeypatch):
     wide = zn.spatial_join_counts(fx.buildings(spark, sf_dir), fx.zones(spark)).collect()
-    monkeypatch.setattr(zn, "broadcast_if_small", lambda df: df.hint("merge"))  # the large-lookup path
+    monkeypatch.setattr(zn, "broadcast_if_small", lambda df, **_: df.hint("merge"))  # the large-lookup path
+    monkeypatch.setattr(zn, "CROWDED_EDGES", 1)
     assert zn.spatial_join_counts(fx.buildings(spark, sf_dir), fx.zones(spark)).collect() == wide
 
 
+def test_zone_cell_must_be_a_power_of_two(spark, sf_dir):
+    with pytest.raises(ValueError):
+        zn.zone_lookup(fx.zones(spark), cell=0.01)
+
+
 def test_zones_without_buildings_are_absent_and_borders_count_twice(spark):
     zones = frame(spark, [("a", rect(0, 0, 1, 1)), ("b", rect(1, 0, 2, 1)), ("c", rect(8, 8, 9, 9))], "region string")
     b = frame(spark, [("x", rect(0.9, 0.2, 1.1, 0.3)), ("y", rect(1.0, 0.5, 1.2, 0.6)), ("z", rect(0.1, 0.1, 0.2, 0.2))])
