@@ -1,11 +1,11 @@
 """Polygons from linework, by joins over half-edges.
 
-Lines are cut where they meet, dead ends are removed, and every remaining segment becomes
-two half-edges. A half-edge's successor around the face on its left comes from the order
-of directions at its end point. The rings of that successor table are found by pointer
-doubling: each round joins the table with itself and doubles the reach, so a ring of n
-edges takes log2(n) rounds, however many rings there are and without gathering any
-connected part of the drawing in one task.
+Lines are cut where they meet, and every segment becomes two half-edges. A half-edge's
+successor around the face on its left comes from the order of directions at its end point.
+The rings of that successor table are found by pointer doubling: each round joins the table
+with itself and doubles the reach, so a ring of n edges takes log2(n) rounds, however many
+rings there are and without gathering any connected part of the drawing in one task. Dead
+ends and bridges show as segments with the same ring on both sides and go all at once.
 """
 
 from __future__ import annotations
@@ -106,19 +106,6 @@ def half_edges(segments: DataFrame) -> DataFrame:
     return cut_lineage(numbered.select(F.explode(F.array(there, back)).alias("e")).select("e.*"), "edges")
 
 
-def without_dead_ends(edges: DataFrame) -> DataFrame:
-    """Remove edges at points with a single edge until none is left."""
-    while True:
-        loose = edges.groupBy("ux", "uy").agg(F.count("*").alias("n")).filter("n = 1").select("ux", "uy")
-        loose = cut_lineage(loose, "loose")
-        if loose.isEmpty():
-            return edges
-        target = loose.select(F.col("ux").alias("vx"), F.col("uy").alias("vy"))
-        edges = cut_lineage(
-            edges.join(loose, ["ux", "uy"], "left_anti").join(target, ["vx", "vy"], "left_anti"), "edges"
-        )
-
-
 def successors(edges: DataFrame) -> DataFrame:
     """``id, next``: the next half-edge around the face on the left."""
     around = Window.partitionBy("ux", "uy").orderBy(F.atan2(F.col("vy") - F.col("uy"), F.col("vx") - F.col("ux")), "id")
@@ -159,14 +146,18 @@ def _ring_places(labels: DataFrame, rounds: int) -> DataFrame:
 
 
 def faces(edges: DataFrame) -> DataFrame:
-    """Rings ``label, ring, twice`` (twice the signed area) without bridge edges."""
-    while True:
+    """Rings ``label, ring, twice`` (twice the signed area).
+
+    A segment with the same ring on both sides bounds no face: it is part of a dead end,
+    of a free line or of a bridge between parts. All such segments go at once, however
+    long their chains are, and the rings are traced anew.
+    """
+    labels, rounds = ring_labels(successors(edges))
+    twin = labels.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("label").alias("twin_label"))
+    loose = cut_lineage(labels.join(twin, "id").filter("label = twin_label").select("id"), "loose")
+    if not loose.isEmpty():
+        edges = cut_lineage(edges.join(loose, "id", "left_anti"), "edges")
         labels, rounds = ring_labels(successors(edges))
-        twin = labels.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("label").alias("twin_label"))
-        bridges = cut_lineage(labels.join(twin, "id").filter("label = twin_label").select("id"), "bridges")
-        if bridges.isEmpty():
-            break
-        edges = without_dead_ends(cut_lineage(edges.join(bridges, "id", "left_anti"), "edges"))
     places = _ring_places(labels, rounds)
     placed = edges.join(labels.select("id", "label"), "id").join(places, "id")
     return placed.groupBy("label").agg(
@@ -189,8 +180,7 @@ def _twice_area(ring: Column) -> Column:
 
 def polygonize(lines: DataFrame, column: str = "geometry") -> DataFrame:
     """All faces of the linework as polygons (geometry, bbox), holes included."""
-    edges = without_dead_ends(half_edges(split_segments(line_segments(lines, column))))
-    rings = cut_lineage(faces(edges), "faces")
+    rings = cut_lineage(faces(half_edges(split_segments(line_segments(lines, column)))), "faces")
     shells = rings.filter("twice > 0").select(
         "label", F.array(F.array("ring")).alias("geometry"), "twice"
     ).withColumn("bbox", g.bounds(F.col("geometry")))

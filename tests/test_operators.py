@@ -171,6 +171,29 @@ def test_conflation_equals_brute_force(spark):
     assert c.summary().first().asDict() == split.asDict()
 
 
+def copies(spark, n, prefix, square):
+    ids = spark.range(n).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("external_id"))
+    x0, y0, x1, y1 = square
+    return ids.withColumns({"geometry": g.rectangle(x0, y0, x1, y1), "bbox": g.box(x0, y0, x1, y1)})
+
+
+def test_many_equal_buildings_do_not_multiply(spark, monkeypatch):
+    """Half of all rows are one building: its pairs (4 * 10^8) are counted, never listed."""
+    n, square = 20_000, (10.011, 60.011, 10.012, 60.012)
+    rest = [(f"r{i}", rect(10.1 + i / 50, 60.1, 10.1001 + i / 50, 60.1001)) for i in range(20)]
+    fkb = copies(spark, n, "f", square).unionByName(frame(spark, rest))
+    osm = copies(spark, n, "o", square).unionByName(frame(spark, rest))
+    c = cf.Conflation(fkb, osm)
+    assert c.shapes.count() == 21
+    assert c.summary().first().asDict() == {"osm_only": 0, "fkb_only": 0, "overlapping": n * n + 20}
+    assert c.merged().count() == n + 20
+
+    monkeypatch.setattr(pt, "POINT_ROWS", 0)
+    points = spark.range(n).select(F.col("id").alias("point_id"), F.lit(10.0115).alias("lon"), F.lit(60.0115).alias("lat"))
+    counts = pt.point_in_polygon_counts(points, fkb.drop("external_id"))
+    assert counts.groupBy("n_buildings").count().collect()[0].asDict() == {"n_buildings": n, "count": n}
+
+
 def test_conflation_misses_across_cell_borders(spark):
     """Equal cells are the rule: a pair on both sides of a border is reported twice."""
     fkb = frame(spark, [("f", rect(10.0098, 60.001, 10.01005, 60.002))])
