@@ -8,14 +8,13 @@ Arrow functions get a NULL geometry for such rows, so only open cases cross to P
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotgrid.functions import kernels, projections, wkb
+from plotgrid.functions.sessions import per_application
 
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
@@ -92,7 +91,7 @@ def _measure_columns(shapes: kernels.Shapes) -> list[pa.Array]:
     return [pa.array(values[n], pa.float64(), mask=shapes.null) for n in MEASURES]
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _measure_function(src: int, dst: int):
     @F.arrow_udf("struct<area:double,perimeter:double,cx:double,cy:double>")
     def measured(geometry: pa.Array) -> pa.Array:
@@ -102,7 +101,7 @@ def _measure_function(src: int, dst: int):
     return _once(measured)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _checked_measure_function(src: int, dst: int):
     @F.arrow_udf("struct<valid:boolean,area:double,perimeter:double,cx:double,cy:double>")
     def checked(geometry: pa.Array) -> pa.Array:
@@ -136,7 +135,7 @@ def centroid(geometry: Column) -> Column:
     return F.struct(m["cx"].alias("x"), m["cy"].alias("y"))
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _reproject_function(src: int, dst: int):
     @F.arrow_udf(GEOMETRY)
     def reprojected(geometry: pa.Array) -> pa.Array:
@@ -150,7 +149,7 @@ def reproject(geometry: Column, src: int, dst: int) -> Column:
     return geometry if src == dst else _reproject_function(src, dst)(geometry)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _equal_area_centroid():
     @F.arrow_udf("struct<x:double,y:double>")
     def center(geometry: pa.Array) -> pa.Array:
@@ -169,7 +168,7 @@ def equal_area_centroid(geometry: Column) -> Column:
     return _equal_area_centroid()(geometry)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _valid_function():
     @F.arrow_udf("boolean")
     def valid(geometry: pa.Array) -> pa.Array:
@@ -182,7 +181,7 @@ def is_valid(geometry: Column) -> Column:
     return _valid_function()(geometry)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _box_test():
     @F.arrow_udf("boolean")
     def meets_box(geometry: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
@@ -206,7 +205,7 @@ def intersects_box(geometry: Column, bbox: Column, frame: Column) -> Column:
     return boxes_overlap(bbox, frame) & (settled | F.coalesce(exact, F.lit(False)))
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _pair_function():
     @F.arrow_udf("struct<meets:boolean,common:double,area_a:double,area_b:double>")
     def related(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -228,7 +227,7 @@ def pair_relation(a: Column, b: Column) -> Column:
     return _pair_function()(a, b)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _intersects_function():
     @F.arrow_udf("boolean")
     def meets(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -248,7 +247,7 @@ def iou(relation: Column) -> Column:
     return relation["common"] / F.nullif(union, F.lit(0.0))
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _contains_function():
     @F.arrow_udf("boolean")
     def holds(geometry: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
@@ -265,7 +264,7 @@ def contains(geometry: Column, x: Column, y: Column) -> Column:
     return _contains_function()(geometry, x, y)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _inner_point_function():
     @F.arrow_udf("struct<x:double,y:double>")
     def inner(geometry: pa.Array) -> pa.Array:
@@ -281,7 +280,7 @@ def point_on_surface(geometry: Column) -> Column:
     return _inner_point_function()(geometry)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _zone_test():
     @F.arrow_udf("boolean")
     def meets_zone(geometry: pa.Array, edges: pa.Array, ax: pa.Array, ay: pa.Array, inside: pa.Array) -> pa.Array:
@@ -297,7 +296,7 @@ def meets_zone(geometry: Column, edges: Column, ax: Column, ay: Column, inside:
     return _zone_test()(geometry, edges, ax, ay, inside)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _decode_function():
     @F.arrow_udf(GEOMETRY)
     def decoded(value: pa.Array) -> pa.Array:
@@ -311,7 +310,7 @@ def from_wkb(value: Column) -> Column:
     return _decode_function()(value)
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _encode_function():
     @F.arrow_udf("binary")
     def encoded(geometry: pa.Array) -> pa.Array:

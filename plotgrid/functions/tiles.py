@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
 from plotgrid.functions import kernels, projections
+from plotgrid.functions.sessions import per_application
 
 # The latitude limit of the square web map, and the tile grid.
 MAX_LATITUDE = 85.05112878
@@ -65,7 +65,7 @@ def tile_bounds(z: Column, x: Column, y: Column) -> Column:
     return g.box(x / n * 360.0 - 180.0, lat(y + 1), (x + 1) / n * 360.0 - 180.0, lat(y))
 
 
-@lru_cache(maxsize=None)
+@per_application
 def _tile_space(extent: int, buffer: int):
     @F.arrow_udf(g.GEOMETRY)
     def to_tile(geometry: pa.Array, z: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
