@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +44,56 @@ def with_columns_replaced(df: DataFrame, row: str, added: dict[str, Column]) ->
     taken = {name.lower() for name in added}
     kept = [F.col(row).getField(n).alias(n) for n in names if n.lower() not in taken]
     return df.select(*kept, *(c.alias(n) for n, c in added.items()))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(doc_id, text, label): at most ``per_class`` training documents of each label 0 and 1.
+
+    Rows that ``held_out`` keeps back, labels other than 0 and 1, and documents labelled both ways are left
+    out. The ids are chosen by hash before any text is read, so the choice is repeatable and
+    the broadcast holds ``2 * per_class`` ids at most.
+    """
+    known = (
+        labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other"))
+        .where(F.col("label") == F.col("other")).select("doc_id", "label")
+    )
+    chosen = None
+    for value in (0, 1):
+        part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        chosen = part if chosen is None else chosen.union(part)
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "label")
+    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
+
+
+def calibration_fold(doc_id: Column) -> Column:
+    """A third of the training rows, kept from the model and used to calibrate it."""
+    return F.xxhash64(F.lit("calibration"), doc_id) % 3 == 0
+
+
+def fit_logistic(x, y, ridge: float = 1e-2) -> tuple[float, float]:
+    """(slope, intercept) of a logistic curve with a slope of at least 0; the base rate
+    alone where only one class, or nothing, is given."""
+    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+    base = (y.sum() + 1) / (len(y) + 2)
+    flat = (0.0, float(np.log(base / (1 - base))))
+    if len(y) == 0 or y.min() == y.max() or x.std() == 0:
+        return flat
+    mean, scale = x.mean(), x.std()
+    z = np.stack([(x - mean) / scale, np.ones_like(x)], axis=1)
+    w = np.array([0.0, flat[1]])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (p - y) + ridge * np.array([w[0], 0.0])
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-9])
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    if w[0] <= 0:
+        return flat
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+
+
+def logistic(x, curve: tuple[float, float]):
+    return 1 / (1 + np.exp(-np.clip(np.asarray(x, dtype=float) * curve[0] + curve[1], -50, 50)))
