@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from plotgrid.llm import decontamination, line_dedup, quality, simhash, toxicity  # noqa: F401  (register their queries)
+from plotgrid.llm import decontamination, language, line_dedup, quality, simhash, toxicity  # noqa: F401  (register their queries)
 from plotgrid.llm.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -18,8 +18,8 @@ from plotgrid.session import cut_lineage
 PER_CLASS = 6_000
 PRIOR = 200.0
 STEMS = (4, 5, 6)
-MIN_Z = 3.0
-MIN_LOG_ODDS = 1.5
+MIN_Z = 4.0
+MIN_LOG_ODDS = 2.0
 DRIFT = 0.25
 SIGNIFICANCE = 1e-3
 ACCEPT = 0.5
@@ -39,33 +39,34 @@ class ToxicModel:
 
 
 def token_log_odds(sample: DataFrame) -> DataFrame:
-    """(token, stem, score, z, clean): log-odds of words and word stems between the classes.
+    """(token, stem, score, z): log-odds of words and word stems between the classes.
 
-    Counts carry an informative Dirichlet prior: ``PRIOR`` tokens spread as in both classes
-    together, so that rare tokens stay near 0. z is the log-odds over its standard deviation.
+    A document counts once for each of its tokens, so a text that repeats itself is one
+    witness. The log-odds carry an informative Dirichlet prior: ``PRIOR`` counts spread as in
+    both classes together, so that rare tokens stay near 0. z is the signed root of the
+    likelihood ratio, which holds for small counts too.
     """
-    counted = sample.select("label", F.explode(words_of(F.col("text"))).alias("word"))
+    words = sample.select("doc_id", "label", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
     stems = F.array(
         F.struct(F.col("word").alias("token"), F.lit(0).alias("stem")),
         *[F.when(F.length("word") > n, F.struct(F.substring("word", 1, n).alias("token"), F.lit(n).alias("stem"))) for n in STEMS],
     )
     tokens = (
-        counted.groupBy("word").agg(
-            F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("y1"),
-            F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("y0"),
-        )
-        .select("y1", "y0", F.explode(stems).alias("t")).where(F.col("t").isNotNull())
-        .groupBy("t.token", "t.stem").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+        words.select("doc_id", "label", F.explode(stems).alias("t")).where(F.col("t").isNotNull())
+        .select("doc_id", "label", "t.token", "t.stem").distinct()
+        .groupBy("token", "stem").agg(F.sum("label").cast("double").alias("y1"), F.sum(1 - F.col("label")).cast("double").alias("y0"))
     )
-    totals = counted.agg(
-        F.sum(F.when(F.col("label") == 1, 1.0).otherwise(0.0)).alias("n1"),
-        F.sum(F.when(F.col("label") == 0, 1.0).otherwise(0.0)).alias("n0"),
-    ).first()
-    n1, n0 = totals["n1"] or 0.0, totals["n0"] or 0.0
+    totals = words.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    n1, n0 = float(totals[0] or 0), float(totals[1] or 0)
     share = (F.col("y1") + F.col("y0")) / F.lit(max(n1 + n0, 1.0))
     a1, a0 = F.col("y1") + share * PRIOR, F.col("y0") + share * PRIOR
-    odds = F.log(a1 / (F.lit(n1 + PRIOR) - a1 + 1e-9)) - F.log(a0 / (F.lit(n0 + PRIOR) - a0 + 1e-9))
-    return tokens.select("token", "stem", odds.alias("score"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"), F.col("y0").alias("clean"))
+    score = F.log(a1 / F.lit(n1 + PRIOR)) - F.log(a0 / F.lit(n0 + PRIOR))
+
+    def deviance(y, n):
+        return F.when(y > 0, y * F.log(y / (share * max(n, 1.0)))).otherwise(0.0)
+
+    ratio = 2 * (deviance(F.col("y1"), n1) + deviance(F.col("y0"), n0))
+    return tokens.select("token", "stem", score.alias("score"), (F.signum(score) * F.sqrt(F.greatest(ratio, F.lit(0.0)))).alias("z"))
 
 
 def hits(text: str | None, words: dict[str, float], stems: dict[str, float]) -> tuple[list[tuple[int, float, int, int]], int]:
