@@ -66,6 +66,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
 
 
+def prior_shift(labels: DataFrame, label: str, sampled: list[int]) -> float:
+    """What to add to log-odds learned on a sample so that they hold for the classes' shares among all
+    training labels."""
+    counts = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(label).count().collect()}
+    ones, zeros = sum(sampled), len(sampled) - sum(sampled)
+    if not ones or not zeros or not counts.get(0) or not counts.get(1):
+        return 0.0
+    return float(np.log(counts[1] / ones) - np.log(counts[0] / zeros))
+
+
 def calibration_fold(doc_id: Column) -> Column:
     """A third of the training rows, kept from the model and used to calibrate it."""
     return F.xxhash64(F.lit("calibration"), doc_id) % 3 == 0

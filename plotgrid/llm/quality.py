@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotgrid.llm.common import calibration_fold, documents, fit_logistic, held_out, labelled_sample, table
+from plotgrid.llm.common import calibration_fold, documents, fit_logistic, held_out, labelled_sample, logistic, prior_shift, table
 from plotgrid.llm.registry import query
 from plotgrid.session import cut_lineage
 
@@ -25,20 +26,21 @@ ACCEPT = 0.3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Dictionary of accepted and of rejected text, and the curve that calibrates the difference."""
+    """Dictionary of accepted and of rejected text, and the curve that calibrates the difference:
+    score ``scores[i]`` at difference ``points[i]``, straight lines between."""
 
     good: bytes
     bad: bytes
-    curve: tuple[float, float]
-    trained: bool
+    points: tuple[float, ...]
+    scores: tuple[float, ...]
 
 
-def train_dictionary(pieces: list[bytes]) -> tuple[bytes, bool]:
-    """(dictionary, trained): a trained dictionary, or the pieces themselves where they are too few to train one."""
+def train_dictionary(pieces: list[bytes]) -> bytes:
+    """A trained dictionary, or the pieces themselves where they are too few to train one."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes(), True
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(pieces)[-DICTIONARY_BYTES:], False
+        return b"\n".join(pieces)[-DICTIONARY_BYTES:]
 
 
 def _compressor(content: bytes):
@@ -67,14 +69,41 @@ def size_difference(text: str | None, good, bad) -> float:
     return saved / len(data)
 
 
-def difference_column(text: Column, good: bytes, bad: bytes) -> Column:
+def rising_curve(x: list[float], y: list[int]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """(points, scores): share of label 1 as a function of x that never falls.
+
+    Neighbouring values are pooled until the shares rise (isotonic regression); each pool
+    counts one more row of the base rate. A twentieth of a logistic curve is mixed in, so the score still
+    rises inside a pool.
+    """
+    order = np.argsort(x, kind="stable")
+    x, y = np.asarray(x, dtype=float)[order], np.asarray(y, dtype=float)[order]
+    base = (y.sum() + 1) / (len(y) + 2)
+    line = fit_logistic(x, y)
+    if line[0] == 0:
+        return (0.0,), (float(base),)
+    pools: list[list[float]] = []
+    for value, label in zip(x, y):
+        pools.append([value, value, label, 1.0])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, ones, n = pools.pop()
+            pools[-1] = [pools[-1][0], high, pools[-1][2] + ones, pools[-1][3] + n]
+    points = np.array([p for low, high, _, _ in pools for p in (low, high)])
+    shares = np.repeat([(ones + base) / (n + 1) for _, _, ones, n in pools], 2)
+    shares = np.maximum.accumulate(shares)
+    return tuple(points), tuple(0.95 * shares + 0.05 * logistic(points, line))
+
+
+def score_column(text: Column, model: QualityModel, calibrated: bool = True) -> Column:
+    """The calibrated score of every whole text, or the size difference itself."""
     @F.pandas_udf("double")
-    def differ(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        first, second = _compressor(good), _compressor(bad)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        good, bad = _compressor(model.good), _compressor(model.bad)
         for texts in batches:
-            yield pd.Series([size_difference(t, first, second) for t in texts], dtype=float)
+            x = np.array([size_difference(t, good, bad) for t in texts], dtype=float)
+            yield pd.Series(np.interp(x, model.points, model.scores) if calibrated else x)
 
-    return differ.asNondeterministic()(text)  # evaluated once, also when its result is filtered
+    return score.asNondeterministic()(text)  # evaluated once, also when its result is filtered
 
 
 def _pieces(sample: DataFrame) -> list:
@@ -104,14 +133,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """
     sample = cut_lineage(labelled_sample(docs, labels, label, per_class), "quality-sample")
     pieces = _pieces(sample)
-    good, trained_good = train_dictionary([bytes(r["piece"]) for r in pieces if r["label"] == 1])
-    bad, trained_bad = train_dictionary([bytes(r["piece"]) for r in pieces if r["label"] == 0])
+    good = train_dictionary([bytes(r["piece"]) for r in pieces if r["label"] == 1])
+    bad = train_dictionary([bytes(r["piece"]) for r in pieces if r["label"] == 0])
     if not good or not bad:
         good = bad = b""
     held = sample.where(calibration_fold(F.col("doc_id"))).select(
-        difference_column(F.col("text"), good, bad).alias("x"), "label"
+        score_column(F.col("text"), QualityModel(good, bad, (), ()), calibrated=False).alias("x"), "label"
     ).collect()
-    return QualityModel(good, bad, fit_logistic([r["x"] for r in held], [r["label"] for r in held]), trained_good and trained_bad)
+    truth = [r["label"] for r in held]
+    points, scores = rising_curve([r["x"] for r in held], truth)
+    factor = np.exp(prior_shift(labels, label, truth))
+    scores = tuple(s * factor / (s * factor + 1 - s) for s in scores)
+    return QualityModel(good, bad, points, scores)
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -120,9 +153,7 @@ def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     A null or empty text has difference 0 and the score that belongs to it. Only the text is read;
     other columns pass through (a column of that name is replaced), repeated rows get equal scores.
     """
-    x = difference_column(F.col("text"), model.good, model.bad)
-    slope, intercept = model.curve
-    return docs.withColumn("quality_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(x * slope + F.lit(intercept)))))
+    return docs.withColumn("quality_score", score_column(F.col("text"), model))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, accept: float = ACCEPT) -> DataFrame:

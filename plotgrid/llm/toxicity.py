@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotgrid.llm.common import calibration_fold, documents, fit_logistic, held_out, labelled_sample, logistic, table, words_of
+from plotgrid.llm.common import calibration_fold, documents, fit_logistic, held_out, labelled_sample, logistic, prior_shift, table, words_of
 from plotgrid.llm.registry import query
 from plotgrid.session import cut_lineage
 
@@ -169,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     ).collect()
     rows = [(r["label"], [(s["score"], s["start"], s["end"]) for s in r["found"]["spans"]], r["found"]["n_tokens"]) for r in held]
     decay, scale = _tail([([s for s, _, _ in spans], n) for y, spans, n in rows if y == 0])
-    curve = fit_logistic([statistic(spans, n, decay, scale) for _, spans, n in rows], [y for y, _, _ in rows])
-    return ToxicModel(words, stems, decay, scale, curve)
+    truth = [y for y, _, _ in rows]
+    slope, intercept = fit_logistic([statistic(spans, n, decay, scale) for _, spans, n in rows], truth)
+    return ToxicModel(words, stems, decay, scale, (slope, intercept + prior_shift(labels, label, truth)))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicModel, significance: float = SIGNIFICANCE) -> DataFrame:
