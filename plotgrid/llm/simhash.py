@@ -107,7 +107,7 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ])
     held = distinct.select(F.col("fp").alias("other"), F.inline(segments).alias("t", "key"))
     return (
-        asks.join(held, ["t", "key"])
+        asks.join(held.hint("merge"), ["t", "key"])  # either side holds many rows per fingerprint, more than size estimates say
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits)
         .where(~F.col("same") | (F.col("fp") < F.col("other")))
         .select("fp", "other")
