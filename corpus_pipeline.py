@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotgrid.llm.line_dedup import dedup_lines
+from plotgrid.llm import bpe, decontamination, line_dedup, quality, simhash
+from plotgrid.llm.common import table
 from plotgrid.session import attach, scratch_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, model).select(*COLUMNS)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that many documents share; every document stays."""
-    kept = dedup_lines(docs)
+    """Lines that many documents share go from all but one; every document stays, n_chars is that of its new text."""
+    kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the least doc_id stays."""
+    return simhash.keep_one(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS).select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text that is left, and digests of the ids and of the text they decode to."""
+    encoded = bpe.with_tokens(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(encoded, keep_ids=True)
+
+
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("bpe_encoding", encoding_stage),
 ]
 
+# zstandard sizes, a trained curve and byte-pair merges are beyond SQL
 ORACLE_SQL = None
 
 

@@ -330,10 +330,11 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(encode, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, on request with token_ids."""
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return encoded.select(
-        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+        "doc_id", *(["token_ids"] if keep_ids else []), F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded_text", "UTF-8"), 256).alias("decoded_sha256"),
     )
