@@ -21,7 +21,7 @@ from plotgrid.llm.registry import query
 
 WORD_END = "</w>"
 BLOCK = 4_096
-MEMO = 250_000
+MEMO = 200_000
 MEMO_CHARS = 64
 FLUSH = 2_000_000
 NONE = 1 << 60
@@ -140,7 +140,7 @@ def _merge_many(ids: list[int], merges: dict[int, int]) -> list[int]:
 class WordTransducer:
     """Encodes one word fed in parts of any size and emits each token once it is stable.
 
-    At most ``BLOCK`` symbols, the lookahead and one token are held. A list of merges without a bound keeps
+    At most two blocks, the lookahead and one token are held. A list of merges without a bound keeps
     the word until its end.
     """
 
@@ -156,10 +156,11 @@ class WordTransducer:
         text = self.of.tokens[token]
         return len(text) - len(WORD_END) if text.endswith(WORD_END) and len(text) > len(WORD_END) else len(text)
 
-    def feed(self, data: bytes) -> Iterator[int]:
+    def feed(self, data: bytes) -> list[int]:
         """The tokens that the word's next bytes make stable; the word's end is still to come."""
+        inner, stable = self.of.inner, []
         for at in range(0, len(data), BLOCK):
-            self.held.extend(map(self.of.inner.__getitem__, data[at : at + BLOCK]))
+            self.held += [inner[b] for b in data[at : at + BLOCK]]
             if self.limit is not None and len(self.held) > self.limit:
                 safe, done = len(self.held) - self.of.lookahead, 0
                 for token in self._encode(self.held[:]):
@@ -167,8 +168,9 @@ class WordTransducer:
                     if done + size > safe:
                         break
                     done += size
-                    yield token
+                    stable.append(token)
                 del self.held[:done]
+        return stable
 
     def finish(self, last: int) -> list[int]:
         """The rest of the tokens, given the word's last byte."""
@@ -177,38 +179,66 @@ class WordTransducer:
         return tokens
 
 
+class Memo:
+    """Bounded memo of two generations: a full young one becomes the old one, what is used again moves back."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        """The value of a key that is not in the young generation."""
+        value = self.old.get(key)
+        if value is not None:
+            self.store(key, value)
+        return value
+
+    def store(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
-    """Ids of whole texts. Two bounded memos keep the ids of short
+    """Ids of whole texts, appended to an array. Two bounded memos keep the ids of short
     white-space separated chunks and of short words."""
 
     def __init__(self, merges: MergeList):
         self.of = merges
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks, self.words = Memo(MEMO), Memo(MEMO)
         self.anywhere = any(not t.startswith("<") for t in merges.special)
         self.special = regex.compile("(" + "|".join(map(regex.escape, merges.special)) + ")") if merges.special else None
 
     def _word(self, word: str, out: array) -> None:
-        known = self.words.get(word)
+        known = self.words.young.get(word) or self.words.recall(word)
         if known is not None:
-            out.extend(known)
+            out.frombytes(known)
             return
-        start = len(out)
         data = word.encode("utf-8", "surrogatepass")
         transducer = WordTransducer(self.of)
-        out.extend(transducer.feed(data[:-1]))
-        out.extend(transducer.finish(data[-1]))
-        if len(word) <= MEMO_CHARS:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            self.words[word] = tuple(out[start:])
+        if len(word) > MEMO_CHARS:
+            out.extend(transducer.feed(data[:-1]))
+            out.extend(transducer.finish(data[-1]))
+            return
+        made = array("i", transducer.feed(data[:-1]))
+        made.extend(transducer.finish(data[-1]))
+        self.words.store(word, made.tobytes())
+        out.extend(made)
 
     def _plain(self, text: str, out: array) -> None:
         if not text.isascii():
             # a capital sigma lower-cases by itself, not by its place in the word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        for word in PIECE.findall(text.lower()):
-            self._word(word, out)
+        text = text.lower()
+        if text.isalpha():
+            self._word(text, out)
+        elif text[:-1].isalpha() and text[-1] in ".,!|":
+            self._word(text[:-1], out)
+            self._word(text[-1], out)
+        else:
+            for word in PIECE.findall(text):
+                self._word(word, out)
 
     def _chunk(self, chunk: str, out: array) -> None:
         if self.special is None or "<" not in chunk and not self.anywhere:
@@ -222,19 +252,19 @@ class Encoder:
     def encode(self, text: str | None, out: array) -> None:
         """Append the text's ids to ``out``."""
         text = text or ""
-        memo, get, extend = self.memo, self.memo.get, out.extend
+        memo, append = self.chunks, out.frombytes
         chunks = map(regex.Match.group, CHUNK.finditer(text)) if SEPARATORS.search(text) else text.split()
         for chunk in chunks:
-            known = get(chunk)
-            if known is not None:
-                extend(known)
-                continue
-            start = len(out)
-            self._chunk(chunk, out)
-            if len(chunk) <= MEMO_CHARS:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[chunk] = tuple(out[start:])
+            known = memo.young.get(chunk)
+            if known is None:
+                known = memo.recall(chunk)
+                if known is None:
+                    start = len(out)
+                    self._chunk(chunk, out)
+                    if len(chunk) <= MEMO_CHARS:
+                        memo.store(chunk, out[start:].tobytes())
+                    continue
+            append(known)
 
 
 class TokenText:
