@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotgrid.llm.common import documents
+from plotgrid.llm.common import Memo, documents
 from plotgrid.llm.registry import query
 
 WORD_END = "</w>"
@@ -179,27 +179,6 @@ class WordTransducer:
         return tokens
 
 
-class Memo:
-    """Bounded memo of two generations: a full young one becomes the old one, what is used again moves back."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def recall(self, key: str) -> bytes | None:
-        """The value of a key that is not in the young generation."""
-        value = self.old.get(key)
-        if value is not None:
-            self.store(key, value)
-        return value
-
-    def store(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class Encoder:
     """Ids of whole texts, appended to an array. Two bounded memos keep the ids of short
     white-space separated chunks and of short words."""

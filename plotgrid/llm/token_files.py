@@ -7,6 +7,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotgrid.llm.common import documents
+from plotgrid.llm.common import Memo, documents
 from plotgrid.llm.registry import query
 from plotgrid.session import scratch_folder
 
@@ -22,9 +23,10 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 FIRST_SHARE = 1 / 64
 MIN_COUNT = 64
-MEMO = 300_000
+MEMO = 200_000
+MARKS = ".,!|"
 MEMO_CHARS = 64
-DOCS_AT_ONCE = 256
+DOCS_AT_ONCE = 512
 
 MAGIC = b"RPSHARD1"
 # a space before another character than white space always begins a new piece of byte-level
@@ -37,7 +39,7 @@ CUT = re.compile(r" (?=\S)")
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, as little-endian 32-bit numbers.
 
-    Equal parts of texts are handed to the library once as long as the bounded memo holds them.
+    Equal parts of texts are handed to the library once as long as the bounded memos hold them.
     """
 
     def __init__(self, content: str):
@@ -47,23 +49,40 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.parts, self.words = Memo(MEMO), Memo(MEMO)
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _known(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of each part with a space before it. A word and one mark behind it are two pieces."""
+        split = {p: (" " + p[:-1], p[-1]) if p[-1] in MARKS and p[:-1].isalpha() else (" " + p,) for p in parts}
+        words = {w for pieces in split.values() for w in pieces}
+        ids = {w: v for w in words if (v := self.words.young.get(w) or self.words.recall(w)) is not None}
+        missing = [w for w in words if w not in ids]
+        for word, value in zip(missing, self._library(missing)):
+            ids[word] = value
+            if len(word) <= MEMO_CHARS:
+                self.words.store(word, value)
+        return {p: b"".join([ids[w] for w in pieces]) for p, pieces in split.items()}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [CUT.split(t or "") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        starts = self._library([parts[0] for parts in cut])
-        memo = self.memo
-        missing = list({p for parts in cut for p in parts[1:] if p not in memo})
-        found = dict(zip(missing, self._library([" " + p for p in missing])))
-        memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
-        long = {p: ids for p, ids in found.items() if len(p) > MEMO_CHARS}
-        find = memo.__getitem__ if not long else lambda p: long[p] if p in long else memo[p]
-        return [start + b"".join(map(find, parts[1:])) for start, parts in zip(starts, cut)]
+        starts = self._library([parts.pop(0) for parts in cut])
+        used: dict[str, bytes] = {}
+        missing: set[str] = set()
+        young, recall = self.parts.young, self.parts.recall
+        for part in set(chain.from_iterable(cut)):
+            value = young.get(part) or recall(part)
+            if value is None:
+                missing.add(part)
+            else:
+                used[part] = value
+        for part, value in self._known(missing).items():
+            used[part] = value
+            if len(part) <= MEMO_CHARS:
+                self.parts.store(part, value)
+        return [start + b"".join(map(used.__getitem__, parts)) for start, parts in zip(starts, cut)]
 
 
 # ---- grammar
@@ -72,7 +91,7 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
     """(sequence, rules, base): Re-Pair grammar of a shard.
 
     Every round replaces all pairs that stand at least so often by new symbols from ``base`` on, where
-    they do not overlap, the left one first; the next round asks for a quarter of the count, down
+    they do not overlap, the left one first; the next round asks for a sixteenth of the count, down
     to ``min_count``, and the last round repeats until no pair is left. No pair begins with the end
     id, so no symbol crosses from one document to the next.
     """
@@ -104,7 +123,7 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
             sequence = np.delete(sequence, places + 1)
         elif level <= min_count:
             break
-        level = max(min_count, level // 4)
+        level = max(min_count, level // 16)
     packed = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
     return sequence.astype("<u4"), np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1).astype("<u4"), base
 
