@@ -77,7 +77,8 @@ def synthesize(df: DataFrame, zones: DataFrame, size: str, key: str = "region",
     """Enlarge a building table with moved and turned copies of its valid rows.
 
     Every copy lands uniformly inside its region's bounds with a random turn. The numbers
-    come from a digest of (id, copy), so a retried task builds the same copy. Copies keep
+    come from a digest of (region, id or else shape, copy), so a retried task builds the same copy,
+    and rows without an id or listed in two regions draw apart. Copies keep
     only region, geometry and partition key.
     """
     clones = CLONES[size]
@@ -89,7 +90,7 @@ def synthesize(df: DataFrame, zones: DataFrame, size: str, key: str = "region",
         key, "external_id", "geometry", "zone_box", g.measures(F.col("geometry")).alias("m")
     )
     copies = sources.withColumn("clone", F.explode(F.sequence(F.lit(1), F.lit(clones))))
-    seed = F.concat_ws(":", "external_id", "clone")
+    seed = F.concat_ws(":", key, F.coalesce("external_id", F.xxhash64("geometry").cast("string")), "clone")
     box = F.col("zone_box")
     drawn = copies.withColumns({
         "x": box["xmin"] + uniform(seed, 0) * (box["xmax"] - box["xmin"]) + (uniform(seed, 3) * 2 - 1) * jitter,

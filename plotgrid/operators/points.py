@@ -15,6 +15,7 @@ from plotgrid.functions.hashing import uniform
 from plotgrid.operators.filters import Frame, bbox_intersects
 from plotgrid.operators.sizes import at_most
 from plotgrid.operators.zones import LEVEL_FACTOR, LEVELS, level_of
+from plotgrid.session import cut_lineage
 
 CELL = 1 / 1024
 POINT_ROWS = 100_000
@@ -82,7 +83,7 @@ def containing_polygons(polygons: DataFrame, points: DataFrame) -> DataFrame:
     if at_most(positions, POINT_ROWS):
         positions = F.broadcast(positions)
     columns = polygons.columns
-    return _containing(polygons.distinct(), positions).select(*columns).distinct()
+    return _containing(polygons, positions).select(*columns).distinct()  # copies meet only where a point hits
 
 
 def first_inner_points(buildings: DataFrame, frame: Frame, n: int) -> DataFrame:
@@ -108,7 +109,8 @@ def points_workload(buildings: DataFrame, frame: Frame, total: int = 10, inside_
         (F.lit(miny) + uniform(key, 1) * (maxy - miny)).alias("lat"),
     )
     order = F.sha2(F.concat_ws(":", F.lit(seed), "lon", "lat"), 256)
-    # One window over the workload itself, whose size is the ``total`` parameter.
-    return inside.unionByName(outside).select(
+    # One window over the workload itself, whose size is the ``total`` parameter. The rows are written once,
+    # since lookups read them several times.
+    return cut_lineage(inside.unionByName(outside).select(
         F.row_number().over(Window.orderBy(order)).alias("point_id"), "lon", "lat"
-    )
+    ), "points-workload")

@@ -20,7 +20,6 @@ PRICES: dict[str, dict[str, float]] = {
     "database": {"compute_second": 0.476 / 3600, "storage_gb_month": 0.15, "egress_gb": 0.0},
 }
 COST_COLUMNS = ("compute_cost", "storage_cost", "network_cost", "operations_cost")
-STAGE_CAP = 100
 
 
 def price_table(spark: SparkSession) -> DataFrame:
@@ -118,12 +117,13 @@ def container_usage(windows: DataFrame, experiments: DataFrame, series: DataFram
 
 def metric_rollup(points: DataFrame, granularity_seconds: int = 60) -> DataFrame:
     """Per resource and metric: total (mean where the total is missing), mean, last, greatest
-    and least value, and rate times granularity. All partial aggregates."""
+    and least value, and rate times granularity. All partial aggregates. Of several
+    values at the last time the greatest counts."""
     a = F.col("average")
     return points.groupBy("resource", "metric").agg(
         F.coalesce(F.sum(F.coalesce("total", a)), F.lit(0.0)).alias("total"),
         F.coalesce(F.avg(a), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.max_by(a, F.when(a.isNotNull(), F.col("ts"))), F.lit(0.0)).alias("last"),
+        F.coalesce(F.max_by(a, F.when(a.isNotNull(), F.struct("ts", "average"))), F.lit(0.0)).alias("last"),
         F.coalesce(F.greatest(F.max("maximum"), F.lit(0.0)), F.lit(0.0)).alias("greatest"),
         F.coalesce(F.min("minimum"), F.lit(0.0)).alias("least"),
         F.coalesce(F.sum(a * granularity_seconds), F.lit(0.0)).alias("rate_total"),
@@ -163,13 +163,15 @@ def stage_rollup(stages: DataFrame) -> DataFrame:
     return stages.groupBy("run_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in names.items()])
 
 
-def phase_split(stages: DataFrame, walls: DataFrame, cap: int = STAGE_CAP) -> DataFrame:
-    """Per run: time outside stages (never negative) and the first ``cap`` stage durations
-    by stage id. Stages past the cap are ranked away before the list is built."""
-    order = Window.partitionBy("run_id").orderBy("stage_id")
-    first = stages.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+def phase_split(stages: DataFrame, walls: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per run: time outside stages (never negative) and the stage durations by stage id,
+    all of them or the first ``cap``. Stages past a cap are ranked away before the list is built."""
+    first = stages
+    if cap is not None:
+        order = Window.partitionBy("run_id").orderBy("stage_id")
+        first = stages.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
     lists = first.groupBy("run_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "stage_duration_ms"))), lambda s: s["stage_duration_ms"])
+        F.transform(F.sort_array(F.collect_list(F.struct("stage_id", "stage_duration_ms"))), lambda s: s["stage_duration_ms"])
         .alias("stage_durations")
     )
     return (

@@ -13,9 +13,8 @@ from plotgrid.session import cut_lineage
 TILE = ["z", "x", "y"]
 SLACK = 1e-6
 CHUNK_FEATURES = 50_000
-# Fixed value: features kept per tile when thinning out the densest tiles.
-MAX_FEATURES = 200_000
-SPREAD = 64
+# Parts of a tile that are ranked apart, then together in fewer parts.
+RANK_PARTS = (64, 8, 1)
 
 
 def candidate_tiles(spark: SparkSession, bbox: tuple[float, float, float, float], z: int) -> DataFrame:
@@ -76,14 +75,15 @@ def tile_features(long: DataFrame, chunk_features: int = CHUNK_FEATURES) -> Data
     """Tile rows ``z, x, y, chunk, features, n``.
 
     A tile with many features is split into several chunks of about ``chunk_features``, so
-    that no task collects an unbounded tile; together the chunks hold every feature.
+    that no task collects an unbounded tile; together the chunks hold every feature. Id and
+    shape choose the chunk, so rows without an id spread as well.
     """
     crowded = tile_counts(long).filter(F.col("n") > chunk_features).select(
         *TILE, F.ceil(F.col("n") / chunk_features).alias("chunks")
     )
     if at_most(crowded, 100_000):
         crowded = F.broadcast(crowded)
-    chunk = F.coalesce(F.pmod(F.xxhash64("feature_id"), F.col("chunks")), F.lit(0)).cast("int")
+    chunk = F.coalesce(F.pmod(F.xxhash64("feature_id", "geometry"), F.col("chunks")), F.lit(0)).cast("int")
     return (
         long.join(crowded, TILE, "left").withColumn("chunk", chunk)
         .groupBy(*TILE, "chunk")
@@ -96,22 +96,25 @@ def build_tiles(df: DataFrame, zooms: list[int], id_column: str, chunk_features:
     return tile_features(long, chunk_features)
 
 
-def tile_pyramid(df: DataFrame, zooms: list[int], id_column: str, max_features: int = MAX_FEATURES) -> DataFrame:
-    """Long form of all zooms, keeping the ``max_features`` largest features of each tile
-    (the smallest ones of the densest tiles go first).
+def tile_pyramid(df: DataFrame, zooms: list[int], id_column: str, max_features: int | None) -> DataFrame:
+    """Long form of all zooms with ``dropped``, the number of features a tile lost.
 
-    The limit is taken in two steps: first inside hash parts of a tile, then among the
-    survivors, so a low-zoom tile that holds everything is not ranked by one task.
+    With ``max_features`` only that many of the largest features of a tile stay (equal areas by id,
+    then by shape); None keeps all. The limit is taken in steps: inside hash parts of a tile, then
+    among the survivors of eight parts each time, so a low-zoom tile that holds everything is
+    not ranked by one task.
     """
     long = tile_geometries(df, zooms, id_column).withColumn("tile_area", g.area(F.col("geometry")))
-    order = [F.desc("tile_area"), F.asc("feature_id")]
-    part = F.pmod(F.xxhash64("feature_id"), F.lit(SPREAD))
-    local = Window.partitionBy(*TILE, "part").orderBy(*order)
-    final = Window.partitionBy(*TILE).orderBy(*order)
-    first = long.withColumn("part", part).withColumn("rank", F.row_number().over(local)).filter(
-        F.col("rank") <= max_features
-    )
-    return first.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= max_features).drop("part", "rank")
+    if max_features is None:
+        return long.withColumn("dropped", F.lit(0).cast("bigint"))
+    shape = F.xxhash64("feature_id", "geometry")
+    order = [F.desc("tile_area"), F.asc_nulls_last("feature_id"), F.asc("shape")]
+    kept = long.withColumn("shape", shape)
+    for parts in RANK_PARTS:
+        within = Window.partitionBy(*TILE, F.pmod("shape", F.lit(parts))).orderBy(*order)
+        kept = kept.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= max_features)
+    lost = tile_counts(long).select(*TILE, F.greatest(F.col("n") - max_features, F.lit(0)).alias("dropped"))
+    return kept.drop("shape", "rank").join(lost, TILE)
 
 
 def tiles_with_data(candidates: DataFrame, df: DataFrame, z: int, id_column: str) -> DataFrame:
@@ -120,13 +123,22 @@ def tiles_with_data(candidates: DataFrame, df: DataFrame, z: int, id_column: str
     return candidates.join(used, TILE, "left_semi")
 
 
+def _wanted(requests: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Tile rows that are asked for. The wanted keys filter the store (broadcast when proven
+    small), so the store itself is never shuffled for a request list."""
+    keys = requests.select(*TILE).distinct()
+    if at_most(keys, 200_000):
+        keys = F.broadcast(keys)
+    return tiles.join(keys, TILE, "left_semi")
+
+
 def tile_lookup(requests: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Answer tile requests; a missing tile gives NULL columns.
+    """One row per request with ``n``, the tile's number of features over all its chunks;
+    NULL for a missing tile."""
+    counts = _wanted(requests, tiles).groupBy(*TILE).agg(F.sum("n").alias("n"))
+    return requests.join(counts, TILE, "left")
 
-    The wanted keys are filtered out of the store first (broadcast when proven small), so
-    the store itself is never shuffled for a request list.
-    """
-    wanted = requests.select(*TILE).distinct()
-    if at_most(wanted, 200_000):
-        wanted = F.broadcast(wanted)
-    return requests.join(tiles.join(wanted, TILE, "left_semi"), TILE, "left")
+
+def tile_chunks(requests: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The stored chunks of every requested tile once, keyed by z, x, y, chunk."""
+    return _wanted(requests, tiles)

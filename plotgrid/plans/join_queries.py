@@ -32,15 +32,15 @@ def zone_pairs(spark, sf_dir):
 
 @query("j5_clip_to_regions", f"""{ZONES}, clipped AS (
   SELECT r.external_id, p.zone AS region, 'fkb' AS side, CAST(NULL AS TIMESTAMP) AS feature_update_time
-  FROM rect r JOIN zone_pairs p ON p.k = r.k WHERE r.k % 8 = 2
+  FROM rect r JOIN zone_pairs p ON p.k = r.k WHERE r.k % 2 = 0
   UNION ALL
   SELECT r.external_id, p.zone, 'osm', TIMESTAMP '2024-01-01 00:00:00'
-  FROM rect r JOIN zone_pairs p ON p.k = r.k WHERE r.k % 8 = 3)
+  FROM rect r JOIN zone_pairs p ON p.k = r.k WHERE r.k % 2 = 1)
 SELECT * FROM clipped""")
 def clip_to_regions(spark, sf_dir):
     b = fx.buildings(spark, sf_dir)
-    one = b.filter("k % 8 = 2").withColumn("side", F.lit("fkb"))
-    two = b.filter("k % 8 = 3").withColumn("side", F.lit("osm")).withColumn(
+    one = b.filter("k % 2 = 0").withColumn("side", F.lit("fkb"))
+    two = b.filter("k % 2 = 1").withColumn("side", F.lit("osm")).withColumn(
         "feature_update_time", F.lit("2024-01-01 00:00:00").cast("timestamp")
     )
     clipped = ds.clip_to_regions([one, two], fx.zones(spark))
@@ -251,7 +251,7 @@ def prepare_dataset(spark, sf_dir):
 
 
 def _clone_check(clones: int) -> str:
-    key = "external_id || ':' || clone"
+    key = "region || ':' || external_id || ':' || clone"
     return f"""{RECT}, {ref.zone_tables()},
 zone_box AS (SELECT region, min(x0) AS zx0, min(y0) AS zy0, max(x0) AS zx1, max(y0) AS zy1 FROM zone_edges GROUP BY region),
 copies AS (SELECT r.*, z.*, unnest(range(1, {clones} + 1)) AS clone FROM rect r JOIN zone_box z USING (region)),

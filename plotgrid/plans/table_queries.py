@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
@@ -43,11 +45,11 @@ def scan_union(spark, sf_dir):
     return layout.scan_union(spark, one, two).select("external_id", "region", "building_type", "building_id")
 
 
-@query("s4_scan_or_empty", f"{RECT} SELECT external_id, region FROM rect WHERE k % 2 = 0")
+@query("s4_scan_or_empty", f"{RECT} SELECT external_id, region FROM rect")
 def scan_or_empty(spark, sf_dir):
     schema = "external_id string, region string"
     path = scratch_folder(spark, "some")
-    fx.buildings(spark, sf_dir).filter("k % 2 = 0").select("external_id", "region").write.parquet(path)
+    fx.buildings(spark, sf_dir).select("external_id", "region").write.parquet(path)
     missing = layout.scan_or_empty(spark, scratch_folder(spark, "none"), schema)
     return layout.scan_or_empty(spark, path, schema).unionByName(missing)
 
@@ -72,10 +74,9 @@ def write_geoparquet(spark, sf_dir):
 
 @query("s7_seed_table", f"{RECT} SELECT region, count(*) AS n, count(building_id) AS numbered FROM rect GROUP BY region")
 def seed_table(spark, sf_dir):
-    path = scratch_folder(spark, "seed")
-    rows = layout.encoded(fx.buildings(spark, sf_dir)).hint("rebalance")
-    rows.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).groupBy("region").agg(
+    name = f"seed_{uuid.uuid4().hex}"
+    layout.seed_table(fx.buildings(spark, sf_dir), name)
+    return spark.table(name).groupBy("region").agg(
         F.count("*").alias("n"), F.count("building_id").alias("numbered")
     )
 
@@ -168,8 +169,7 @@ def _samples(spark, sf_dir):
 CAST(event_id % 5 + 5 * (event_id % 2) AS INTEGER) AS iteration, count(*) AS n FROM events GROUP BY 1, 2, 3""")
 def append_samples(spark, sf_dir):
     path = scratch_folder(spark, "samples")
-    rows = _samples(spark, sf_dir).withColumn("run_id", F.col("run_id") % 3)
-    registry.append_samples(rows, path, iterations_per_run=5)
+    registry.append_samples(_samples(spark, sf_dir), path, iterations_per_run=5)
     return spark.read.parquet(path).groupBy("query_id", "benchmark_run", "iteration").agg(F.count("*").alias("n"))
 
 
@@ -188,10 +188,10 @@ def append_cost(spark, sf_dir):
     usage = _samples(spark, sf_dir).groupBy("query_id", "run_id").agg(F.sum("elapsed_time").alias("duration_seconds")).withColumns({
         "vcpu_count": F.lit(2.0), "memory_gb": F.lit(4.0), "bytes_egress": F.lit(0.0),
     })
-    costs = sm.container_cost(usage).withColumns({"benchmark_run": F.lit(1), "run_id": F.col("run_id") % 4, "run": F.col("run_id")})
-    registry.append_costs(costs.select("query_id", "run_id", "run", "benchmark_run", "provider", "total_cost"), path)
+    costs = sm.container_cost(usage).withColumn("benchmark_run", F.lit(1))
+    registry.append_costs(costs.select("query_id", "run_id", "benchmark_run", "provider", "total_cost"), path)
     return spark.read.parquet(path).groupBy("query_id").agg(
-        F.countDistinct("run").alias("runs"), F.round(F.sum("total_cost"), 9).alias("total")
+        F.countDistinct("run_id").alias("runs"), F.round(F.sum("total_cost"), 9).alias("total")
     )
 
 
@@ -285,13 +285,20 @@ def text_columns(spark, sf_dir):
 
 
 @query("p7_normalize_tags", """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 2 THEN NULL ELSE p_name END AS name,
-CASE WHEN p_partkey % 7 IN (1, 2) THEN 'unspecified' ELSE p_type END AS type, 2 AS bytes FROM part WHERE p_partkey % 7 <> 3""")
+CASE WHEN p_partkey % 7 IN (1, 2) THEN 'unspecified' ELSE p_type END AS type, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS parts,
+p_partkey % 50 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS area FROM part WHERE p_partkey % 7 <> 3 AND p_partkey % 50 > 0""")
 def normalize_tags(spark, sf_dir):
     k = F.col("p_partkey")
     building = F.when(k % 7 == 1, "yes").when(k % 7 == 2, "YES").when(k % 7 == 3, None).otherwise(F.col("p_type"))
     tags = F.create_map(F.lit("building"), building, F.lit("name"), F.when(k % 7 != 2, F.col("p_name")), F.lit("other"), F.lit("x"))
-    parts = fx.table(spark, sf_dir, "part").select(k.alias("id"), tags.alias("tags"), F.lit("0106").alias("wkb"))
-    return shaping.normalize_tags(parts, ["building", "name"]).select("id", "name", "type", F.length("wkb").alias("bytes"))
+    # WKB as hex text of either case: one or two parts; rows of no width are bad text
+    one = g.rectangle(F.lit(0.0), F.lit(0.0), (k % 50).cast("double"), F.lit(1.0))
+    two = F.concat(one, g.rectangle(F.lit(60.0), F.lit(0.0), F.lit(61.0), F.lit(1.0)))
+    shape = fx.table(spark, sf_dir, "part").withColumn("wkb", F.hex(g.to_wkb(F.when(k % 3 == 0, two).otherwise(one))))
+    text = F.when(k % 50 == 0, "0103zz").when(k % 2 == 0, F.lower("wkb")).otherwise(F.col("wkb"))
+    parts = shape.select(k.alias("id"), tags.alias("tags"), text.alias("wkb"))
+    read = layout.decoded(shaping.normalize_tags(parts, ["building", "name"]).withColumnRenamed("wkb", "geometry"))
+    return read.select("id", "name", "type", F.size("geometry").alias("parts"), g.area(F.col("geometry")).alias("area"))
 
 
 @query("p8_point_columns", f"{RECT} SELECT k, minx + w / 2 AS lon, miny + h / 2 AS lat FROM rect")
@@ -431,7 +438,7 @@ def explode_parts(spark, sf_dir):
 
 @query("a10_metric_rollup", """SELECT user_id AS resource, event_type AS metric,
 round(sum(CASE WHEN event_id % 3 = 0 THEN value ELSE value * 2 END), 6) AS total, round(avg(value), 6) AS mean,
-arg_max(value, ts) AS last, max(value * 4) AS greatest, coalesce(min(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 2 END), 0) AS least,
+max({'ts': ts, 'value': value}).value AS last, max(value * 4) AS greatest, coalesce(min(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 2 END), 0) AS least,
 round(sum(value * 60), 6) AS rate_total FROM events GROUP BY user_id, event_type""")
 def metric_rollup(spark, sf_dir):
     rolled = sm.metric_rollup(fx.metric_points(spark, sf_dir))
@@ -554,12 +561,12 @@ def stage_rollup(spark, sf_dir):
 
 
 @query("m9_phase_split", """WITH r AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-t AS (SELECT user_id, CAST(sum(d) AS BIGINT) AS total, '[' || string_agg(d, ',' ORDER BY event_id) FILTER (n <= 20) || ']' AS stages FROM r GROUP BY user_id)
+t AS (SELECT user_id, CAST(sum(d) AS BIGINT) AS total, '[' || string_agg(d, ',' ORDER BY event_id) || ']' AS stages FROM r GROUP BY user_id)
 SELECT user_id AS run_id, greatest(0, user_id * 100 - total) AS driver_collection_time_ms, stages AS stage_durations_ms FROM t""")
 def phase_split(spark, sf_dir):
     stages = _stages(spark, sf_dir)
     walls = stages.select("run_id").distinct().withColumn("wall_ms", F.col("run_id") * 100.0)
-    return sm.phase_split(stages, walls, cap=20).select("run_id", "driver_collection_time_ms", "stage_durations_ms")
+    return sm.phase_split(stages, walls).select("run_id", "driver_collection_time_ms", "stage_durations_ms")
 
 
 @query("l5_first_stages", """SELECT user_id AS run_id, event_id AS stage_id FROM events

@@ -138,7 +138,7 @@ ranked AS (SELECT *, (px1 - px0) * (py1 - py0) AS tile_area, row_number() OVER (
 SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, k AS feature_id, tile_area FROM ranked WHERE rank <= 20""")
 def tile_pyramid(spark, sf_dir):
     kept = tiling.tile_pyramid(fx.buildings(spark, sf_dir), [8, 10, 12], "k", max_features=20)
-    return kept.drop("geometry")
+    return kept.drop("geometry", "dropped")
 
 
 @query("j10_tile_lookup", f"""{RECT}, {placed([13])},
@@ -169,6 +169,22 @@ def single_tile(spark, sf_dir):
     return tiling.tile_lookup(one, tiling.build_tiles(fx.buildings(spark, sf_dir), [13], "k")).select("z", "x", "y", "n")
 
 
+@query("j10_lookup_of_chunks", f"""{RECT}, {placed([9])}
+SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n FROM placed WHERE px0 < px1 AND py0 < py1 GROUP BY z, x, y""")
+def lookup_of_chunks(spark, sf_dir):
+    """Every tile asked for once, from a store whose tiles are cut into many chunks."""
+    store = tiling.build_tiles(fx.buildings(spark, sf_dir), [9], "k", chunk_features=40)
+    return tiling.tile_lookup(store.select("z", "x", "y").distinct(), store).select("z", "x", "y", "n")
+
+
+@query("t4d_dropped_features", f"""{RECT}, {placed([8, 10])}
+SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, least(count(*), 20) AS kept, greatest(count(*) - 20, 0) AS dropped
+FROM placed WHERE px0 < px1 AND py0 < py1 GROUP BY z, x, y""")
+def dropped_features(spark, sf_dir):
+    kept = tiling.tile_pyramid(fx.buildings(spark, sf_dir), [8, 10], "k", max_features=20)
+    return kept.groupBy("z", "x", "y").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"))
+
+
 @query("l6_cycle_rows", """WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS at, count(*) OVER () AS total FROM part)
 SELECT i AS request_id, p_partkey FROM range(50000) r(i) JOIN n ON n.at = r.i % n.total""")
 def cycle_rows(spark, sf_dir):

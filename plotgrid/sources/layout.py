@@ -84,7 +84,8 @@ def write_buildings(
     df: DataFrame, root: str, release: str, size: str, theme: str = "buildings", max_file_rows: int = 2_000_000
 ) -> str:
     """Write one release: rows clustered by region and partition key, WKB and box columns,
-    snappy, row groups of 100,000 rows; regions without rows write nothing.
+    snappy, row groups of 100,000 rows; regions without rows write nothing. A region that is
+    written again replaces its files, other regions and sizes stay.
 
     The rebalance lets adaptive execution split a crowded key over several tasks and join
     small keys, so neither a hot region nor thousands of tiny files arise.
@@ -94,7 +95,7 @@ def write_buildings(
     (
         rows.hint("rebalance", "region", "partition_key")
         .sortWithinPartitions("region", "partition_key")
-        .write.mode("append").partitionBy("size", "theme", "region")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("size", "theme", "region")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", max_file_rows)
         .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
@@ -182,7 +183,8 @@ def asset_manifest(spark: SparkSession, path: str, source: str = "") -> DataFram
 
 
 def path_problem(release: Column, region: Column, file_name: Column) -> Column:
-    """Why a dataset path is not acceptable, or NULL when it is."""
+    """Why a dataset path is not acceptable, or NULL when it is. Files are named by number,
+    as plain ``part_00000.parquet`` or as Spark's writer names them."""
     # The layout's name patterns.
     day = F.regexp_extract(release, r"^(.*)\.([^.]*)$", 1)
     version = F.regexp_extract(release, r"^(.*)\.([^.]*)$", 2)
@@ -191,7 +193,7 @@ def path_problem(release: Column, region: Column, file_name: Column) -> Column:
         .when(~day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") | day.try_cast("date").isNull(), "release date")
         .when(~version.rlike(r"^\d+$"), "release version")
         .when(~((region == "*") | region.rlike(r"^\d{2}$")), "region")
-        .when(~((file_name == "*.parquet") | file_name.rlike(r"^part_\d{5,}\.parquet$")), "file name")
+        .when(~((file_name == "*.parquet") | file_name.rlike(r"^part_\d{5,}\.parquet$|^part-\d{5,}-[0-9a-z.-]+\.parquet$")), "file name")
     )
 
 

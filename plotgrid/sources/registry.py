@@ -48,11 +48,13 @@ def with_next_release(releases: DataFrame, today: Column, created: Column) -> Da
 
 
 def append_samples(samples: DataFrame, path: str, iterations_per_run: int) -> None:
-    """Append sample rows under query, run and iteration folders; iterations of later runs
-    continue the count."""
-    global_iteration(samples, iterations_per_run).write.mode("append").partitionBy(
-        "query_id", "run_id", "benchmark_run", "iteration"
-    ).parquet(path)
+    """Append sample rows under one folder per query; iterations of later runs continue the count.
+
+    Run and iteration stay columns and rows are brought together by query, so a long history
+    makes neither a folder nor a file per run.
+    """
+    rows = global_iteration(samples, iterations_per_run).hint("rebalance", "query_id")
+    rows.write.mode("append").partitionBy("query_id").parquet(path)
 
 
 def global_iteration(samples: DataFrame, iterations_per_run: int) -> DataFrame:
@@ -60,7 +62,8 @@ def global_iteration(samples: DataFrame, iterations_per_run: int) -> DataFrame:
 
 
 def append_costs(costs: DataFrame, path: str) -> None:
-    costs.write.mode("append").partitionBy("query_id", "run_id", "benchmark_run", "provider").parquet(path)
+    """Append cost rows under one folder per query; run and provider stay columns."""
+    costs.hint("rebalance", "query_id").write.mode("append").partitionBy("query_id").parquet(path)
 
 
 def append_run(runs: DataFrame, path: str) -> None:

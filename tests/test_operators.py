@@ -343,7 +343,8 @@ def test_phase_split_clamps_and_caps(spark):
         "shuffle_write_bytes bigint, stage_duration_ms bigint",
     )
     walls = spark.createDataFrame([(1, 2000.4), (2, 100.0), (3, 50.0)], "run_id int, wall_ms double")
-    got = {r["run_id"]: r for r in samples.phase_split(stages, walls).collect()}
+    got = {r["run_id"]: r for r in samples.phase_split(stages, walls, cap=100).collect()}
+    assert samples.phase_split(stages, walls).filter("run_id = 1").first()["stage_durations_ms"].count("10") == 150
     assert got[1]["driver_collection_time_ms"] == 500 and got[1]["stage_durations_ms"].count("10") == 100
     assert got[1]["executor_input_bytes_read"] == 0
     assert got[2]["driver_collection_time_ms"] == 0
