@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotgrid.operators.ranking import previous_row
+from plotgrid.operators.sizes import broadcast_if_small
 
 GIB = float(1024**3)
 # Seconds per billing month, and prices in USD.
@@ -110,11 +111,33 @@ def container_usage(windows: DataFrame, experiments: DataFrame, series: DataFram
         F.sum(F.when(F.col("metric") == "NetworkBytesReceivedPerSecond", F.col("rate_total"))).alias("bytes_ingress"),
         F.sum(F.when(F.col("metric") == "NetworkBytesTransmittedPerSecond", F.col("rate_total"))).alias("bytes_egress"),
     ).withColumnRenamed("resource", "script_id")
-    return windows.join(F.broadcast(listed), "script_id").join(traffic, "script_id", "left").na.fill(
+    return windows.join(broadcast_if_small(listed), "script_id").join(traffic, "script_id", "left").na.fill(
         0.0, ["bytes_ingress", "bytes_egress"]
     )
 
 
+def database_usage(windows: DataFrame, series: DataFrame) -> DataFrame:
+    """Windows (resource, duration_seconds) with cpu and memory load, traffic and the storage
+    used last, from the rollup of :func:`metric_rollup`; 0 for a metric without points."""
+    # Metric names, and which of a metric's values each column takes.
+    columns = {
+        "avg_cpu_percent": ("cpu_percent", "mean"), "max_cpu_percent": ("cpu_percent", "greatest"),
+        "min_cpu_percent": ("cpu_percent", "least"), "avg_memory_percent": ("memory_percent", "mean"),
+        "max_memory_percent": ("memory_percent", "greatest"), "min_memory_percent": ("memory_percent", "least"),
+        "network_ingress_bytes": ("network_bytes_ingress", "total"),
+        "network_egress_bytes": ("network_bytes_egress", "total"), "storage_used_bytes": ("storage_used", "last"),
+    }
+    wide = series.groupBy("resource").agg(*[
+        F.max(F.when(F.col("metric") == metric, F.col(value))).alias(name) for name, (metric, value) in columns.items()
+    ])
+    return windows.join(wide, "resource", "left").na.fill(0.0, list(columns))
+
+
+def cluster_usage(windows: DataFrame, num_workers: Column) -> DataFrame:
+    """Windows (duration_seconds, bytes_egress) with the number of workers that ran them."""
+    return windows.withColumn("num_workers", num_workers)
+
+
 def metric_rollup(points: DataFrame, granularity_seconds: int = 60) -> DataFrame:
     """Per resource and metric: total (mean where the total is missing), mean, last, greatest
     and least value, and rate times granularity. All partial aggregates. Of several

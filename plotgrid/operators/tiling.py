@@ -67,6 +67,28 @@ def tile_geometries(df: DataFrame, zooms: list[int], id_column: str) -> DataFram
     return cut.filter(F.col("geometry").isNotNull()).select(*TILE, "feature_id", "geometry")
 
 
+def parse_tile_list(lists: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Tile requests from rows of JSON text ``[[z, x, y], ..]``: (requests, rejected).
+
+    Requests carry the other columns and ``place``, the item's place in its list. Numbers with a fraction are
+    cut, whole numbers may be given as text. A text that is no list is rejected as it is, a bad item by itself.
+    """
+    others = [c for c in lists.columns if c != column]
+    text = F.when(F.trim(column).startswith("["), F.col(column))
+    parsed = lists.withColumn("_items", F.from_json(text, "array<string>"))
+    listed = parsed.filter(F.col("_items").isNotNull()).select(*others, F.posexplode("_items").alias("place", "item"))
+    split = listed.withColumn("_t", F.from_json(F.when(F.col("item").startswith("["), F.col("item")), "array<string>"))
+    cells = split.withColumn("_n", F.transform(
+        "_t", lambda v: F.when(v.rlike(r"^\s*[-+]?\d+(\.\d*)?\s*$"), F.regexp_extract(v, r"([-+]?\d+)", 1).try_cast("int"))
+    ))
+    good = (F.size("_n") == 3) & ~F.exists("_n", lambda v: v.isNull())
+    good = F.coalesce(good, F.lit(False))
+    requests = cells.filter(good).select(*others, "place", *[F.col("_n")[i].alias(c) for i, c in enumerate(TILE)])
+    bad_items = cells.filter(~good).select(*others, "place", "item")
+    bad_texts = parsed.filter(F.col("_items").isNull()).select(*others, F.lit(None).cast("int").alias("place"), F.col(column).alias("item"))
+    return requests, bad_items.unionByName(bad_texts)
+
+
 def tile_counts(long: DataFrame) -> DataFrame:
     return long.groupBy(*TILE).agg(F.count("*").alias("n"))
 

@@ -542,6 +542,36 @@ def container_usage(spark, sf_dir):
     return usage.withColumns({c: F.round(c, 5) for c in ("bytes_ingress", "bytes_egress")})
 
 
+@query("m8_database_usage", """WITH p AS (SELECT user_id AS resource, event_id, ts, value, event_type AS metric FROM events),
+w AS (SELECT user_id AS resource, count(*) AS duration_seconds FROM events GROUP BY user_id)
+SELECT w.resource, duration_seconds,
+  round(coalesce(avg(value) FILTER (metric = 'view'), 0), 6) AS avg_cpu_percent,
+  coalesce(max(value * 4) FILTER (metric = 'view'), 0) AS max_cpu_percent,
+  coalesce(min(value / 2) FILTER (metric = 'view' AND event_id % 7 <> 0), 0) AS min_cpu_percent,
+  round(coalesce(avg(value) FILTER (metric = 'click'), 0), 6) AS avg_memory_percent,
+  coalesce(max(value * 4) FILTER (metric = 'click'), 0) AS max_memory_percent,
+  coalesce(min(value / 2) FILTER (metric = 'click' AND event_id % 7 <> 0), 0) AS min_memory_percent,
+  round(coalesce(sum(CASE WHEN event_id % 3 = 0 THEN value ELSE value * 2 END) FILTER (metric = 'signup'), 0), 6) AS network_ingress_bytes,
+  round(coalesce(sum(CASE WHEN event_id % 3 = 0 THEN value ELSE value * 2 END) FILTER (metric = 'purchase'), 0), 6) AS network_egress_bytes,
+  coalesce(max({'ts': ts, 'value': value}) FILTER (metric = 'error').value, 0) AS storage_used_bytes
+FROM w LEFT JOIN p USING (resource) GROUP BY w.resource, duration_seconds""")
+def database_usage(spark, sf_dir):
+    """Events as the metrics of one database per user."""
+    names = {"view": "cpu_percent", "click": "memory_percent", "signup": "network_bytes_ingress", "purchase": "network_bytes_egress", "error": "storage_used"}
+    points = fx.metric_points(spark, sf_dir)
+    renamed = points.replace(names, subset=["metric"])
+    windows = points.groupBy("resource").agg(F.count("*").alias("duration_seconds"))
+    usage = sm.database_usage(windows, sm.metric_rollup(renamed))
+    return usage.withColumns({c: F.round(c, 6) for c in ("avg_cpu_percent", "avg_memory_percent", "network_ingress_bytes", "network_egress_bytes")})
+
+
+@query("m8_cluster_usage", """SELECT event_type AS query_id, user_id AS run_id, count(*) AS bytes_egress, CAST(2 + user_id % 3 AS BIGINT) AS num_workers
+FROM events GROUP BY event_type, user_id""")
+def cluster_usage(spark, sf_dir):
+    windows = _samples(spark, sf_dir).groupBy("query_id", "run_id").agg(F.count("*").alias("bytes_egress"))
+    return sm.cluster_usage(windows, F.col("run_id") % 3 + 2)
+
+
 def _stages(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
     return e.select(

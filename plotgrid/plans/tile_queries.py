@@ -185,6 +185,24 @@ def dropped_features(spark, sf_dir):
     return kept.groupBy("z", "x", "y").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"))
 
 
+@query("l6_tile_list", """SELECT k, CAST(CASE k % 5 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS place,
+  CASE WHEN k % 5 IN (0, 3) THEN 13 END AS z, CASE WHEN k % 5 IN (0, 3) THEN CAST(k % 8192 AS INTEGER) END AS x, CASE WHEN k % 5 IN (0, 3) THEN 7 END AS y,
+  CASE k % 5 WHEN 1 THEN '["a",1,2]' WHEN 2 THEN '[1,2]' END AS item FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 5 <> 4
+UNION ALL SELECT o_orderkey, 0, NULL, NULL, NULL, '17' FROM orders WHERE o_orderkey % 5 = 3
+UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, 'no list' FROM orders WHERE o_orderkey % 5 = 4""")
+def tile_list(spark, sf_dir):
+    """Request lists as JSON, one in five good, the others bad in different ways."""
+    k = F.col("o_orderkey")
+    tile = F.concat(F.lit("[13,"), (k % 8192).cast("string"), F.lit(",7]"))
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("["), tile, F.lit("]"))).when(k % 5 == 1, F.lit('[["a", 1, 2]]')).when(k % 5 == 2, F.lit("[[1,2]]"))
+        .when(k % 5 == 3, F.concat(F.lit("[17, "), tile, F.lit("]"))).otherwise(F.lit("no list"))
+    )
+    lists = fx.table(spark, sf_dir, "orders").select(k.alias("k"), text.alias("value"))
+    requests, rejected = tiling.parse_tile_list(lists)
+    return requests.unionByName(rejected, allowMissingColumns=True)
+
+
 @query("l6_cycle_rows", """WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) - 1 AS at, count(*) OVER () AS total FROM part)
 SELECT i AS request_id, p_partkey FROM range(50000) r(i) JOIN n ON n.at = r.i % n.total""")
 def cycle_rows(spark, sf_dir):
