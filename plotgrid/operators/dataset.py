@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from plotgrid.operators.shaping import union_by_name, with_missing_columns
 from plotgrid.operators.sizes import broadcast_if_small
 from plotgrid.operators.zones import ZoneLookup, zone_lookup, zone_pairs
 from plotgrid.session import cut_lineage
+from plotgrid.sources import layout
 
 PARTITION_PRECISION = 3
 OPTIONAL_TIMES = {"feature_update_time": "timestamp", "feature_capture_time": "timestamp"}
@@ -50,20 +52,44 @@ def clip_to_regions(
     return zone_pairs(rows, zones, key, lookup=lookup).withColumnRenamed("zone", key)
 
 
-def prepare_dataset(fkb: DataFrame, osm: DataFrame, zones: DataFrame, key: str = "region") -> DataFrame:
+def prepare_dataset(
+    fkb: DataFrame, osm: DataFrame, zones: DataFrame, key: str = "region",
+    keep: Callable[[DataFrame, str], DataFrame] = cut_lineage,
+) -> DataFrame:
     """Clip both sources to all regions at once, key them, and conflate within regions.
 
     The clipped sources are kept as tables (the raw layer of the dataset), since the
-    conflation reads them more than once.
+    conflation reads them more than once; ``keep`` writes one under a name and reads it again.
+    This runs jobs when called.
     """
     lookup = zone_lookup(zones, key)
 
     def raw(df, name):
-        return cut_lineage(with_partition_key(clip_to_regions([df], zones, key, lookup)), name)
+        return keep(with_partition_key(clip_to_regions([df], zones, key, lookup)), name)
 
     return Conflation(raw(fkb, "raw-fkb"), raw(osm, "raw-osm"), by=(key,)).merged()
 
 
+def publish_dataset(
+    fkb: DataFrame, osm: DataFrame, zones: DataFrame, root: str, release: str, key: str = "region"
+) -> DataFrame:
+    """The whole dataset job for one release; returns its checked manifest.
+
+    Writes the clipped sources below ``raw``, conflates them, writes the small dataset and lists its
+    files. Every step replaces what it wrote before, so a run that is repeated or broken off
+    leaves the same files as one run.
+    """
+    spark = fkb.sparkSession
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{layout.dataset_path(root, release)}/raw/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    path = layout.write_buildings(prepare_dataset(fkb, osm, zones, key, keep), root, release, "small")
+    return layout.validate_paths(layout.asset_manifest(spark, f"{path}/size=small", source="small"))
+
+
 def rotation_matrix(angle: Column, cx: Column, cy: Column, target_x: Column, target_y: Column) -> dict[str, Column]:
     """Affine terms that turn a shape about (cx, cy) and move that point to the target."""
     cos, sin = F.cos(angle), F.sin(angle)

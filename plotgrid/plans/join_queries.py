@@ -14,6 +14,8 @@ from plotgrid.operators.conflation import Conflation
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
 from plotgrid.plans.registry import query
+from plotgrid.session import scratch_folder
+from plotgrid.sources import layout
 
 RECT = f"WITH {ref.RECT}"
 ZONES = f"WITH {ref.RECT}, {ref.zone_tables()}, {ref.ZONE_PAIRS}"
@@ -250,6 +252,17 @@ def prepare_dataset(spark, sf_dir):
     return prepared.select("external_id", "region", "source", "partition_key")
 
 
+@query("t6_publish_twice", PREPARE)
+def publish_twice(spark, sf_dir):
+    """The dataset job, run twice over the same release, read back from its files."""
+    root, release = scratch_folder(spark, "published"), "2026-04-02.0"
+    for _ in range(2):
+        manifest = ds.publish_dataset(fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir), fx.zones(spark), root, release)
+    known = manifest.filter("problem IS NULL").select("region").distinct()
+    back = layout.scan_buildings(spark, root, release, "small")
+    return back.join(known, "region", "left_semi").select("external_id", "region", "source", "partition_key")
+
+
 def _clone_check(clones: int) -> str:
     key = "region || ':' || external_id || ':' || clone"
     return f"""{RECT}, {ref.zone_tables()},
