@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
-from plotgrid.operators.sizes import broadcast_if_small
+from plotgrid.operators.sizes import at_most, broadcast_if_small
 from plotgrid.session import cut_lineage
 
 LEVEL_FACTOR = 16
 LEVELS = 5
 FINE_LEVEL = -1
+SLIM_WINDOWS = 2_000_000
 CROWDED_EDGES = 128
 # The anchor sits at this share of a window's first cell, away from round coordinates.
 ANCHOR_X, ANCHOR_Y = 0.381966, 0.618034
@@ -152,11 +153,13 @@ def _parents(within: DataFrame) -> DataFrame:
 
 class ZoneLookup(NamedTuple):
     """Windows of all zones (zone key in ``zone``) and the level 0 windows, if any, whose
-    many edges made a finer level necessary."""
+    many edges made a finer level necessary. ``slim`` holds the windows without their edges
+    where these are too many to broadcast and the windows alone are not."""
 
     windows: DataFrame
     crowded: DataFrame | None
     cell: float
+    slim: DataFrame | None = None
 
 
 def zone_lookup(zones: DataFrame, key: str = "region", cell: float = 1 / 64) -> ZoneLookup:
@@ -164,10 +167,12 @@ def zone_lookup(zones: DataFrame, key: str = "region", cell: float = 1 / 64) ->
 
     Where a detailed border (a coastline) puts many edges into one window, that window is
     also listed on a level sixteen times finer, so that a row never drags a long edge list
-    along. The lookup is marked for broadcast when its rows and edges are proven few;
-    otherwise joins shuffle both sides by window and adaptive execution splits crowded
-    windows of the building side. ``cell`` must be a power of two, which keeps cell
-    numbers of both levels exact.
+    along. The lookup is marked for broadcast when its rows and edges are proven few. Up to
+    ``SLIM_WINDOWS`` windows are broadcast without their edges: that settles all rows in
+    inner windows where they are, and only rows in border windows are shuffled. Beyond that,
+    joins shuffle both sides by window and adaptive execution splits crowded windows of the
+    building side. ``cell`` must be a power of two, which keeps cell numbers of both
+    levels exact. This runs jobs when called.
     """
     if math.frexp(cell)[0] != 0.5:
         raise ValueError("the cell size must be a power of two")
@@ -179,7 +184,11 @@ def zone_lookup(zones: DataFrame, key: str = "region", cell: float = 1 / 64) ->
         crowded = broadcast_if_small(crowded)
         fine = zone_windows(zones, key, cell, [FINE_LEVEL], crowded).withColumnRenamed(key, "zone")
         windows = cut_lineage(windows.unionByName(fine), "windows")
-    return ZoneLookup(broadcast_if_small(windows, weight=F.coalesce(F.size("edges"), F.lit(0))), crowded, cell)
+    marked = broadcast_if_small(windows, weight=F.coalesce(F.size("edges"), F.lit(0)))
+    slim = None
+    if marked is windows and at_most(windows, SLIM_WINDOWS):
+        slim = F.broadcast(windows.select("zone", "level", "wx", "wy", F.col("edges").isNotNull().alias("_border")))
+    return ZoneLookup(marked, crowded, cell, slim)
 
 
 def _keyed(df: DataFrame, lookup: ZoneLookup) -> DataFrame:
@@ -211,7 +220,19 @@ def zone_pairs(
     columns = keep if keep is not None else [c for c in df.columns if c != "zone"]
     if lookup is None:
         lookup = zone_lookup(zones, key, cell)
-    joined = _keyed(df, lookup).join(lookup.windows, ["level", "wx", "wy"])
+    window = ["level", "wx", "wy"]
+    keyed = _keyed(df, lookup)
+    if lookup.slim is None:
+        return _tested(keyed.join(lookup.windows, window), lookup, geometry, columns)
+    placed = keyed.join(lookup.slim, window)
+    inner = placed.filter(~F.col("_border")).select(*columns, "zone")
+    edged = lookup.windows.filter(F.col("edges").isNotNull())
+    border = placed.filter("_border").drop("_border").join(edged, ["zone", *window])
+    return inner.unionByName(_tested(border, lookup, geometry, columns))
+
+
+def _tested(joined: DataFrame, lookup: ZoneLookup, geometry: str, columns: list[str]) -> DataFrame:
+    """Rows beside their windows that pass: at once in inner windows, by the edges in others."""
     size = _cell_size(F.col("level"), lookup.cell)
     settled = F.col("edges").isNull()
     exact = g.meets_zone(

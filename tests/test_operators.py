@@ -74,6 +74,30 @@ def test_zone_join_without_broadcast(spark, sf_dir, monkeypatch):
     assert zn.spatial_join_counts(fx.buildings(spark, sf_dir), fx.zones(spark)).collect() == wide
 
 
+def test_zone_join_with_many_windows(spark, sf_dir, monkeypatch):
+    b, zones = fx.buildings(spark, sf_dir), fx.zones(spark)
+    want = sorted(map(tuple, zn.zone_pairs(b, zones, keep=["k"]).collect()))
+    monkeypatch.setattr(zn, "broadcast_if_small", lambda df, **_: df)
+    lookup = zn.zone_lookup(zones)
+    assert lookup.slim is not None
+    assert sorted(map(tuple, zn.zone_pairs(b, zones, keep=["k"], lookup=lookup).collect())) == want
+    monkeypatch.setattr(zn, "SLIM_WINDOWS", 1)
+    assert zn.zone_lookup(zones).slim is None
+
+
+def test_inner_windows_of_a_large_zone_need_no_shuffle(spark, sf_dir, tmp_path):
+    zones = spark.range(1).select(F.lit("01").alias("region"), g.rectangle(10.0, 59.0, 20.0, 68.0).alias("geometry"))
+    lookup = zn.zone_lookup(zones, cell=1 / 64)
+    assert lookup.windows.count() >= 300_000 and lookup.slim is not None
+    fx.buildings(spark, sf_dir).write.parquet(str(tmp_path / "b"))
+    b = spark.read.parquet(str(tmp_path / "b"))
+    pairs = zn.zone_pairs(b, zones, keep=["k"], lookup=lookup)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    inner = plan.split("Union")[1].split("SortMergeJoin")[0]
+    assert "BroadcastHashJoin" in inner and "Exchange hashpartitioning" not in inner
+    assert pairs.count() == b.filter("bbox.xmax >= 10 AND bbox.xmin <= 20 AND bbox.ymax >= 59 AND bbox.ymin <= 68").count()
+
+
 def test_zone_cell_must_be_a_power_of_two(spark, sf_dir):
     with pytest.raises(ValueError):
         zn.zone_lookup(fx.zones(spark), cell=0.01)
