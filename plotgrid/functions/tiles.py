@@ -84,17 +84,16 @@ def _tile_space(extent: int, buffer: int):
 
 def _cut_rings(shapes: kernels.Shapes, xy: np.ndarray, low: float, high: float) -> pa.ListArray:
     """Cut closed rings to the square [low, high] and drop those left without area."""
-    count = shapes.ring_len.copy()
     outside = ((xy < low) | (xy > high)).any(axis=1)
-    pieces, done = [], 0
-    for r in np.unique(shapes.point_ring[outside]):
-        begin = shapes.ring_start[r]
-        ring = _clip_ring(xy[begin:begin + shapes.ring_len[r]], low, high)
-        pieces += [xy[done:begin], ring]
-        done, count[r] = begin + shapes.ring_len[r], len(ring)
-    xy = np.concatenate([*pieces, xy[done:]])
-
-    owner = np.repeat(np.arange(len(count)), count)
+    cut = np.zeros(len(shapes.ring_len), bool)
+    cut[shapes.point_ring[outside]] = True
+    cut = cut[shapes.point_ring]
+    clipped, clipped_ring = _clip_rings(xy[cut], shapes.point_ring[cut], low, high)
+    owner = np.concatenate([shapes.point_ring[~cut], clipped_ring])
+    order = np.argsort(owner, kind="stable")
+    xy, owner = np.concatenate([xy[~cut], clipped])[order], owner[order]
+    count = np.bincount(owner, minlength=len(shapes.ring_len))
+
     moved = np.ones(len(xy), bool)
     moved[1:] = (owner[1:] != owner[:-1]) | (xy[1:] != xy[:-1]).any(axis=1)
     xy, owner = xy[moved], owner[moved]
@@ -113,29 +112,31 @@ def _cut_rings(shapes: kernels.Shapes, xy: np.ndarray, low: float, high: float)
     return kernels.nest(xy[points, 0], xy[points, 1], count[keep], rings, parts, parts == 0)
 
 
-def _clip_ring(ring: np.ndarray, low: float, high: float) -> np.ndarray:
+def _clip_rings(xy: np.ndarray, ring: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Closed rings cut to the square by one half-plane after the other, all rings at once."""
     for axis, limit, keep_above in ((0, low, True), (0, high, False), (1, low, True), (1, high, False)):
-        ring = _half_plane(ring, axis, limit, keep_above)
-        if not len(ring):
-            break
-    return np.floor(ring + 0.5)
-
-
-def _half_plane(ring: np.ndarray, axis: int, limit: float, keep_above: bool):
-    value = ring[:, axis] if keep_above else -ring[:, axis]
-    bound = limit if keep_above else -limit
-    kept = []
-    for i in range(len(ring) - 1):
-        here, there = value[i] >= bound, value[i + 1] >= bound
-        if here:
-            kept.append(ring[i])
-        if here != there:
-            t = (bound - value[i]) / (value[i + 1] - value[i])
-            kept.append(ring[i] + t * (ring[i + 1] - ring[i]))
-    if len(kept) < 3:
-        return np.zeros((0, 2))
-    kept.append(kept[0])
-    return np.array(kept)
+        xy, ring = _half_plane(xy, ring, axis, limit, keep_above)
+    return np.floor(xy + 0.5), ring
+
+
+def _half_plane(xy: np.ndarray, ring: np.ndarray, axis: int, limit: float, keep_above: bool):
+    value, bound = (xy[:, axis], limit) if keep_above else (-xy[:, axis], -limit)
+    edge = np.flatnonzero(ring[1:] == ring[:-1])
+    here, there = value[edge] >= bound, value[edge + 1] >= bound
+    crosses = here != there
+    step = np.where(crosses, value[edge + 1] - value[edge], 1.0)
+    t = (bound - value[edge]) / step
+    # every edge may keep its first point and add the point where it crosses
+    both = np.stack([xy[edge], xy[edge] + t[:, None] * (xy[edge + 1] - xy[edge])], axis=1).reshape(-1, 2)
+    kept = np.stack([here, crosses], axis=1).ravel()
+    points, owner = both[kept], np.repeat(ring[edge], 2)[kept]
+    if not len(points):
+        return points, owner
+    enough = np.bincount(owner)[owner] >= 3
+    points, owner = points[enough], owner[enough]
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    after = np.append(first[1:], len(owner)) if len(owner) else first
+    return np.insert(points, after, points[first], axis=0), np.insert(owner, after, owner[first])
 
 
 def to_tile_space(geometry: Column, z: Column, x: Column, y: Column, extent: int = EXTENT, buffer: int = BUFFER) -> Column:

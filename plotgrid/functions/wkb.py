@@ -1,7 +1,8 @@
 """WKB to nested rings and back, one Arrow batch at a time.
 
-Polygons with one ring (nearly every footprint) are moved with whole-batch numpy
-gathers; the rest take a small per-value reader. Z values are dropped.
+Little-endian flat polygons with any number of rings (nearly every footprint) are read
+with whole-batch numpy gathers, ring by ring; other rows take a small per-value reader.
+Writing is done by gathers for all kinds. Z values are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from plotgrid.functions import kernels as k
 
 POLYGON, MULTIPOLYGON = 3, 6
-_HEAD = 13  # byte order, type, ring count, point count of a one-ring polygon
+_HEAD = 9  # byte order, type, number of rings or parts
 
 
 def decode(array: pa.Array) -> pa.ListArray:
@@ -24,34 +25,71 @@ def decode(array: pa.Array) -> pa.ListArray:
     offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset:array.offset + n + 1].astype(np.int64)
     body = array.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
-    size = np.diff(offsets)
     known = array.is_valid().to_numpy(zero_copy_only=False)
-    start = offsets[:-1]
-    simple = known & (size >= _HEAD)
-    at = start[simple]
-    head = data[at[:, None] + np.arange(_HEAD)] if len(at) else np.zeros((0, _HEAD), np.uint8)
-    plain = (head[:, 0] == 1) & (_u32(head, 1) == POLYGON) & (_u32(head, 5) == 1)
-    points = _u32(head, 9).astype(np.int64)
-    plain &= size[simple] == _HEAD + 16 * points
-    fast = np.flatnonzero(simple)[plain]
-    count = points[plain]
-    begin = start[fast] + _HEAD
-    total = int(count.sum())
-    inner = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    byte_at = np.repeat(begin, count) + 16 * inner
-    xy = data[byte_at[:, None] + np.arange(16)].copy().view("<f8") if total else np.zeros((0, 2))
-    if len(fast) == n:
-        ones = np.ones(n, np.int64)
-        return k.nest(xy[:, 0], xy[:, 1], count, ones, ones)
-    shapes: list = [None] * n
-    pieces = np.split(xy, np.cumsum(count)[:-1]) if len(fast) else []
-    for i, piece in zip(fast, pieces):
-        shapes[i] = [[piece]]
+    flat, ring_row, ring_begin, ring_len = _flat_polygons(data, offsets, known)
+    xy = _points(data, ring_begin, ring_len)
+    part_row, part_rings = flat, np.bincount(ring_row, minlength=n)[flat]
     slow = known.copy()
-    slow[fast] = False
-    for i in np.flatnonzero(slow):
-        shapes[i] = _read(data[offsets[i]:offsets[i + 1]].tobytes())
-    return from_lists(shapes)
+    slow[flat] = False
+    shapes = {i: shape for i in np.flatnonzero(slow) if (shape := _read(data[offsets[i]:offsets[i + 1]].tobytes())) is not None}
+    if shapes:
+        rings = [(i, r) for i, shape in shapes.items() for part in shape for r in part]
+        xy = np.concatenate([xy, *(r for _, r in rings)])
+        ring_row = np.concatenate([ring_row, np.array([i for i, _ in rings], np.int64)])
+        ring_len = np.concatenate([ring_len, np.array([len(r) for _, r in rings], np.int64)])
+        parts = [(i, len(part)) for i, shape in shapes.items() for part in shape]
+        part_row = np.concatenate([part_row, np.array([i for i, _ in parts], np.int64)])
+        part_rings = np.concatenate([part_rings, np.array([m for _, m in parts], np.int64)])
+    null = np.ones(n, bool)
+    null[flat] = False
+    null[list(shapes)] = False
+    by_ring, by_part = np.argsort(ring_row, kind="stable"), np.argsort(part_row, kind="stable")
+    xy = xy[_spans((np.cumsum(ring_len) - ring_len)[by_ring], ring_len[by_ring])]
+    return k.nest(xy[:, 0], xy[:, 1], ring_len[by_ring], part_rings[by_part], np.bincount(part_row, minlength=n), null)
+
+
+def _spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. for ``count[0]`` places, then from begin[1], and so on."""
+    ahead = np.cumsum(count) - count
+    return np.arange(int(count.sum())) - np.repeat(ahead - begin, count)
+
+
+def _points(data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    inner = _spans(np.zeros(len(count), np.int64), count)
+    at = np.repeat(begin, count) + 16 * inner
+    return data[at[:, None] + np.arange(16)].copy().view("<f8") if len(at) else np.zeros((0, 2))
+
+
+def _flat_polygons(data: np.ndarray, offsets: np.ndarray, known: np.ndarray):
+    """Rows that are whole little-endian polygons without Z, and their rings: (rows, row of
+    each ring, byte of its first point, number of points), the rings of a row in order."""
+    start, end = offsets[:-1], offsets[1:]
+    rows = np.flatnonzero(known & (end - start >= _HEAD))
+    head = data[start[rows, None] + np.arange(_HEAD)] if len(rows) else np.zeros((0, _HEAD), np.uint8)
+    plain = (head[:, 0] == 1) & (_u32(head, 1) == POLYGON) & (_u32(head, 5) > 0)
+    rows, left = rows[plain], _u32(head, 5)[plain].astype(np.int64)
+    at, broken = start[rows] + _HEAD, np.zeros(len(rows), bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    live = np.arange(len(rows))
+    while len(live):
+        short = at[live] + 4 > end[rows[live]]
+        broken[live[short]] = True
+        live = live[~short]
+        count = _u32(data[at[live, None] + np.arange(4)], 0).astype(np.int64) if len(live) else np.zeros(0, np.int64)
+        after = at[live] + 4 + 16 * count
+        short = after > end[rows[live]]
+        broken[live[short]] = True
+        live, count, after = live[~short], count[~short], after[~short]
+        found.append((live, at[live] + 4, count))
+        at[live] = after
+        left[live] -= 1
+        live = live[left[live] > 0]
+    broken |= at != end[rows]
+    ring, begin, count = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+    whole = ~broken[ring]
+    ring, begin, count = ring[whole], begin[whole], count[whole]
+    order = np.argsort(ring, kind="stable")
+    return rows[~broken], rows[ring[order]], begin[order], count[order]
 
 
 def _u32(rows: np.ndarray, column: int) -> np.ndarray:
@@ -116,45 +154,41 @@ def _read_rings(value: bytes, at: int, order: str, width: int):
 def encode(array: pa.ListArray) -> pa.Array:
     """Little-endian WKB: polygon for one part, multipolygon for several."""
     s = k.Shapes(array)
+    null = np.asarray(s.null, bool)
     parts_of = np.bincount(s.part_geom, minlength=s.n)
-    rings_of = np.bincount(s.ring_geom, minlength=s.n)
-    xy = np.stack([s.x, s.y], axis=1)
-    if (parts_of == 1).all() and (rings_of == 1).all():
-        return _encode_plain(xy, s.ring_len)
-    values = []
-    part_first = np.searchsorted(s.part_geom, np.arange(s.n))
-    ring_first = np.searchsorted(s.ring_part, np.arange(len(s.part_geom) + 1))
-    for g in range(s.n):
-        if s.null[g]:
-            values.append(None)
-            continue
-        bodies = []
-        for p in range(part_first[g], part_first[g] + parts_of[g]):
-            rings = range(ring_first[p], ring_first[p + 1])
-            body = struct.pack("<BII", 1, POLYGON, len(rings))
-            for r in rings:
-                span = slice(s.ring_start[r], s.ring_start[r] + s.ring_len[r])
-                body += struct.pack("<I", s.ring_len[r]) + xy[span].astype("<f8").tobytes()
-            bodies.append(body)
-        if len(bodies) == 1:
-            values.append(bodies[0])
-        else:
-            values.append(struct.pack("<BII", 1, MULTIPOLYGON, len(bodies)) + b"".join(bodies))
-    return pa.array(values, pa.binary())
-
-
-def _encode_plain(xy: np.ndarray, points: np.ndarray) -> pa.Array:
-    size = _HEAD + 16 * points
+    n_parts = len(s.part_geom)
+    rings_of_part = np.bincount(s.ring_part, minlength=n_parts)
+    several = (parts_of != 1) & ~null
+    ring_size = 4 + 16 * s.ring_len
+    part_size = _HEAD + np.bincount(s.ring_part, ring_size, minlength=n_parts).astype(np.int64)
+    size = _HEAD * several + np.bincount(s.part_geom, part_size, minlength=s.n).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(size)))
     data = np.zeros(int(offsets[-1]), np.uint8)
-    head = np.zeros((len(points), _HEAD), np.uint8)
-    head[:, 0] = 1
-    for column, value in ((1, np.full(len(points), POLYGON)), (5, np.ones(len(points))), (9, points)):
-        head[:, column:column + 4] = value.astype("<u4")[:, None].view(np.uint8)
-    data[offsets[:-1, None] + np.arange(_HEAD)] = head
-    inner = np.arange(len(xy)) - np.repeat(np.cumsum(points) - points, points)
-    byte_at = np.repeat(offsets[:-1] + _HEAD, points) + 16 * inner
+    part_at = offsets[:-1][s.part_geom] + _HEAD * several[s.part_geom] + _within(part_size, s.part_geom)
+    ring_at = part_at[s.ring_part] + _HEAD + _within(ring_size, s.ring_part)
+    many = np.flatnonzero(several)
+    _write_heads(data, offsets[many], MULTIPOLYGON, parts_of[many])
+    _write_heads(data, part_at, POLYGON, rings_of_part)
+    data[ring_at[:, None] + np.arange(4)] = s.ring_len.astype("<u4")[:, None].view(np.uint8)
+    xy = np.stack([s.x, s.y], axis=1)[_spans(s.ring_start, s.ring_len)]
+    byte_at = np.repeat(ring_at + 4, s.ring_len) + 16 * _spans(np.zeros(len(s.ring_len), np.int64), s.ring_len)
     data[byte_at[:, None] + np.arange(16)] = np.ascontiguousarray(xy.astype("<f8")).view(np.uint8).reshape(-1, 16)
+    valid = None if not null.any() else pa.py_buffer(np.packbits(~null, bitorder="little"))
     return pa.Array.from_buffers(
-        pa.binary(), len(points), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+        pa.binary(), s.n, [valid, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
     )
+
+
+def _within(size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sum of the sizes before each item inside its group; groups are in order."""
+    ahead = np.cumsum(size) - size
+    first = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.zeros(0, bool)
+    return ahead - np.repeat(ahead[first], np.diff(np.append(np.flatnonzero(first), len(group)))) if len(group) else ahead
+
+
+def _write_heads(data: np.ndarray, at: np.ndarray, kind: int, count: np.ndarray) -> None:
+    head = np.zeros((len(at), _HEAD), np.uint8)
+    head[:, 0] = 1
+    head[:, 1:5] = np.full(len(at), kind, "<u4")[:, None].view(np.uint8)
+    head[:, 5:9] = count.astype("<u4")[:, None].view(np.uint8)
+    data[at[:, None] + np.arange(_HEAD)] = head

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from plotgrid.functions import kernels as k
 from plotgrid.functions import projections as p
-from plotgrid.functions import wkb
+from plotgrid.functions import tiles, wkb
 
 
 def shape(*parts):
@@ -231,3 +231,47 @@ def test_projection_fixed_points():
 def test_unknown_projection_is_refused():
     with pytest.raises(ValueError):
         p.projector(25832, 3857)
+
+
+def _random_shape(rng, kind):
+    def ring():
+        points = rng.normal(size=(rng.integers(3, 9), 2)) * 3000 + 2000
+        return np.vstack([points, points[:1]])
+
+    return [[[ring()]], [[ring(), ring(), ring()]], [[ring()], [ring(), ring()]], None, []][kind]
+
+
+@pytest.mark.parametrize("weights", [(1, 0, 0, 0, 0), (5, 2, 1, 1, 0.5), (0, 0, 0, 1, 0)])
+def test_wkb_batches_equal_single_values(weights):
+    rng = np.random.default_rng(3)
+    shapes = [_random_shape(rng, k) for k in rng.choice(5, 300, p=np.array(weights) / sum(weights))]
+    array = wkb.from_lists(shapes)
+    values = wkb.encode(array).to_pylist()
+    assert [v is None for v in values] == [s is None for s in shapes]
+    assert wkb.decode(pa.array(values, pa.binary())).equals(array)
+    good = next((v for v in values if v), b"")
+    values += [b"junk", b"", None, good[:20], good[:-3], good + b"\0" * 8]
+    want = [None if v is None else wkb._read(v) for v in values]
+    assert wkb.decode(pa.array(values, pa.binary())).equals(wkb.from_lists(want))
+
+
+def _clip_by_vertex(ring, low, high):
+    for axis, sign, bound in ((0, 1, low), (0, -1, -high), (1, 1, low), (1, -1, -high)):
+        kept = []
+        for a, b in zip(ring, ring[1:]):
+            va, vb = sign * a[axis], sign * b[axis]
+            if va >= bound:
+                kept.append(a)
+            if (va >= bound) != (vb >= bound):
+                kept.append(a + (bound - va) / (vb - va) * (b - a))
+        ring = kept + kept[:1] if len(kept) >= 3 else []
+    return np.floor(np.array(ring).reshape(-1, 2) + 0.5)
+
+
+def test_clipping_all_rings_at_once_equals_each_by_itself():
+    rng = np.random.default_rng(4)
+    rings = [np.floor(_random_shape(rng, 0)[0][0]) for _ in range(400)]
+    owner = np.repeat(np.arange(400), [len(r) for r in rings])
+    got, ring = tiles._clip_rings(np.concatenate(rings), owner, -256.0, 4352.0)
+    for i, r in enumerate(rings):
+        assert np.array_equal(got[ring == i], _clip_by_vertex(list(r), -256.0, 4352.0))
