@@ -7,7 +7,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +22,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 FIRST_SHARE = 1 / 64
 MIN_COUNT = 64
-MEMO = 200_000
+MEMO = 250_000
 MARKS = ".,!|"
 MEMO_CHARS = 64
 DOCS_AT_ONCE = 512
@@ -50,39 +49,41 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.parts, self.words = Memo(MEMO), Memo(MEMO)
+        self.marks = dict(zip(MARKS, self._library(list(MARKS))))
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _known(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of each part with a space before it. A word and one mark behind it are two pieces."""
-        split = {p: (" " + p[:-1], p[-1]) if p[-1] in MARKS and p[:-1].isalpha() else (" " + p,) for p in parts}
-        words = {w for pieces in split.values() for w in pieces}
-        ids = {w: v for w in words if (v := self.words.young.get(w) or self.words.recall(w)) is not None}
-        missing = [w for w in words if w not in ids]
-        for word, value in zip(missing, self._library(missing)):
-            ids[word] = value
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that are not in the memo, each with a space before it, and keep the
+        short ones there. A word and one mark behind it are two pieces, so words are known apart."""
+        word_of = {p: p[:-1] if p[-1] in self.marks and p[:-1].isalpha() else p for p in parts}
+        known = {w: v for w in set(word_of.values()) if (v := self.words.young.get(w) or self.words.recall(w))}
+        missing = [w for w in set(word_of.values()) if w not in known]
+        for word, value in zip(missing, self._library([" " + w for w in missing])):
+            known[word] = value
             if len(word) <= MEMO_CHARS:
                 self.words.store(word, value)
-        return {p: b"".join([ids[w] for w in pieces]) for p, pieces in split.items()}
+        learned = {p: known[w] if len(w) == len(p) else known[w] + self.marks[p[-1]] for p, w in word_of.items()}
+        for part, value in learned.items():
+            if len(part) <= MEMO_CHARS:
+                self.parts.store(part, value)
+        return learned
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [CUT.split(t or "") for t in texts]
         starts = self._library([parts.pop(0) for parts in cut])
-        used: dict[str, bytes] = {}
-        missing: set[str] = set()
-        young, recall = self.parts.young, self.parts.recall
-        for part in set(chain.from_iterable(cut)):
-            value = young.get(part) or recall(part)
-            if value is None:
-                missing.add(part)
-            else:
-                used[part] = value
-        for part, value in self._known(missing).items():
-            used[part] = value
-            if len(part) <= MEMO_CHARS:
-                self.parts.store(part, value)
-        return [start + b"".join(map(used.__getitem__, parts)) for start, parts in zip(starts, cut)]
+        get = self.parts.young.get
+        found = [list(map(get, parts)) for parts in cut]
+        missing = {p for parts, values in zip(cut, found) for p, v in zip(parts, values) if v is None}
+        old = {p: v for p in missing if (v := self.parts.recall(p)) is not None}
+        learned = old | self._learn(missing - old.keys())
+        out = []
+        for start, parts, values in zip(starts, cut, found):
+            if None in values:
+                values = [learned[p] if v is None else v for p, v in zip(parts, values)]
+            out.append(start + b"".join(values))
+        return out
 
 
 # ---- grammar
