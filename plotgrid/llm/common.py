@@ -43,7 +43,9 @@ def with_columns_replaced(df: DataFrame, row: str, added: dict[str, Column]) ->
     names = [f.name for f in df.schema[row].dataType.fields]
     taken = {name.lower() for name in added}
     kept = [F.col(row).getField(n).alias(n) for n in names if n.lower() not in taken]
-    return df.select(*kept, *(c.alias(n) for n, c in added.items()))
+    # worked out one step before the fields become columns, whose names may be any
+    made = df.select(row, F.struct(*(c.alias(n) for n, c in added.items())).alias("added"))
+    return made.select(*kept, *(F.col("added").getField(n).alias(n) for n in added))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:

@@ -74,7 +74,7 @@ def _plan(max_bits: int) -> list[tuple[int, int, int, int]]:
     for t in range(max_bits + 1):
         block = ((1 << edges[t + 1]) - 1) ^ ((1 << edges[t]) - 1)
         mask = ((1 << 64) - 1) ^ block
-        for radius in range(max(max_bits, 1)):
+        for radius in range(max_bits):
             for bits in combinations(range(edges[t + 1], 64), radius):
                 flip = sum(1 << b for b in bits)
                 low = 1 << bits[0] if bits else 0
@@ -89,6 +89,8 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     or more; the pairs tried stay close to the pairs that hold, however large a
     group of near copies is.
     """
+    if max_bits == 0:
+        return distinct.select("fp", F.col("fp").alias("other")).where(F.lit(False))
     plan = F.array(*[
         F.struct(F.lit(t).alias("t"), F.lit(m).alias("mask"), F.lit(f).alias("flip"), F.lit(low).alias("low"))
         for t, m, f, low in _plan(max_bits)
@@ -105,10 +107,13 @@ def hamming_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
         for t, m in sorted({(t, m) for t, m, _, _ in _plan(max_bits)})
     ])
+    masks = F.array(*[F.lit(m) for _, m in sorted({(t, m) for t, m, _, _ in _plan(max_bits)})])
+    differ = F.col("fp").bitwiseXOR(F.col("other"))
     held = distinct.select(F.col("fp").alias("other"), F.inline(segments).alias("t", "key"))
     return (
         asks.join(held.hint("merge"), ["t", "key"])  # either side holds many rows per fingerprint, more than size estimates say
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits)
+        .where(F.bit_count(differ) <= max_bits)
+        .where(differ.bitwiseAND(F.get(masks, F.col("t"))) != differ)  # they differ in the block that the table leaves out
         .where(~F.col("same") | (F.col("fp") < F.col("other")))
         .select("fp", "other")
     )
