@@ -137,10 +137,12 @@ def edit_likeness(docs: DataFrame, k: int = KMER_WORDS) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     links = cut_lineage(neighbours(texts), "neighbours").withColumnRenamed("key", "before")
-    texts = texts.withColumn("key", _key("doc_id"))
+    doc_type = texts.schema["doc_id"].dataType
+    # the same two columns on both ways to a join, so that texts are dealt by key once
+    texts = texts.select(_key("doc_id").alias("key"), "text")
     # next_hash is the least hash of its id, so "not larger" holds for that row alone
     heads = (
-        texts.select(F.col("key").alias("next_key"), "text").join(links.where(F.col("chars") > 1), "next_key")
+        texts.join(links.where(F.col("chars") > 1), texts["key"] == F.col("next_key"))
         .where(F.xxhash64("text") <= F.col("next_hash"))
         .select(F.col("before").alias("key"), F.expr("substring(text, 1, cast(chars div 2 as int))").alias("head"))
         .groupBy("key").agg(F.first("head").alias("head"))
@@ -148,7 +150,7 @@ def edit_likeness(docs: DataFrame, k: int = KMER_WORDS) -> DataFrame:
     n, half = F.length("text"), F.expr("cast(length(text) div 2 as int)")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
     rows = texts.join(heads, "key", "left").select(
-        "doc_id", "key", n.cast("bigint").alias("n_chars"), F.xxhash64("text").alias("text_hash"), "text", edited.alias("edited")
+        "key", n.cast("bigint").alias("n_chars"), F.xxhash64("text").alias("text_hash"), "text", edited.alias("edited")
     )
     rows = with_signature(rows, "text", "signature", k).drop("text")
     rows = rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
@@ -158,8 +160,9 @@ def edit_likeness(docs: DataFrame, k: int = KMER_WORDS) -> DataFrame:
         .join(links, "next_key").where(F.col("text_hash") <= F.col("next_hash"))
         .groupBy(F.col("before").alias("key")).agg(F.first("next_signature").alias("next_signature"))
     )
+    doc_id = F.when(F.col("key") != "", F.col("key")).cast(doc_type).alias("doc_id")
     return rows.join(others, "key", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "signature", "edited_signature",
+        doc_id, "n_chars", "edited_sha256", "signature", "edited_signature",
         likeness("signature", "edited_signature").alias("near_edited"), likeness("signature", "next_signature").alias("near_next"),
     )
 
