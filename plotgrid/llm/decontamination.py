@@ -17,9 +17,9 @@ THRESHOLD = Fraction(4, 5)
 
 
 def shingle_rows(texts: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, n, w0, w1, ..): a row per shingle of neighbouring words of the column ``words``.
+    """(key, w0, w1, ..): a row per shingle of neighbouring words of the column ``words``.
 
-    ``n`` is the text's number of shingles. A text of fewer words than ``size`` is one shingle
+    A text of fewer words than ``size`` is one shingle
     (nulls for the words it lacks), a text without words gives no row.
     """
     parts = [F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{i}") for i in range(size)]
@@ -27,7 +27,7 @@ def shingle_rows(texts: DataFrame, key: str, size: int) -> DataFrame:
         key, F.greatest(F.size("words") - (size - 1), F.lit(1)).alias("n"),
         F.posexplode(F.arrays_zip(*parts)).alias("place", "s"),
     )
-    return each.where(F.col("place") < F.col("n")).select(key, "n", *(F.col(f"s.w{i}").alias(f"w{i}") for i in range(size)))
+    return each.where(F.col("place") < F.col("n")).select(key, *(F.col(f"s.w{i}").alias(f"w{i}") for i in range(size)))
 
 
 def _words(size: int) -> list[str]:
@@ -84,11 +84,10 @@ def contained_items(
     """
     wanted = cut_lineage(item_shingles(items, size, threshold), "item-shingles")
     plain = docs.select(F.col("doc_id").alias("doc"), "text")
-    sketches = broadcast_if_small(wanted.where("in_sketch").select(F.col("h").alias("hash"), "item", "q"))
-    fits = F.col("n") * threshold.denominator >= F.col("q") * threshold.numerator
+    sketches = broadcast_if_small(wanted.where("in_sketch").select(F.col("h").alias("hash"), "item"))
     pairs = cut_lineage(
-        shingle_rows(_with_words(plain), "doc", size).select("doc", "n", _hash(size))
-        .join(sketches, (F.col("h") == F.col("hash")) & fits)
+        shingle_rows(_with_words(plain), "doc", size).select("doc", _hash(size))
+        .join(sketches, F.col("h") == F.col("hash"))
         .select("doc", "item").distinct(), "containment-candidates"
     )
     chosen = pairs.select(F.col("doc").alias("chosen")).distinct()
