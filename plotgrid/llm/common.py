@@ -65,7 +65,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), "label")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label")
 
 
 def prior_shift(labels: DataFrame, label: str, sampled: list[int]) -> float:

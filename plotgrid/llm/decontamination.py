@@ -108,7 +108,7 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE_WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
     bad = contained_items(docs, items, size, threshold).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 CHECK = r"""

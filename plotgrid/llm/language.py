@@ -120,7 +120,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     the sample sets the temperature of the softmax and the level below which a
     prediction is rejected, so that ``REJECTED`` of known text falls below it.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.select(F.col("doc_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

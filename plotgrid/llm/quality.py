@@ -158,7 +158,8 @@ def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: QualityModel, accept: float = ACCEPT) -> DataFrame:
     """The rows with a score of at least ``accept``, with the columns of ``docs``."""
-    return with_quality(docs, model).where(F.col("quality_score") >= accept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = docs.select(F.struct("*").alias("row"), score_column(F.col("text"), model).alias("score"))
+    return scored.where(F.col("score") >= accept).select("row.*")
 
 
 @query("op1_quality_classifier")

@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
         .where(F.col("doc_id") != F.col("component_id"))
         .select(F.col("doc_id").alias("gone_id")).distinct()
     )
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 @query("op3_simhash_near_dedup")
