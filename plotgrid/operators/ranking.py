@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotgrid.session import cut_lineage
+
 
 def with_row_number(df: DataFrame, lead: list[str], rest: list[str], name: str) -> DataFrame:
-    """Zero-based position of every row in the order ``lead + rest``.
+    """Zero-based position of every row in the order ``lead + rest``, which must be unique.
 
-    A row's place is its place among rows with equal ``lead`` plus the number of rows with
-    a smaller one. Only one count per distinct ``lead`` is brought together, so ``lead``
-    must be coarse (a tile column, a day), and ``rest`` must be unique within it.
+    Rows are dealt by ranges of the whole order and numbered inside their range; one count per
+    range is brought together. A frequent ``lead`` value spreads over several ranges. The
+    dealt rows are written once, so that a retried task cannot deal them differently; this runs a job
+    when called.
     """
-    inside = Window.partitionBy(*lead).orderBy(*rest)
-    before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*lead).agg(F.count("*").alias("_size"))
-        .select(*lead, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    order = [*lead, *rest]
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_size")).select(
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
     )
+    inside = Window.partitionBy("_part").orderBy(*order)
     return (
-        df.withColumn("_in", F.row_number().over(inside))
-        .join(offsets, lead)
+        dealt.withColumn("_in", F.row_number().over(inside)).join(offsets, "_part")
         .withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("bigint"))
-        .drop("_in", "_before")
+        .drop("_in", "_before", "_part")
     )
 
 

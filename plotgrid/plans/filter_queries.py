@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
 from plotgrid.operators import aggregates as agg
+from plotgrid.operators import dataset as ds
 from plotgrid.operators import filters as f
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
 from plotgrid.plans.registry import query
+from plotgrid.session import scratch_folder
+from plotgrid.sources import layout
 
 RECT = f"WITH {ref.RECT}"
 
@@ -29,6 +32,15 @@ def bbox_intersects(spark, sf_dir):
     return f.bbox_intersects(fx.buildings(spark, sf_dir), f.TRONDHEIM).select("external_id")
 
 
+@query("f1_written_layout", f"{RECT} SELECT external_id, region FROM rect WHERE {ref.overlaps(f.TRONDHEIM)}")
+def written_layout(spark, sf_dir):
+    """The box filter over a written release, where it reaches the parquet scan."""
+    root = scratch_folder(spark, "boxes")
+    layout.write_buildings(ds.with_partition_key(fx.buildings(spark, sf_dir)), root, "2026-04-02.0", "small")
+    rows = layout.decoded(layout.scan_buildings(spark, root, "2026-04-02.0", "small"))
+    return f.bbox_intersects(rows, f.TRONDHEIM).select("external_id", "region")
+
+
 SHAPE_FRAME = (10.25, 63.125, 10.625, 63.625)
 # A shape meets the frame when an edge clipped to the frame is not empty or when it holds
 # the frame; the frame is far larger than any shape, so only the first case can occur.

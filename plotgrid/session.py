@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -46,6 +48,28 @@ def attach(spark: SparkSession) -> SparkSession:
 _own_folder: dict[str, str] = {}
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all scratch folders made inside.
+
+    Results are lazy: write or collect them inside the scope. Without a scope the folders
+    stay for whoever reads the results.
+    """
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(settings).delete(path, True)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -57,7 +81,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="plotgrid-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(folder)
+    return folder
 
 
 def cut_lineage(df, name: str):

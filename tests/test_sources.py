@@ -1,5 +1,7 @@
 """Readers, writers and registries."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,18 @@ def test_scratch_folder_follows_the_session(tmp_path):
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
     with pytest.raises(ValueError):
         session.scratch_folder(FakeSession(None, "yarn"), "x")
+
+
+def test_scope_leaves_no_folder(spark, sf_dir):
+    b = fx.buildings(spark, sf_dir).select("k")
+
+    def folders(df):
+        return {Path(f.removeprefix("file:")).parent for f in df.inputFiles()}
+
+    with session.scratch_scope(spark):
+        kept = session.cut_lineage(b, "scope")
+        inside = folders(kept)
+        assert kept.count() == b.count() and all(f.exists() for f in inside)
+    assert inside and not any(f.exists() for f in inside)
+    free = session.cut_lineage(b, "free")
+    assert all(f.exists() for f in folders(free))
