@@ -37,8 +37,13 @@ def line_segments(lines: DataFrame, column: str = "geometry") -> DataFrame:
     ).filter("x0 <> x1 OR y0 <> y1").distinct()
 
 
-def split_segments(segments: DataFrame, cell: float = CELL) -> DataFrame:
-    """Cut every segment where another one crosses, touches or overlaps it."""
+def split_segments(segments: DataFrame, cell: float = CELL, snap: float = 0.0) -> DataFrame:
+    """Cut every segment where another one crosses, touches or overlaps it.
+
+    An end point as near as ``snap`` to a segment counts as lying on it and cuts it there, so
+    that lines drawn up to another one meet it although their coordinates are rounded. 0
+    asks for exact contact.
+    """
     placed = edge_cells(segments, F.lit(cell)).select(
         "row", "column", F.struct(*SEGMENT).alias("a"),
     )
@@ -46,24 +51,32 @@ def split_segments(segments: DataFrame, cell: float = CELL) -> DataFrame:
     a = {c: F.col(f"a.{c}") for c in SEGMENT}
     b = {c: F.col(f"b.{c}") for c in SEGMENT}
     near = placed.join(other, ["row", "column"]).filter(
-        (F.col("a") != F.col("b")) & (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"])
-        & (F.least(a["y0"], a["y1"]) <= F.greatest(b["y0"], b["y1"]))
-        & (F.least(b["y0"], b["y1"]) <= F.greatest(a["y0"], a["y1"]))
+        (F.col("a") != F.col("b")) & (a["x0"] - snap <= b["x1"]) & (b["x0"] - snap <= a["x1"])
+        & (F.least(a["y0"], a["y1"]) - snap <= F.greatest(b["y0"], b["y1"]))
+        & (F.least(b["y0"], b["y1"]) - snap <= F.greatest(a["y0"], a["y1"]))
     ).select("a", "b").distinct()
 
     def turn(s, x, y):
         return (s["x1"] - s["x0"]) * (y - s["y0"]) - (s["y1"] - s["y0"]) * (x - s["x0"])
 
     def on(s, x, y):
-        return (
-            (turn(s, x, y) == 0) & x.between(s["x0"], s["x1"])
-            & y.between(F.least(s["y0"], s["y1"]), F.greatest(s["y0"], s["y1"]))
+        near_line = F.abs(turn(s, x, y)) <= snap * F.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"]) if snap else turn(s, x, y) == 0
+        found = (
+            near_line & x.between(s["x0"] - snap, s["x1"] + snap)
+            & y.between(F.least(s["y0"], s["y1"]) - snap, F.greatest(s["y0"], s["y1"]) + snap)
         )
+        if not snap:
+            return found
+        # beside an end of the segment there is nothing to cut
+        return found & (F.hypot(x - s["x0"], y - s["y0"]) > snap) & (F.hypot(x - s["x1"], y - s["y1"]) > snap)
 
     proper = (
         (F.signum(turn(a, b["x0"], b["y0"])) * F.signum(turn(a, b["x1"], b["y1"])) < 0)
         & (F.signum(turn(b, a["x0"], a["y0"])) * F.signum(turn(b, a["x1"], a["y1"])) < 0)
     )
+    if snap:
+        for one, two in ((a, b), (b, a)):
+            proper &= ~on(one, two["x0"], two["y0"]) & ~on(one, two["x1"], two["y1"])
     # Both segments must get the same crossing point, so it is always computed from the
     # lesser of the two.
     first, second = F.least("a", "b"), F.greatest("a", "b")
@@ -178,9 +191,13 @@ def _twice_area(ring: Column) -> Column:
     )
 
 
-def polygonize(lines: DataFrame, column: str = "geometry") -> DataFrame:
-    """All faces of the linework as polygons (geometry, bbox), holes included."""
-    rings = cut_lineage(faces(half_edges(split_segments(line_segments(lines, column)))), "faces")
+def polygonize(lines: DataFrame, column: str = "geometry", snap: float = 0.0) -> DataFrame:
+    """All faces of the linework as polygons (geometry, bbox), holes included.
+
+    ``snap`` is the distance at which a line's end meets another line (see
+    :func:`split_segments`). This runs jobs when called.
+    """
+    rings = cut_lineage(faces(half_edges(split_segments(line_segments(lines, column), snap=snap))), "faces")
     shells = rings.filter("twice > 0").select(
         "label", F.array(F.array("ring")).alias("geometry"), "twice"
     ).withColumn("bbox", g.bounds(F.col("geometry")))
@@ -198,13 +215,13 @@ def polygonize(lines: DataFrame, column: str = "geometry") -> DataFrame:
     )
 
 
-def building_polygons(fkb: DataFrame) -> DataFrame:
+def building_polygons(fkb: DataFrame, snap: float = 0.0) -> DataFrame:
     """Faces of the building linework that contain a building point.
 
     ``fkb`` has ``layer``, ``geometry`` (line as an array of points) and, for point
     layers, a one-point array.
     """
-    areas = polygonize(keep_layers(fkb, LINE_LAYERS))
+    areas = polygonize(keep_layers(fkb, LINE_LAYERS), snap=snap)
     marks = keep_layers(fkb, POINT_LAYERS).select(
         F.col("geometry")[0]["x"].alias("lon"), F.col("geometry")[0]["y"].alias("lat")
     )

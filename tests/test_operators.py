@@ -338,6 +338,21 @@ def test_polygonize_bridges_dead_ends_and_holes(spark):
     assert sorted((round(r["m"]["area"], 9), r["rings"]) for r in got) == [(4, 1), (4, 1), (92, 3)]
 
 
+def test_polygonize_turned_drawing(spark):
+    """Squares split by a line that ends on two sides: every half is found once coordinates are rounded."""
+    turn = 0.3
+    rows = []
+    for i in range(12):
+        x, y = 5.0 + 0.01 * i, 60.0 + 0.007 * (i % 5)
+        square = [(x, y), (x + 1e-4, y), (x + 1e-4, y + 1e-4), (x, y + 1e-4), (x, y)]
+        middle = [(x + 4e-5, y), (x + 6e-5, y + 1e-4)]
+        for line in (square, middle):
+            rows.append(([(a * math.cos(turn) - b * math.sin(turn), a * math.sin(turn) + b * math.cos(turn)) for a, b in line],))
+    lines = spark.createDataFrame(rows, "geometry array<struct<x:double,y:double>>")
+    assert pz.polygonize(lines, snap=1e-10).count() == 24
+    assert pz.polygonize(lines).count() < 24
+
+
 def test_previous_row_over_buckets_equals_plain_lag(spark):
     rng = random.Random(3)
     rows = [("a" if i % 3 else "b", float(rng.randint(0, 50)), i, rng.random()) for i in range(200)]
