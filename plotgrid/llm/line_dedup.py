@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotgrid.llm.common import ascii_lower, documents, with_columns_replaced
 from plotgrid.llm.registry import query
+from plotgrid.session import cut_lineage
 
 WHITE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -49,11 +50,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     doc_id is a document below all others. An empty table gives no rows.
     """
     lines = line_keys(docs, min_chars)
-    shared = (
+    # a table of its own: next to the join its aggregation would keep a very common line's rows in one task
+    shared = cut_lineage(
         lines.groupBy("h1", "h2")
         .agg(F.count_distinct(F.struct("doc")).alias("n"), F.max("doc").alias("keeper"))
         .where(F.col("n") >= min_documents)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "shared-lines",
     )
     drops = (
         lines.join(shared, ["h1", "h2"])
