@@ -33,7 +33,17 @@ def _packed(h: Column, place: Column) -> Column:
     return _hash_part(h).bitwiseOR(_place(place.cast("bigint")))
 
 
-def with_signature(df: DataFrame, text: str, out: str, k: int = KMER_WORDS) -> DataFrame:
+def _joint(x: Column, y: Column) -> Column:
+    """One hash of two k-mers, in text order."""
+    a, b = _hash_part(x), _hash_part(y)
+    return F.when(_place(x) < _place(y), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+
+
+def _number(b: Column, joint: Column) -> Column:
+    return (b * 65536 + joint.bitwiseAND(F.lit(65535))).cast("int")
+
+
+def with_signature(df: DataFrame, text: str, out: str, k: int = KMER_WORDS, filled: bool = False) -> DataFrame:
     """Adds ``out``, the Order MinHash signature of the column ``text``: an array of (bin, hash) numbers.
 
     Every k-mer of words is hashed together with its occurrence number, so a repeated k-mer
@@ -42,6 +52,11 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = KMER_WORDS) -> D
     order, are hashed to its entry: moving passages changes it, unlike plain MinHash. A hash and
     its place share one number (40 and 24 bits), so sorting numbers does the selection.
     Bins without a k-mer have no entry; a blank text is one empty word.
+
+    With ``filled`` every bin has an entry of two k-mers: a bin that holds fewer takes the next ones from
+    the other bins, in an order of its own (their hashes seeded with the bin's number). Its own k-mers first and
+    then all others by seeded hash are a random order too, so a short text is compared by 64 orders as a long
+    one is. Only a text of a single k-mer has entries of one.
     """
     words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(WHITE)), r"[\x20\x09-\x0D]+")
     step = df.withColumn("_words", words)
@@ -69,19 +84,38 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = KMER_WORDS) -> D
     counted = F.sort_array(F.flatten(F.zip_with("_starts", ends, numbered)))
     step = step.withColumn("_kmers", F.when(F.col("_repeats"), counted).otherwise(F.col("_kmers"))).drop("_starts", "_repeats")
     least = F.filter("_kmers", lambda x, i: (i < 2) | (_bin(x) != _bin(F.coalesce(F.get("_kmers", i - 2), x))))
-    step = step.withColumn("_least", least).drop("_kmers")
+    step = step.withColumn("_least", least)
+
+    def bin_number(x: Column) -> Column:
+        return _bin(x).bitwiseAND(F.lit((1 << BINS_LOG2) - 1))
 
     def entry(x: Column, i: Column) -> Column:
         first = (i == 0) | (_bin(F.get("_least", i - 1)) != _bin(x))
         y = F.get("_least", i + 1)
         alone = y.isNull() | (_bin(y) != _bin(x))
-        a, b = _hash_part(x), _hash_part(y)
-        joint = F.when(alone, F.xxhash64(a)).when(_place(x) < _place(y), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-        number = _bin(x).bitwiseAND(F.lit((1 << BINS_LOG2) - 1)) * 65536 + joint.bitwiseAND(F.lit(65535))
-        return F.when(first, number.cast("int"))
+        single = F.lit(None) if filled else F.xxhash64(_hash_part(x))
+        return F.when(first, _number(bin_number(x), F.when(alone, single).otherwise(_joint(x, y))))
 
     entries = F.filter(F.transform("_least", entry), lambda e: e.isNotNull())
-    return step.withColumn(out, entries).drop("_least")
+    if not filled:
+        return step.withColumn(out, entries).drop("_least", "_kmers")
+    step = step.withColumn("_entries", entries)
+    every = F.sequence(F.lit(0), F.lit((1 << BINS_LOG2) - 1))
+    step = step.withColumn("_short", F.array_except(every, F.transform("_entries", lambda e: F.shiftright(e, 16))))
+
+    def first_two(b: Column) -> Column:
+        own = F.filter("_least", lambda x: bin_number(x) == b)
+        others = F.filter("_kmers", lambda x: bin_number(x) != b)
+        seeded = F.transform(others, lambda x: _packed(F.xxhash64(_hash_part(x), b), x))
+        return F.slice(F.concat(own, F.sort_array(seeded)), 1, 2)
+
+    def filling(b: Column, pair: Column) -> Column:
+        x, y = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+        return _number(b, F.when(y.isNull(), F.xxhash64(_hash_part(x))).otherwise(_joint(x, y)))
+
+    step = step.withColumn("_pairs", F.transform("_short", first_two))
+    full = F.sort_array(F.concat("_entries", F.zip_with("_short", "_pairs", filling)))
+    return step.withColumn(out, full).drop("_least", "_kmers", "_entries", "_short", "_pairs")
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
@@ -152,9 +186,9 @@ def edit_likeness(docs: DataFrame, k: int = KMER_WORDS) -> DataFrame:
     rows = texts.join(heads, "key", "left").select(
         "key", n.cast("bigint").alias("n_chars"), F.xxhash64("text").alias("text_hash"), "text", edited.alias("edited")
     )
-    rows = with_signature(rows, "text", "signature", k).drop("text")
+    rows = with_signature(rows, "text", "signature", k, filled=True).drop("text")
     rows = rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
-    rows = cut_lineage(with_signature(rows, "edited", "edited_signature", k).drop("edited"), "signatures")
+    rows = cut_lineage(with_signature(rows, "edited", "edited_signature", k, filled=True).drop("edited"), "signatures")
     others = (
         rows.select(F.col("key").alias("next_key"), "text_hash", F.col("signature").alias("next_signature"))
         .join(links, "next_key").where(F.col("text_hash") <= F.col("next_hash"))

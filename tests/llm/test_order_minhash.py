@@ -1,5 +1,8 @@
 import hashlib
+import random
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from plotgrid.llm import order_minhash as om
@@ -75,3 +78,65 @@ def test_odd_rows(spark, odd, empty):
     assert alone.near_next == 1 and alone.n_chars == 7
     links = {r.key: r.next_key for r in om.neighbours(odd.select("doc_id", "text")).collect()}
     assert links["0"] == "" and links[""] == "12" and links["12"] == "11" and len(links) == 14
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, ints and longs, signed."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v.to_bytes(8 if abs(v) > 1 << 31 else 4, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_every_bin_is_filled_by_plain_steps(spark):
+    texts = ["a b c d e f g h", "", "one two three four", " ".join(f"w{i}" for i in range(150))]
+    df = om.with_signature(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "s", filled=True)
+    made = {r.text: r.s for r in df.collect()}
+    for text in texts:
+        words = text.split() or [""]
+        kmers = [(spark_hash(*words[i : i + 3]) & ~om.PLACE, i) for i in range(max(1, len(words) - 2))]
+        expected = []
+        for b in range(64):
+            own = sorted(x for x in kmers if (x[0] >> 58) & 63 == b)
+            rest = sorted((spark_hash(h, b) & ~om.PLACE, i) for h, i in kmers if (h >> 58) & 63 != b)
+            two = sorted((own + rest)[:2], key=lambda x: x[1])
+            expected.append(b << 16 | spark_hash(*[h for h, _ in two]) & 65535)
+        assert made[text] == expected, text
+
+
+def real_orders(a, b, rng):
+    """Likeness by the two least k-mers of 64 real random orders, in text order."""
+    kmers = [[tuple(t[i : i + 3]) for i in range(len(t) - 2)] for t in (a, b)]
+    named = {x: i for i, x in enumerate(sorted({*kmers[0], *kmers[1]}))}
+    ids, equal = [np.array([named[x] for x in t]) for t in kmers], 0
+    for _ in range(64):
+        order = rng.permutation(len(named))
+        pair = [tuple(t[np.sort(np.argsort(order[t])[:2])]) for t in ids]
+        equal += pair[0] == pair[1]
+    return equal / 64
+
+
+def test_moved_halves_of_short_texts(spark):
+    rng, shuffled = np.random.default_rng(3), random.Random(5)
+    rows, real = [], {20: [], 40: [], 100: []}
+    for n in real:
+        for _ in range(80):
+            words = [f"w{shuffled.randrange(10**9)}" for _ in range(n)]
+            moved = words[n // 2 :] + words[: n // 2]
+            rows.append((n, " ".join(words), " ".join(moved)))
+            real[n].append(real_orders(words, moved, rng))
+    df = spark.createDataFrame(rows, "n int, text string, edited string")
+    df = om.with_signature(om.with_signature(df, "text", "sa", filled=True), "edited", "sb", filled=True)
+    got = {r.n: r.x for r in df.groupBy("n").agg(F.avg(om.likeness("sa", "sb")).alias("x")).collect()}
+    for n, plain in real.items():
+        assert abs(got[n] - np.mean(plain)) < 0.04, (n, got[n], np.mean(plain))
+
+
+def test_query_orders_short_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    # documents 2 and 1 are the halves of one text, either way round
+    texts = [(2, " ".join(words)), (1, " ".join(words[30:] + words[:30]))]
+    found = om.edit_likeness(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert all(len(r.signature) == 64 for r in found)
+    assert all(r.near_next < 0.6 for r in found)
