@@ -166,6 +166,17 @@ def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def every_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point of every building: center, corner or outside, by key modulo 3."""
+    k = F.col("k")
+    return rectangles(spark, sf_dir).select(
+        k.alias("point_id"),
+        F.when(k % 3 == 0, F.col("minx") + F.col("w") / 2).when(k % 3 == 1, F.col("minx"))
+        .otherwise(F.col("minx") + 5.0).alias("lon"),
+        F.when(k % 3 == 0, F.col("miny") + F.col("h") / 2).otherwise(F.col("miny")).alias("lat"),
+    )
+
+
 def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a metric time series."""
     return table(spark, sf_dir, "events").select(

@@ -13,7 +13,7 @@ from plotgrid.operators import zones as zn
 from plotgrid.operators.conflation import Conflation
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
-from plotgrid.plans.registry import query
+from plotgrid.plans.registry import CHECKS, query
 from plotgrid.session import scratch_folder
 from plotgrid.sources import layout
 
@@ -86,6 +86,24 @@ def point_counts_in_shapes(spark, sf_dir):
     return counts.select("point_id", "n_buildings")
 
 
+# Points of every key; the queries above keep the points that their SQL names.
+EVERY_POINT = """points AS (
+  SELECT k AS point_id, CASE WHEN k % 3 = 0 THEN minx + w / 2 WHEN k % 3 = 1 THEN minx ELSE minx + 5.0 END AS lon,
+    CASE WHEN k % 3 = 0 THEN miny + h / 2 ELSE miny END AS lat FROM rect)"""
+
+
+@query("j3_every_point_in_polygons", POINT_COUNTS.replace(POINTS, EVERY_POINT))
+def every_point_counts(spark, sf_dir):
+    counts = pt.point_in_polygon_counts(fx.every_point(spark, sf_dir), fx.buildings(spark, sf_dir))
+    return counts.select("point_id", "n_buildings")
+
+
+@query("j3_every_point_in_shapes", CHECKS["j3_point_in_shapes"].replace(POINTS, EVERY_POINT))
+def every_point_in_shapes(spark, sf_dir):
+    counts = pt.point_in_polygon_counts(fx.every_point(spark, sf_dir), fx.shapes(spark, sf_dir))
+    return counts.select("point_id", "n_buildings")
+
+
 @query("f10_point_containment", f"""{RECT}, one AS (SELECT minx + w / 2 AS lon, miny + h / 2 AS lat FROM rect WHERE k = 17)
 SELECT r.external_id FROM rect r, one WHERE lon > minx AND lon < minx + w AND lat > miny AND lat < miny + h""")
 def point_containment(spark, sf_dir):
@@ -128,6 +146,12 @@ def polygons_with_points(spark, sf_dir):
     return pt.containing_polygons(polygons, fx.query_points(spark, sf_dir)).select("k")
 
 
+@query("j6_polygons_with_every_point", CHECKS["j6_polygons_with_points"].replace(POINTS, EVERY_POINT))
+def polygons_with_every_point(spark, sf_dir):
+    polygons = fx.buildings(spark, sf_dir).select("k", "geometry", "bbox")
+    return pt.containing_polygons(polygons, fx.every_point(spark, sf_dir)).select("k")
+
+
 @query("j7_cross_join_one_row", f"""{RECT}, extent AS (SELECT max(minx) - 0.25 AS east FROM rect)
 SELECT external_id FROM rect, extent WHERE minx > east""")
 def cross_join_one_row(spark, sf_dir):
