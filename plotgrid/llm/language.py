@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotgrid.llm.common import calibration_fold, documents, held_out
@@ -30,12 +30,14 @@ BLOCK = 1 << 15
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Weights per bucket and language (embedding times softmax layer), temperature, rejection level."""
+    """Weights per bucket and language (embedding times softmax layer), temperature, rejection level,
+    and what the languages' shares among all training rows add to the log-odds learned on the sample."""
 
     names: tuple[str, ...]
     weights: np.ndarray
     temperature: float
     level: float
+    shift: tuple[float, ...] | float = 0.0
 
 
 @lru_cache(maxsize=1)
@@ -85,8 +87,8 @@ def averaged(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return total / max(n, 1)
 
 
-def _probabilities(logits: np.ndarray, temperature: float) -> np.ndarray:
-    z = logits / temperature
+def _probabilities(logits: np.ndarray, temperature: float, shift=0.0) -> np.ndarray:
+    z = logits / temperature + np.asarray(shift)
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
@@ -113,15 +115,63 @@ def _train(examples: list[tuple[np.ndarray, int]], n_languages: int) -> np.ndarr
     return embedding @ layer
 
 
+def equal_quota(counts: list[int], total: int) -> int:
+    """The largest number of rows of each class that keeps all classes together within ``total``."""
+    left, ordered = total, sorted(counts)
+    for i, n in enumerate(ordered):
+        quota = left // (len(ordered) - i)
+        if n > quota:
+            return quota
+        left -= n
+    return ordered[-1] if ordered else 0
+
+
+def language_sample(known: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
+    """(chosen, chosen_lang, rank) of at most ``sample`` documents, and the documents per language.
+
+    Every language has the same quota by hash, and what small ones leave goes to the others, so a rare
+    language keeps all its documents. Only where there are more than ``sample`` languages do the rarest stay out. Ids far
+    above the quota are dropped by hash before they are ranked.
+    """
+    ids = known.select("doc_id", F.col("lang").cast("string").alias("lang"))
+    found = (
+        ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"))
+        .orderBy(F.desc("n"), "lang").limit(sample).collect()
+    )
+    counts = {r["lang"]: max(r["n"], 1) for r in found}
+    quota = equal_quota(list(counts.values()), sample)
+    near = 2 * quota + 50
+    shares = known.sparkSession.createDataFrame(
+        [(lang, 1.0 if n <= near else near / n) for lang, n in counts.items()], "chosen_lang string, share double"
+    )
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    few = (
+        ids.join(F.broadcast(shares), F.col("lang") == F.col("chosen_lang")).where(place < F.col("share"))
+        .select(F.col("doc_id").alias("chosen"), "chosen_lang", place.alias("place")).distinct()
+    )
+    order = Window.partitionBy("chosen_lang").orderBy("place", F.xxhash64("chosen"), "chosen")
+    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota)
+    return chosen.drop("place"), counts
+
+
+def lowest_share(values: np.ndarray, weights: np.ndarray, share: float) -> float:
+    """The highest of ``values`` that has at most ``share`` of the weight below it."""
+    order = np.argsort(values)
+    reached = np.cumsum(weights[order]) / weights.sum()
+    return float(values[order][min(int(np.searchsorted(reached, share, side="right")), len(values) - 1)])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Model of at most ``sample`` training documents whose language is known, chosen by hash.
+    """Model of at most ``sample`` training documents whose language is known, chosen by hash per language.
 
     Of each text ``WINDOWS_PER_TEXT`` evenly spaced windows of ``WINDOW_CHARS`` code points are examples. A third of
     the sample sets the temperature of the softmax and the level below which a
-    prediction is rejected, so that ``REJECTED`` of known text falls below it.
+    prediction is rejected, so that ``REJECTED`` of known text falls below it. A language's first document always
+    trains. Rows of the sample weigh as many documents as they stand for, and the languages' shares among all
+    training documents enter the log-odds.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = known.select(F.col("doc_id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
+    ids, counts = language_sample(known, sample)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,8 +183,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             yield pd.DataFrame(out, columns=["lang", "held", "text"])
 
     rows = (
-        known.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen"))
-        .select("lang", calibration_fold(F.col("doc_id")).alias("held"), "text")
+        known.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
+        .select("lang", (calibration_fold(F.col("doc_id")) & (F.col("rank") > 1)).alias("held"), "text")
         .mapInPandas(windows, "lang string, held boolean, text string")
     )
     rows = cut_lineage(rows, "language-sample").orderBy("lang", "held", F.xxhash64("text"), "text").collect()
@@ -143,16 +193,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     examples = [(r["held"], code_points(r["text"]), place[r["lang"]]) for r in rows]
     weights = _train([(c, y) for held, c, y in examples if not held], max(len(names), 1)).astype(np.float32)
     checked = [(averaged(c, weights), y) for held, c, y in examples if held]
+    quota = equal_quota(list(counts.values()), sample)
+    weight = np.array([counts[name] / min(counts[name], quota) for name in names])
+    shift = np.log(weight)
     temperature, level = 1.0, 0.0
     if checked and len(names) > 1:
         logits, truth = np.array([x for x, _ in checked]), np.array([y for _, y in checked])
 
         def loss(t):
-            return -np.log(_probabilities(logits, t)[np.arange(len(truth)), truth] + 1e-12).mean()
+            return -(np.log(_probabilities(logits, t, shift)[np.arange(len(truth)), truth] + 1e-12) * weight[truth]).sum()
 
         temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=loss)
-        level = float(np.quantile(_probabilities(logits, temperature).max(axis=1), REJECTED))
-    return LanguageModel(names, weights, temperature, level)
+        level = lowest_share(_probabilities(logits, temperature, shift).max(axis=1), weight[truth], REJECTED)
+    return LanguageModel(names, weights, temperature, level, tuple(shift.tolist()) or 0.0)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, reject: bool = True) -> DataFrame:
@@ -172,7 +225,7 @@ def with_language(docs: DataFrame, model: LanguageModel, reject: bool = True) ->
                 if not model.names or not (codes != 32).any():
                     out.append((UNKNOWN, 0.0, True))
                     continue
-                p = _probabilities(averaged(codes, model.weights), model.temperature)
+                p = _probabilities(averaged(codes, model.weights), model.temperature, model.shift)
                 best = int(p.argmax())
                 refused = bool(p[best] < model.level)
                 out.append((UNKNOWN if refused and reject else model.names[best], float(p[best]), refused))

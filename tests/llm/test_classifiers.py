@@ -108,3 +108,31 @@ def test_blocks_do_not_change_the_average(monkeypatch):
     weights = np.random.default_rng(0).normal(size=(language.BUCKETS, 3)).astype(np.float32)
     whole = weights[language.subword_buckets(codes)].mean(axis=0)
     assert np.allclose(language.averaged(codes, weights), whole, atol=1e-4)
+
+
+def test_rare_language_is_learned(spark):
+    rng = random.Random(8)
+
+    def text(letters):
+        return " ".join("".join(rng.choices(letters, k=5)) for _ in range(60))
+
+    rows = [(i, text("abcdefgh"), "common") for i in range(4000)] + [(i, text("qrstuvwx"), "other") for i in range(4000, 6000)]
+    rows += [(i, text("жзийклмн"), "rare") for i in range(6000, 6012)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    known = docs.where(~language.held_out(F.col("doc_id")))
+    chosen, counts = language.language_sample(known, 300)
+    per = {r.chosen_lang: r["count"] for r in chosen.groupBy("chosen_lang").count().collect()}
+    rare = known.where("lang = 'rare'").count()
+    assert rare > 2 and per["rare"] == rare == counts["rare"] and sum(per.values()) <= 300
+    assert abs(per["common"] - per["other"]) <= 1
+    model = language.fit(docs, 300)
+    got = language.with_language(docs, model, reject=False).groupBy("lang", "lang_pred").count().collect()
+    assert model.names == ("common", "other", "rare")
+    assert {(r.lang, r.lang_pred) for r in got} == {(x, x) for x in model.names}
+
+
+def test_quota_and_weighted_level():
+    assert language.equal_quota([3, 100, 100], 23) == 10 and language.equal_quota([3, 4], 100) == 4
+    assert language.equal_quota([], 5) == 0
+    p, w = np.array([0.9, 0.1, 0.5, 0.7]), np.array([97.0, 1.0, 1.0, 1.0])
+    assert language.lowest_share(p, w, 0.0) == 0.1 and language.lowest_share(p, w, 0.02) == 0.7
