@@ -165,8 +165,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Model of at most ``sample`` training documents whose language is known, chosen by hash per language.
 
     Of each text ``WINDOWS_PER_TEXT`` evenly spaced windows of ``WINDOW_CHARS`` code points are examples. A third of
-    the sample sets the temperature of the softmax and the level below which a
-    prediction is rejected, so that ``REJECTED`` of known text falls below it. A language's first document always
+    the sample, as whole texts scored in tasks, sets the temperature of the softmax and the level below which a
+    prediction is rejected, so that ``REJECTED`` of known text with letters falls below it. A language's first document always
     trains. Rows of the sample weigh as many documents as they stand for, and the languages' shares among all
     training documents enter the log-odds.
     """
@@ -178,6 +178,74 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             out = []
             for lang, held, text in zip(batch["lang"], batch["held"], batch["text"]):
                 text = text or ""
+                if held:
+                    out.append((lang, held, text))
+                    continue
+                step = max(WINDOW_CHARS, len(text) // WINDOWS_PER_TEXT)
+                out += [(lang, held, text[a : a + WINDOW_CHARS]) for a in range(0, len(text), step)][:WINDOWS_PER_TEXT]
+            yield pd.DataFrame(out, columns=["lang", "held", "text"])
+
+    rows = (
+        known.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
+        .select("lang", (calibration_fold(F.col("doc_id")) & (F.col("rank") > 1)).alias("held"), "text")
+        .mapInPandas(windows, "lang string, held boolean, text string")
+    )
+    rows = cut_lineage(rows, "language-sample")
+    train = rows.where(~F.col("held")).orderBy("lang", F.xxhash64("text"), "text").collect()
+    names = tuple(sorted({r["lang"] for r in train}))
+    place = {name: i for i, name in enumerate(names)}
+    weights = _train([(code_points(r["text"]), place[r["lang"]]) for r in train], max(len(names), 1)).astype(np.float32)
+
+    def whole_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [(lang, code_points(text)) for lang, text in zip(batch["lang"], batch["text"])]
+            out = [(lang, averaged(c, weights).tolist()) for lang, c in codes if lang in place and (c != 32).any()]
+            yield pd.DataFrame(out, columns=["lang", "logits"])
+
+    held = rows.where("held").select("lang", "text").mapInPandas(whole_texts, "lang string, logits array<double>")
+    checked = [(r["logits"], place[r["lang"]]) for r in held.collect()]
+    quota = equal_quota(list(counts.values()), sample)
+    near = 2 * quota + 50
+    shares = known.sparkSession.createDataFrame(
+        [(lang, 1.0 if n <= near else near / n) for lang, n in counts.items()], "chosen_lang string, share double"
+    )
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    few = (
+        ids.join(F.broadcast(shares), F.col("lang") == F.col("chosen_lang")).where(place < F.col("share"))
+        .select(F.col("doc_id").alias("chosen"), "chosen_lang", place.alias("place")).distinct()
+    )
+    order = Window.partitionBy("chosen_lang").orderBy("place", F.xxhash64("chosen"), "chosen")
+    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota)
+    return chosen.drop("place"), counts
+
+
+def lowest_share(values: np.ndarray, weights: np.ndarray, share: float) -> float:
+    """The highest of ``values`` that has at most ``share`` of the weight below it."""
+    order = np.argsort(values)
+    reached = np.cumsum(weights[order]) / weights.sum()
+    return float(values[order][min(int(np.searchsorted(reached, share, side="right")), len(values) - 1)])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """Model of at most ``sample`` training documents whose language is known, chosen by hash per language.
+
+    Of each text ``WINDOWS_PER_TEXT`` evenly spaced windows of ``WINDOW_CHARS`` code points are examples. A third of
+    the sample, as whole texts scored in tasks, sets the temperature of the softmax and the level below which a
+    prediction is rejected, so that ``REJECTED`` of known text with letters falls below it. A language's first document always
+    trains. Rows of the sample weigh as many documents as they stand for, and the languages' shares among all
+    training documents enter the log-odds.
+    """
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    ids, counts = language_sample(known, sample)
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for lang, held, text in zip(batch["lang"], batch["held"], batch["text"]):
+                text = text or ""
+                if held:
+                    out.append((lang, held, text))
+                    continue
                 step = max(WINDOW_CHARS, len(text) // WINDOWS_PER_TEXT)
                 out += [(lang, held, text[a : a + WINDOW_CHARS]) for a in range(0, len(text), step)][:WINDOWS_PER_TEXT]
             yield pd.DataFrame(out, columns=["lang", "held", "text"])

@@ -136,3 +136,22 @@ def test_quota_and_weighted_level():
     assert language.equal_quota([], 5) == 0
     p, w = np.array([0.9, 0.1, 0.5, 0.7]), np.array([97.0, 1.0, 1.0, 1.0])
     assert language.lowest_share(p, w, 0.0) == 0.1 and language.lowest_share(p, w, 0.02) == 0.7
+
+
+def test_level_holds_for_whole_texts(spark):
+    rng = random.Random(2)
+
+    def text(own, share, n):
+        return " ".join("".join(rng.choices(own if rng.random() < share else "mnop", k=5)) for _ in range(n))
+
+    # long texts whose windows are far less sure than the whole
+    rows = [(i, text("abcd" if i % 2 else "wxyz", 0.06, 1500), "a" if i % 2 else "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(docs, 400)
+    judged = language.with_language(docs.where(~language.held_out(F.col("doc_id"))), model, reject=False)
+    sample, _ = language.language_sample(docs.where(~language.held_out(F.col("doc_id"))), 400)
+    held = sample.where(language.calibration_fold(F.col("chosen")) & (F.col("rank") > 1))
+    scores = sorted(r.lang_score for r in judged.join(held, F.col("doc_id") == F.col("chosen")).collect())
+    below = sum(s < model.level for s in scores)
+    # the level is the score of one of the whole texts that set it
+    assert below <= 0.01 * len(scores) and min(abs(s - model.level) for s in scores) < 1e-6
