@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
 from plotgrid.functions import tiles as tl
-from plotgrid.operators.sizes import at_most
+from plotgrid.operators.sizes import at_most, broadcast_if_small
 from plotgrid.session import cut_lineage
+from plotgrid.sources import layout
 
 TILE = ["z", "x", "y"]
 SLACK = 1e-6
 CHUNK_FEATURES = 50_000
+# Boxes that a request list is brought down to, and the deepest zoom of a tile.
+REQUEST_BOXES = 16
+MAX_ZOOM = 22
 # Parts of a tile that are ranked apart, then together in fewer parts.
 RANK_PARTS = (64, 8, 1)
 
@@ -30,11 +34,11 @@ def candidate_tiles(spark: SparkSession, bbox: tuple[float, float, float, float]
     )
 
 
-def feature_tiles(df: DataFrame, zooms: list[int], id_column: str) -> DataFrame:
+def feature_tiles(df: DataFrame, zooms: list[int], id_column: str, wanted: DataFrame | None = None) -> DataFrame:
     """One row per feature and tile it shares a point with: id, geometry, bbox, z, x, y.
 
     Tiles under the feature's box come from arithmetic (no join); the exact test runs only
-    for features that reach over a tile border.
+    for features that reach over a tile border. With ``wanted`` (distinct z, x, y) other tiles fall away before it.
     """
     n = F.pow(F.lit(2.0), F.col("z"))
 
@@ -56,13 +60,15 @@ def feature_tiles(df: DataFrame, zooms: list[int], id_column: str) -> DataFrame:
         .withColumn("x", span(column(F.col("bbox.xmin")), column(F.col("bbox.xmax"))))
         .withColumn("y", span(row(F.col("bbox.ymax")), row(F.col("bbox.ymin"))))
     )
+    if wanted is not None:
+        placed = placed.join(broadcast_if_small(wanted), TILE, "left_semi")
     frame = tl.tile_bounds(*[F.col(c) for c in TILE])
     return placed.filter(g.intersects_box(F.col("geometry"), F.col("bbox"), frame))
 
 
-def tile_geometries(df: DataFrame, zooms: list[int], id_column: str) -> DataFrame:
+def tile_geometries(df: DataFrame, zooms: list[int], id_column: str, wanted: DataFrame | None = None) -> DataFrame:
     """Long form of a tile set: z, x, y, feature_id, geometry in tile units."""
-    placed = feature_tiles(df, zooms, id_column)
+    placed = feature_tiles(df, zooms, id_column, wanted)
     cut = placed.withColumn("geometry", tl.to_tile_space(F.col("geometry"), *[F.col(c) for c in TILE]))
     return cut.filter(F.col("geometry").isNotNull()).select(*TILE, "feature_id", "geometry")
 
@@ -164,3 +170,76 @@ def tile_lookup(requests: DataFrame, tiles: DataFrame) -> DataFrame:
 def tile_chunks(requests: DataFrame, tiles: DataFrame) -> DataFrame:
     """The stored chunks of every requested tile once, keyed by z, x, y, chunk."""
     return _wanted(requests, tiles)
+
+
+def request_boxes(requests: DataFrame, most: int = REQUEST_BOXES) -> tuple[list[int], list[tuple[float, float, float, float]]]:
+    """(zooms, boxes): at most ``most`` boxes in degrees that together cover all requested tiles.
+
+    Tiles are joined under their common ancestors, at the deepest zoom that has few enough of these, so near requests share
+    a box and far ones do not. Counting and joining run in Spark; only the boxes come to the driver. Tiles off the map have none.
+    """
+    tiles = _on_map(requests).distinct()
+
+    def ancestor(level) -> list:
+        up = F.greatest(F.col("z") - level, F.lit(0))
+        return [F.least(F.col("z"), level), *[F.call_function("shiftright", F.col(c), up) for c in ("x", "y")]]
+
+    levels = tiles.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(MAX_ZOOM))))
+    counts = dict(
+        levels.groupBy("level").agg(F.approx_count_distinct(F.struct(*ancestor(F.col("level"))), 0.02)).collect()
+    )
+    b = tl.tile_bounds(*[F.col(c) for c in TILE])
+    for level in sorted(counts, reverse=True):
+        if counts[level] > most and level:
+            continue
+        found = (
+            tiles.select("z", F.struct(*ancestor(F.lit(level))).alias("under"), b.alias("b"))
+            .groupBy("under").agg(
+                F.min("b.xmin"), F.min("b.ymin"), F.max("b.xmax"), F.max("b.ymax"), F.collect_set("z").alias("zooms")
+            ).limit(most + 1).collect()
+        )
+        if len(found) <= most:
+            return sorted({z for r in found for z in r["zooms"]}), [tuple(r[1:5]) for r in found]
+    return [], []
+
+
+def _on_map(requests: DataFrame) -> DataFrame:
+    """The tiles (z, x, y) of a request list that exist."""
+    side = F.pow(F.lit(2), F.col("z"))
+    real = F.col("z").between(0, MAX_ZOOM) & (F.col("x") >= 0) & (F.col("x") < side) & (F.col("y") >= 0) & (F.col("y") < side)
+    return requests.filter(real).select(*TILE)
+
+
+def in_boxes(df: DataFrame, boxes: list[tuple[float, float, float, float]]) -> DataFrame:
+    """Rows whose ``bbox`` shares a point with one of a few boxes; the comparisons reach the scan."""
+    near = F.lit(False)
+    for xmin, ymin, xmax, ymax in boxes:
+        near = near | (
+            (F.col("bbox.xmin") <= xmax) & (F.col("bbox.xmax") >= xmin) & (F.col("bbox.ymin") <= ymax) & (F.col("bbox.ymax") >= ymin)
+        )
+    return df.filter(near)
+
+
+def requested_geometries(requests: DataFrame, buildings: DataFrame, id_column: str, most_boxes: int = REQUEST_BOXES) -> DataFrame:
+    """Long form (z, x, y, feature_id, geometry in tile units) of the requested tiles only.
+
+    ``buildings`` is a stored table with ``bbox`` and a nested or WKB ``geometry``. The boxes of the request list filter its scan,
+    what is left is dealt to tiles by arithmetic, and tiles nobody asked for fall away before any exact test or cut.
+    A repeated request counts once; one off the map or without features has no rows. Counts the requests when called.
+    """
+    zooms, boxes = request_boxes(requests, most_boxes)
+    near = in_boxes(buildings, boxes)
+    if dict(near.dtypes)["geometry"] == "binary":
+        near = layout.decoded(near)
+    return tile_geometries(near, zooms or [0], id_column, _on_map(requests).distinct())
+
+
+def tiles_on_request(
+    requests: DataFrame, buildings: DataFrame, id_column: str, chunk_features: int = CHUNK_FEATURES, most_boxes: int = REQUEST_BOXES
+) -> DataFrame:
+    """Tile rows (z, x, y, chunk, features, n) as ``build_tiles`` stores them, made from the building table for these requests.
+
+    No tile store is read or written: only the requested tiles' features are kept, in one scan of the parts of the
+    table that the requests meet. Runs that scan when called.
+    """
+    return tile_features(cut_lineage(requested_geometries(requests, buildings, id_column, most_boxes), "requested"), chunk_features)

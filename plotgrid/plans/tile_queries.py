@@ -8,10 +8,13 @@ from plotgrid.functions import geometry as g
 from plotgrid.functions import projections as p
 from plotgrid.functions import tiles as tl
 from plotgrid.operators import aggregates as agg
+from plotgrid.operators import dataset as ds
 from plotgrid.operators import tiling
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
 from plotgrid.plans.registry import query
+from plotgrid.session import scratch_folder
+from plotgrid.sources import layout
 
 RECT = f"WITH {ref.RECT}"
 # Extents as (min_lat, min_lon, max_lat, max_lon).
@@ -208,3 +211,49 @@ SELECT i AS request_id, p_partkey FROM range(50000) r(i) JOIN n ON n.at = r.i %
 def cycle_rows(spark, sf_dir):
     parts = fx.table(spark, sf_dir, "part").select("p_brand", "p_partkey")
     return agg.cycle_rows(parts, ["p_brand"], ["p_partkey"], 50_000).select("request_id", "p_partkey")
+
+
+RELEASE = "2026-04-02.0"
+FILE_SCHEMA = "k bigint, geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>"
+
+
+def _release(spark, sf_dir):
+    """A written release, as the tile server of a dataset would find it."""
+    root = scratch_folder(spark, "release")
+    layout.write_buildings(ds.with_partition_key(fx.buildings(spark, sf_dir)), root, RELEASE, "small")
+    return layout.scan_buildings(spark, root, RELEASE, "small", schema=FILE_SCHEMA)
+
+
+@query("j10_on_demand", f"""{RECT}, {placed([13])},
+bounds AS (
+  SELECT CAST(floor((10.10::DOUBLE + 180) / 360 * 8192) AS BIGINT) AS x0, CAST(floor((10.73::DOUBLE + 180) / 360 * 8192) AS BIGINT) AS x1,
+    CAST(floor({_row('63.52::DOUBLE', '8192')}) AS BIGINT) AS y0, CAST(floor({_row('63.27::DOUBLE', '8192')}) AS BIGINT) AS y1),
+candidates AS (SELECT x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM bounds)),
+made AS (SELECT x, y, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids, sum((px1 - px0) * (py1 - py0)) AS area
+  FROM placed WHERE px0 < px1 AND py0 < py1 GROUP BY x, y)
+SELECT 13 AS z, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, n, ids, area FROM candidates c LEFT JOIN made m ON m.x = c.x AND m.y = c.y""")
+def on_demand(spark, sf_dir):
+    """All tiles of the Trondheim box, made on request from a written release."""
+    requests = tiling.candidate_tiles(spark, TRONDHEIM_EXTENT, 13)
+    tiles = tiling.tiles_on_request(requests, _release(spark, sf_dir), "k", chunk_features=40)
+    made = tiles.select("z", "x", "y", F.explode("features").alias("f")).select("z", "x", "y", "f.*")
+    totals = made.withColumn("area", g.area(F.col("geometry"))).groupBy("z", "x", "y").agg(
+        F.count("*").alias("n"), F.sum("feature_id").alias("ids"), F.sum("area").alias("area")
+    )
+    return requests.join(totals, tiling.TILE, "left")
+
+
+@query("j10_on_demand_zooms", f"""{RECT}, {placed([6, 9, 12, 15, 18])},
+ends AS (SELECT minx, miny FROM rect WHERE k = (SELECT min(k) FROM rect) OR k = (SELECT max(k) FROM rect)),
+wanted AS (SELECT DISTINCT z, CAST(floor((minx + 180) / 360 * (2 ** z)) AS BIGINT) AS x, CAST(floor({_row('miny', '(2 ** z)')}) AS BIGINT) AS y
+  FROM ends, (VALUES (6), (9), (12), (15), (18)) v(z))
+SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids
+FROM placed JOIN wanted USING (z, x, y) WHERE px0 < px1 AND py0 < py1 GROUP BY z, x, y""")
+def on_demand_zooms(spark, sf_dir):
+    """The tiles above the first and the last building at several zooms, which lie far apart."""
+    r = fx.rectangles(spark, sf_dir)
+    ends = r.agg(*[f(F.struct("k", "minx", "miny")).alias(f.__name__) for f in (F.min, F.max)])
+    spots = ends.select(F.explode(F.array("min", "max")).alias("e")).withColumn("zoom", F.explode(F.array(*map(F.lit, (6, 9, 12, 15, 18)))))
+    requests = spots.select(tl.lat_lon_to_tile(F.col("e.miny"), F.col("e.minx"), F.col("zoom")).alias("t")).select("t.*")
+    made = tiling.requested_geometries(requests, _release(spark, sf_dir), "k")
+    return made.groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.sum("feature_id").alias("ids"))

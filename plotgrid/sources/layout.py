@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotgrid.functions import geometry as g
+from plotgrid.functions.curves import position_key
 
 # Row group and batch sizes of the published layout.
 ROW_GROUP_ROWS = 100_000
 BATCH_ROWS = 250_000
 MEDIA_TYPE = "application/vnd.apache.parquet"
+# Name of the sort column, which is not written.
+PLACE = "_place"
 
 
 def dataset_path(root: str, release: str, size: str | None = None, **parts: str) -> str:
@@ -29,14 +32,26 @@ def dataset_path(root: str, release: str, size: str | None = None, **parts: str)
 
 
 def scan_buildings(
-    spark: SparkSession, root: str, release: str, size: str, region: str = "*", theme: str = "buildings"
+    spark: SparkSession, root: str, release: str, size: str, region: str = "*", theme: str = "buildings",
+    schema: str | T.StructType | None = None,
 ) -> DataFrame:
     """Buildings of one release and size; ``size``, ``theme`` and ``region`` come from the
-    path, so a region filter prunes folders and files are merged by column name."""
+    path, so a region filter prunes folders and files are merged by column name.
+
+    With a ``schema`` (of the file columns, absent ones are NULL) no file is opened before the scan; without one all footers
+    are read to merge them.
+    """
     base = dataset_path(root, release)
+    reader = spark.read.option("basePath", base)
+    if schema is None:
+        reader = reader.option("mergeSchema", "true")
+    else:
+        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        known = {f.name for f in declared}
+        parts = [T.StructField(c, T.StringType()) for c in ("size", "theme", "region") if c not in known]
+        reader = reader.schema(T.StructType([*declared.fields, *parts]))
     df = (
-        spark.read.option("mergeSchema", "true").option("basePath", base)
-        .parquet(f"{base}/size={size}/theme={theme}")
+        reader.parquet(f"{base}/size={size}/theme={theme}")
         .withColumn("region", F.lpad(F.col("region").cast("string"), 2, "0"))
     )
     return df if region == "*" else df.filter(F.col("region") == region)
@@ -81,24 +96,27 @@ def encoded(df: DataFrame, column: str = "geometry") -> DataFrame:
 
 
 def write_buildings(
-    df: DataFrame, root: str, release: str, size: str, theme: str = "buildings", max_file_rows: int = 2_000_000
+    df: DataFrame, root: str, release: str, size: str, theme: str = "buildings", max_file_rows: int = 2_000_000,
+    row_group_rows: int = ROW_GROUP_ROWS,
 ) -> str:
-    """Write one release: rows clustered by region and partition key, WKB and box columns,
+    """Write one release: rows clustered by region and place, WKB and box columns,
     snappy, row groups of 100,000 rows; regions without rows write nothing. A region that is
     written again replaces its files, other regions and sizes stay.
 
-    The rebalance lets adaptive execution split a crowded key over several tasks and join
-    small keys, so neither a hot region nor thousands of tiny files arise.
+    Rows are dealt by ranges of region and Hilbert key and sorted by them, so a file holds one stretch of the
+    curve, its row groups have tight boxes, and a frame meets few of both. A hot region is cut
+    into several ranges. Dealing samples the rows once more before they are written.
     """
     path = dataset_path(root, release)
-    rows = encoded(df).withColumns({"size": F.lit(size), "theme": F.lit(theme)})
+    rows = encoded(df).withColumns({"size": F.lit(size), "theme": F.lit(theme), PLACE: position_key(F.col("bbox"))})
     (
-        rows.hint("rebalance", "region", "partition_key")
-        .sortWithinPartitions("region", "partition_key")
+        rows.repartitionByRange("region", PLACE)
+        # the writer asks for the order of its folders first and would sort anew without it
+        .sortWithinPartitions("size", "theme", "region", PLACE).drop(PLACE)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("size", "theme", "region")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", max_file_rows)
-        .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
+        .option("parquet.block.row.count.limit", row_group_rows)
         .parquet(path)
     )
     note = {
