@@ -155,18 +155,6 @@ def zones(spark: SparkSession) -> DataFrame:
 
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centers, corners and outside points of buildings with key multiple of 8."""
-    r = rectangles(spark, sf_dir)
-    k = F.col("k")
-    return r.filter(k % 8 == 0).select(
-        k.alias("point_id"),
-        F.when(k % 24 == 0, F.col("minx") + F.col("w") / 2).when(k % 24 == 8, F.col("minx"))
-        .otherwise(F.col("minx") + 5.0).alias("lon"),
-        F.when(k % 24 == 0, F.col("miny") + F.col("h") / 2).otherwise(F.col("miny")).alias("lat"),
-    )
-
-
-def every_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point of every building: center, corner or outside, by key modulo 3."""
     k = F.col("k")
     return rectangles(spark, sf_dir).select(

@@ -121,19 +121,9 @@ def union_sources(spark, sf_dir):
     return fkb.unionByName(fx.osm(spark, sf_dir).select("external_id", F.lit("osm").alias("source")))
 
 
-@query("j6_pairs_with_points", f"""{RECT}, p AS (SELECT k AS point_id, minx + w / 2 AS lon, miny + h / 2 AS lat FROM rect WHERE k % 16 = 0)
+@query("j6_pairs_with_points", f"""{RECT}, p AS (SELECT k AS point_id, minx + w / 2 AS lon, miny + h / 2 AS lat FROM rect)
 SELECT r.k, p.point_id FROM rect r JOIN p ON p.lon > r.minx AND p.lon < r.minx + r.w AND p.lat > r.miny AND p.lat < r.miny + r.h""")
 def pairs_with_points(spark, sf_dir):
-    points = fx.rectangles(spark, sf_dir).filter("k % 16 = 0").select(
-        F.col("k").alias("point_id"), (F.col("minx") + F.col("w") / 2).alias("lon"), (F.col("miny") + F.col("h") / 2).alias("lat")
-    )
-    polygons = fx.buildings(spark, sf_dir).select("k", "geometry", "bbox")
-    return containing_pairs(polygons, points).select("k", "point_id")
-
-
-@query("j6_pairs_with_every_center", f"""{RECT}, p AS (SELECT k AS point_id, minx + w / 2 AS lon, miny + h / 2 AS lat FROM rect)
-SELECT r.k, p.point_id FROM rect r JOIN p ON p.lon > r.minx AND p.lon < r.minx + r.w AND p.lat > r.miny AND p.lat < r.miny + r.h""")
-def pairs_with_every_center(spark, sf_dir):
     points = fx.rectangles(spark, sf_dir).select(
         F.col("k").alias("point_id"), (F.col("minx") + F.col("w") / 2).alias("lon"), (F.col("miny") + F.col("h") / 2).alias("lat")
     )

@@ -24,17 +24,17 @@ def test_every_key_is_looked_up(spark, sf_dir, rect):
     center, corner = b[:, :2] + b[:, 2:] / 2, b[:, :2]
     points = np.where((k % 3 == 0)[:, None], center, np.where((k % 3 == 1)[:, None], corner, corner + [5.0, 0.0]))
     hit = inside(points, b)
-    got = {r.point_id: r.n_buildings for r in QUERIES["j3_every_point_in_polygons"](spark, sf_dir).collect()}
+    got = {r.point_id: r.n_buildings for r in QUERIES["j3_point_in_polygon_counts"](spark, sf_dir).collect()}
     assert got == dict(zip(k.tolist(), hit.sum(axis=1).tolist()))
-    found = [r.k for r in QUERIES["j6_polygons_with_every_point"](spark, sf_dir).collect()]
+    found = [r.k for r in QUERIES["j6_polygons_with_points"](spark, sf_dir).collect()]
     assert sorted(found) == k[hit.any(axis=0)].tolist()
-    shaped = QUERIES["j3_every_point_in_shapes"](spark, sf_dir)
+    shaped = QUERIES["j3_point_in_shapes"](spark, sf_dir)
     assert sorted(r.point_id for r in shaped.select("point_id").collect()) == k.tolist()
 
 
 def test_every_center_finds_its_pairs(spark, sf_dir, rect):
     k, b = rect
     at, of = np.nonzero(inside(b[:, :2] + b[:, 2:] / 2, b))
-    got = [tuple(r) for r in QUERIES["j6_pairs_with_every_center"](spark, sf_dir).collect()]
+    got = [tuple(r) for r in QUERIES["j6_pairs_with_points"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(zip(k[of].tolist(), k[at].tolist()))
     assert {p for _, p in got} == set(k.tolist())

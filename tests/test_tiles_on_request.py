@@ -68,7 +68,9 @@ def test_boxes_cover_all_requests(spark):
 def test_the_boxes_reach_the_scan(spark, release):
     requests = tiling.candidate_tiles(spark, TRONDHEIM, 13)
     made = tiling.requested_geometries(requests, release, "k", most_boxes=1)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = made._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     scan = next(line for line in plan.split("\n") if "FileScan parquet" in line and "geometry" in line)
     pushed = re.search(r"PushedFilters: \[(.*)", scan).group(1)
     assert "LessThanOrEqual(bbox.xmin" in pushed and "GreaterThanOrEqual(bbox.xmax" in pushed
