@@ -10,7 +10,7 @@ from plotgrid.functions import geometry as g
 from plotgrid.operators import dataset as ds
 from plotgrid.operators import filters as f
 from plotgrid.operators import samples as sm
-from plotgrid.operators import shaping
+from plotgrid.operators import shaping, stages, zones
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
 from plotgrid.plans.registry import query
@@ -115,6 +115,25 @@ def get_county(spark, sf_dir):
     return found.select("region", points.alias("n_points"))
 
 
+@query("s9_stored_counties", """SELECT c_name AS region, CASE WHEN c_custkey % 15 = 0 THEN 'again' WHEN c_custkey % 10 = 0 THEN 'changed' ELSE 'kept' END AS state, 3 AS versions
+FROM customer UNION ALL SELECT 'new ' || c_custkey, 'again', 3 FROM customer WHERE c_custkey % 15 = 0""")
+def stored_counties(spark, sf_dir):
+    """A stored registry after two upserts of its first version, read back from its last snapshot."""
+    path = scratch_folder(spark, "counties")
+    customers = fx.table(spark, sf_dir, "customer").select(F.col("c_name").alias("region"), "c_custkey")
+
+    def rows(df, state):
+        return df.select("region", F.encode(F.lit(state), "UTF-8").alias("wkb"), F.lit(state).alias("json"))
+
+    registry.store_counties(spark, path, rows(customers, "kept"))
+    registry.store_counties(spark, path, rows(customers.filter("c_custkey % 10 = 0"), "changed"))
+    third = customers.filter("c_custkey % 15 = 0")
+    added = third.withColumn("region", F.concat(F.lit("new "), "c_custkey"))
+    registry.store_counties(spark, path, rows(third.unionByName(added), "again"))
+    store = registry.stored_counties(spark, path)
+    return store.read().select("region", F.col("json").alias("state"), F.lit(len(store.versions())).alias("versions"))
+
+
 def _releases(spark, sf_dir):
     """A release per order: its day and a version; some lack a creation time."""
     o = fx.table(spark, sf_dir, "orders")
@@ -151,6 +170,18 @@ def append_release(spark, sf_dir):
     return grown.agg(F.count("*").alias("n"), F.max_by("release", "date_created").alias("newest"))
 
 
+@query("s10_stored_releases", """SELECT day || '.' || v AS release FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
+  WHERE o_orderdate IN (SELECT DISTINCT o_orderdate FROM orders ORDER BY 1 LIMIT 3)) d, (VALUES (0), (1)) n(v)""")
+def stored_releases(spark, sf_dir):
+    """Two releases on each of the first three order dates, appended to a stored registry one after the other."""
+    path = scratch_folder(spark, "releases")
+    dates = fx.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().orderBy("day").limit(3)
+    for row in sorted(dates.collect()):
+        for _ in range(2):
+            registry.store_release(spark, path, F.lit(row["day"]), F.lit(row["day"]).cast("timestamp"))
+    return registry.stored_releases(spark, path).read().select("release")
+
+
 def _samples(spark, sf_dir):
     """Events as sample rows: one run per user, iterations by event number."""
     e = fx.table(spark, sf_dir, "events")
@@ -203,13 +234,46 @@ def asset_manifest(spark, sf_dir):
     return manifest.select("release", "theme", "region", "source", "item_id", "role", "media_type").distinct()
 
 
+TIMED = f"{RECT}, timed AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(k AS BIGINT)) AS t FROM rect)"
+
+
+def _timed_release(spark, sf_dir):
+    root = scratch_folder(spark, "timed")
+    hours = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(k AS INT))").cast("timestamp")
+    rows = ds.with_partition_key(fx.buildings(spark, sf_dir)).withColumn("feature_update_time", hours)
+    path = layout.write_buildings(rows, root, RELEASE, "small")
+    return path, layout.manifest_with_extents(spark, f"{path}/size=small", "small", "feature_update_time")
+
+
+@query("s13_item_extents", f"""{TIMED} SELECT 'region-' || region || '-small' AS item_id, count(*) AS rows, min(minx) AS xmin, min(miny) AS ymin,
+  max(minx + w) AS xmax, max(miny + h) AS ymax, min(t) AS first_time, max(t) AS last_time FROM timed GROUP BY region""")
+def item_extents(spark, sf_dir):
+    """Catalog items with their rows, box and times, brought together from their files."""
+    _, manifest = _timed_release(spark, sf_dir)
+    return layout.item_extents(manifest).select("item_id", "rows", "bbox.*", "first_time", "last_time")
+
+
+@query("s13_scan_by_extent", f"""{TIMED} SELECT external_id, region FROM timed
+WHERE {ref.overlaps(f.TRONDHEIM)} AND t >= TIMESTAMP '2024-01-03 00:00:00'""")
+def scan_by_extent(spark, sf_dir):
+    """A frame and a time over the files that the manifest says may hold them."""
+    path, manifest = _timed_release(spark, sf_dir)
+    since = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    schema = "external_id string, geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, feature_update_time timestamp"
+    read = layout.scan_by_extent(spark, manifest, path, schema, f.TRONDHEIM, since)
+    found = f.bbox_intersects(layout.decoded(read.filter(F.col("feature_update_time") >= since)), f.TRONDHEIM)
+    return found.select("external_id", "region")
+
+
 @query("s14_blob_summary", f"{RECT} SELECT count(DISTINCT region) AS folders, TRUE AS sized FROM rect")
 def blob_summary(spark, sf_dir):
     _, path = _written(spark, sf_dir)
     folders = layout.file_listing(spark, path).agg(F.countDistinct(F.regexp_extract("path", "region=(\\d+)", 1)).alias("folders"))
-    return folders.crossJoin(layout.blob_summary(spark, path)).select(
-        "folders", ((F.col("file_count") >= F.col("folders")) & (F.col("total_bytes") > 0)).alias("sized")
-    )
+    # the same files and sizes as their readers see them
+    read = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/size=small").select("_metadata.file_path", "_metadata.file_size").distinct()
+    seen = read.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+    sized = (F.col("file_count") == F.col("files")) & (F.col("total_bytes") == F.col("bytes"))
+    return folders.crossJoin(layout.blob_summary(spark, path)).crossJoin(seen).select("folders", sized.alias("sized"))
 
 
 @query("s15_export_geojsonl", f"""{RECT} SELECT external_id, minx AS west, miny AS south, minx + w AS east, miny + h AS north, 5 AS points FROM rect""")
@@ -640,3 +704,12 @@ def semi_join_ids(spark, sf_dir):
 @query("l4_cluster_by_partition_key", f"{RECT} SELECT {KEY} AS partition_key, count(*) AS n, min(k) AS first FROM rect GROUP BY 1")
 def cluster_by_key(spark, sf_dir):
     return ds.partitioned(fx.buildings(spark, sf_dir)).groupBy("partition_key").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+
+
+@query("a9_recorded_run")
+def recorded_run(spark, sf_dir):
+    """Rollup and phases of a zone join that has just run: read off the application, so no SQL can know the figures."""
+    run_id = f"zone-join-{uuid.uuid4().hex}"
+    with stages.recorded(spark, run_id) as run:
+        zones.spatial_join_counts(fx.buildings(spark, sf_dir), fx.zones(spark)).write.format("noop").mode("overwrite").save()
+    return sm.phase_split(run.stages(), run.walls())

@@ -9,7 +9,7 @@ from plotgrid.functions import projections as p
 from plotgrid.functions import tiles as tl
 from plotgrid.operators import aggregates as agg
 from plotgrid.operators import dataset as ds
-from plotgrid.operators import tiling
+from plotgrid.operators import thinning, tiling
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
 from plotgrid.plans.registry import query
@@ -257,3 +257,58 @@ def on_demand_zooms(spark, sf_dir):
     requests = spots.select(tl.lat_lon_to_tile(F.col("e.miny"), F.col("e.minx"), F.col("zoom")).alias("t")).select("t.*")
     made = tiling.requested_geometries(requests, _release(spark, sf_dir), "k")
     return made.groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.sum("feature_id").alias("ids"))
+
+
+def _curve(source: str, key: str, x: str, y: str, bits: int) -> str:
+    """CTE ``curve``: (key, place) of cells along the Hilbert curve, one level of the square after the other."""
+    top = 1 << bits - 1
+    return f"""steps AS (
+  SELECT {key} AS key, CAST({top} AS BIGINT) AS s, {x} AS cx, {y} AS cy, CAST(0 AS BIGINT) AS place FROM {source}
+  UNION ALL
+  SELECT key, s // 2,
+    CASE WHEN cy & s <> 0 THEN cx WHEN cx & s <> 0 THEN s - 1 - (cy & (s - 1)) ELSE cy END,
+    CASE WHEN cy & s <> 0 THEN cy WHEN cx & s <> 0 THEN s - 1 - (cx & (s - 1)) ELSE cx END,
+    place + s * s * CASE WHEN cx & s <> 0 THEN CASE WHEN cy & s <> 0 THEN 2 ELSE 3 END ELSE CASE WHEN cy & s <> 0 THEN 1 ELSE 0 END END
+  FROM steps WHERE s > 0),
+curve AS (SELECT key, place FROM steps WHERE s = 0)"""
+
+
+GAPS = f"""WITH RECURSIVE {ref.RECT}, {placed([8, 10, 12])},
+drawn AS (SELECT *, CAST(floor((px0 + px1) / 2) AS BIGINT) + 256 AS mx, CAST(floor((py0 + py1) / 2) AS BIGINT) + 256 AS my
+  FROM placed WHERE px0 < px1 AND py0 < py1),
+numbered AS (SELECT row_number() OVER (ORDER BY z, x, y, k) AS id, * FROM drawn),
+{_curve('numbered', 'id', 'mx', 'my', 16)},
+gaps AS (SELECT z, x, y, k, place, place - lag(place) OVER (PARTITION BY z, x, y ORDER BY place, k) AS gap FROM numbered JOIN curve ON key = id),
+reached AS (SELECT *, count(*) OVER (PARTITION BY z, x, y) AS n,
+  count(*) OVER (PARTITION BY z, x, y ORDER BY coalesce(gap, 1000000000) DESC) AS reach FROM gaps),
+kept AS (SELECT * FROM reached WHERE n <= 20 OR gap IS NULL OR reach <= 20)"""
+
+
+def _densest(spark, sf_dir):
+    return thinning.drop_densest(tiling.tile_geometries(fx.buildings(spark, sf_dir), [8, 10, 12], "k"), 20)
+
+
+@query("t4d_drop_densest", f"{GAPS} SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, k AS feature_id, place, gap FROM kept")
+def drop_densest(spark, sf_dir):
+    """What stays of every tile when it drops the features that stand densest."""
+    return _densest(spark, sf_dir).select("z", "x", "y", "feature_id", "place", "gap")
+
+
+@query("t4d_densest_dropped", f"""{GAPS}
+SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS kept, any_value(n) - count(*) AS dropped FROM kept GROUP BY z, x, y""")
+def densest_dropped(spark, sf_dir):
+    return _densest(spark, sf_dir).groupBy("z", "x", "y").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"))
+
+
+@query("t4d_zoom_choice", f"""WITH RECURSIVE {ref.RECT},
+world AS (SELECT k, ((minx + (minx + w)) / 2 + 180) / 360 AS wx, {_row('((miny + (miny + h)) / 2)', '1')} AS wy FROM rect),
+cells AS (SELECT k, CAST(floor(wx * 1048576) AS BIGINT) AS mx, CAST(floor(wy * 1048576) AS BIGINT) AS my FROM world),
+{_curve('cells', 'k', 'mx', 'my', 20)},
+follow AS (SELECT sqrt((wx - lag(wx) OVER along) ** 2 + (wy - lag(wy) OVER along) ** 2) AS apart
+  FROM world JOIN curve ON key = k WINDOW along AS (ORDER BY place, k)),
+parted AS (SELECT apart, row_number() OVER (ORDER BY apart) AS nth, count(*) OVER () AS n FROM follow WHERE apart > 0)
+SELECT n AS neighbours, round(apart, 12) AS distance, CAST(greatest(0, least(22, ceil(log2(8.0::DOUBLE / 4096 / apart)))) AS INTEGER) AS zoom
+FROM parted WHERE nth = ceil(n * 0.5)""")
+def zoom_choice(spark, sf_dir):
+    found = thinning.choose_zoom(fx.buildings(spark, sf_dir), "k")
+    return found.withColumn("distance", F.round("distance", 12))

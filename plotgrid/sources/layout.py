@@ -108,16 +108,16 @@ def write_buildings(
     into several ranges. Dealing samples the rows once more before they are written.
     """
     path = dataset_path(root, release)
-    rows = encoded(df).withColumns({"size": F.lit(size), "theme": F.lit(theme), PLACE: position_key(F.col("bbox"))})
+    rows = encoded(df.drop("size", "theme")).withColumn(PLACE, position_key(F.col("bbox")))
     (
         rows.repartitionByRange("region", PLACE)
-        # the writer asks for the order of its folders first and would sort anew without it
-        .sortWithinPartitions("size", "theme", "region", PLACE).drop(PLACE)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("size", "theme", "region")
+        # the writer keeps this order, since it begins with the one folder column
+        .sortWithinPartitions("region", PLACE).drop(PLACE)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", max_file_rows)
         .option("parquet.block.row.count.limit", row_group_rows)
-        .parquet(path)
+        .parquet(dataset_path(root, release, size, theme=theme))
     )
     note = {
         "version": "1.1.0", "primary_column": "geometry",
@@ -218,3 +218,62 @@ def path_problem(release: Column, region: Column, file_name: Column) -> Column:
 def validate_paths(manifest: DataFrame) -> DataFrame:
     """Append ``problem``: NULL for rows with an acceptable release, region and file."""
     return manifest.withColumn("problem", path_problem(F.col("release"), F.col("region"), F.col("file_name")))
+
+
+def _same_form(href: Column) -> Column:
+    """A file address with one slash after its scheme, as not all sources write it alike."""
+    return F.regexp_replace(href, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def file_extents(spark: SparkSession, path: str, time_column: str | None = None) -> DataFrame:
+    """(href, rows, bbox, first_time, last_time) of every data file with rows, from one pass over box and time columns."""
+    columns = "bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>"
+    if time_column is not None:
+        columns += f", `{time_column}` timestamp"
+    files = spark.read.schema(columns).parquet(path)
+    time = F.col(time_column) if time_column is not None else F.lit(None).cast("timestamp")
+    box = F.struct(*[f(f"bbox.{c}").alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))])
+    return files.groupBy(_same_form(F.col("_metadata.file_path")).alias("href")).agg(
+        F.count("*").alias("rows"), box.alias("bbox"), F.min(time).alias("first_time"), F.max(time).alias("last_time")
+    )
+
+
+def manifest_with_extents(spark: SparkSession, path: str, source: str = "", time_column: str | None = None) -> DataFrame:
+    """``asset_manifest`` with the rows, box and times of every file; 0 rows and NULLs for an empty one."""
+    files = asset_manifest(spark, path, source).withColumn("href", _same_form(F.col("href")))
+    return files.join(file_extents(spark, path, time_column), "href", "left").na.fill(0, ["rows"])
+
+
+def item_extents(manifest: DataFrame) -> DataFrame:
+    """One row per catalog item: its files, rows, bytes, box and times."""
+    box = F.struct(*[f(f"bbox.{c}").alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))])
+    return manifest.groupBy("item_id", "release", "theme", "region", "source").agg(
+        F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), box.alias("bbox"),
+        F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"),
+    )
+
+
+def scan_by_extent(
+    spark: SparkSession, manifest: DataFrame, base: str, schema: str,
+    frame: tuple[float, float, float, float] | None = None, since: Column | None = None, until: Column | None = None,
+) -> DataFrame:
+    """The files of a manifest whose box meets a frame and whose times meet a span, as one scan.
+
+    Other files are neither listed nor opened; rows are not filtered. Only the addresses of the chosen files come to the driver, as
+    the reader takes them. ``base`` is the release folder, so size, theme and region come from the path.
+    """
+    wanted = manifest.filter(F.col("rows") > 0)
+    if frame is not None:
+        xmin, ymin, xmax, ymax = (float(v) for v in frame)
+        wanted = wanted.filter(
+            (F.col("bbox.xmin") <= xmax) & (F.col("bbox.xmax") >= xmin) & (F.col("bbox.ymin") <= ymax) & (F.col("bbox.ymax") >= ymin)
+        )
+    if since is not None:
+        wanted = wanted.filter(F.col("last_time") >= since)
+    if until is not None:
+        wanted = wanted.filter(F.col("first_time") <= until)
+    chosen = sorted(r["href"] for r in wanted.select("href").collect())
+    parts = "size string, theme string, region string"
+    if not chosen:
+        return spark.createDataFrame([], f"{schema}, {parts}")
+    return spark.read.schema(f"{schema}, {parts}").option("basePath", base).parquet(*chosen)

@@ -3,9 +3,14 @@ table; nothing passes through the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotgrid.sources.snapshots import Snapshots
+
+COUNTIES = "region string, wkb binary, json string"
+RELEASES = "release string, date_created timestamp"
+
 
 def get_county(counties: DataFrame, region: str) -> DataFrame:
     return counties.filter(F.col("region") == region).select("region", "wkb", "json")
@@ -16,6 +21,28 @@ def upsert_counties(counties: DataFrame, changes: DataFrame) -> DataFrame:
     return counties.join(changes, "region", "left_anti").unionByName(changes)
 
 
+def stored_counties(spark: SparkSession, path: str) -> Snapshots:
+    """The county registry below a folder."""
+    return Snapshots(spark, path, COUNTIES)
+
+
+def store_counties(spark: SparkSession, path: str, changes: DataFrame) -> int:
+    """Upsert counties into the stored registry and return its new version."""
+    return stored_counties(spark, path).update(lambda old: upsert_counties(old, changes.select(*old.columns)))
+
+
+def stored_releases(spark: SparkSession, path: str) -> Snapshots:
+    """The release registry below a folder."""
+    return Snapshots(spark, path, RELEASES)
+
+
+def store_release(spark: SparkSession, path: str, today: Column, created: Column) -> str:
+    """Append the next release to the stored registry and return its name; of two writers on one day each gets its own."""
+    store = stored_releases(spark, path)
+    version = store.update(lambda old: with_next_release(old, today, created))
+    return latest_release(store.read(version)).first()["release"]
+
+
 def latest_release(releases: DataFrame) -> DataFrame:
     """The newest row by creation time, its name split into ``day`` and ``version``; no
     row when there is none or its name cannot be read."""
