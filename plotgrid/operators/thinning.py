@@ -118,4 +118,5 @@ def choose_zoom(
         F.count("*").alias("neighbours"), F.percentile_approx("apart", typical, accuracy).alias("distance")
     )
     zoom = F.ceil(F.log2(F.lit(parted_units / tl.EXTENT) / F.col("distance")))
-    return found.withColumn("zoom", F.greatest(F.lit(0), F.least(zoom, F.lit(MAX_ZOOM))).cast("int"))
+    bounded = F.greatest(F.lit(0), F.least(zoom, F.lit(MAX_ZOOM))).cast("int")
+    return found.withColumn("zoom", F.when(F.col("distance").isNotNull(), bounded))
