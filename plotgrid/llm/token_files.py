@@ -2,43 +2,82 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotgrid.llm.common import Memo, documents
+from plotgrid.llm.common import documents
 from plotgrid.llm.registry import query
 from plotgrid.session import scratch_folder
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 FIRST_SHARE = 1 / 64
-MIN_COUNT = 64
-MEMO = 250_000
+MIN_COUNT = 4
+MEMO_WORDS = 800_000
+MEMO_CHARS = 24_000_000
+WORDS_AT_ONCE = 2_000
+SLICE_BYTES = 16_000_000
+GATHER_PARTS = 400_000
 MARKS = ".,!|"
-MEMO_CHARS = 64
-DOCS_AT_ONCE = 512
 
 MAGIC = b"RPSHARD1"
 # a space before another character than white space always begins a new piece of byte-level
 # BPE, so the text may be encoded in parts cut there
 CUT = re.compile(r" (?=\S)")
+# texts in which not every single space is such a cut: white space (Unicode White_Space and the four separators) or the end follows one
+UNEVEN = r" (?:[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 
 
 # ---- encoding
 
+class Entries:
+    """Ids of words, one after the other in a growing array, and where each word's ids begin."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends, self.used, self.chars = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.numbers)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while n + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.chars += sum(map(len, words))
+        self.numbers.update(zip(words, range(n, n + len(words))))
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all entries one after the other, and how many each has."""
+        begins = self.ends[entries]
+        sizes = self.ends[entries + 1] - begins
+        total = np.cumsum(sizes)
+        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begins - (total - sizes), sizes)
+        return self.ids[at], sizes
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, as little-endian 32-bit numbers.
+    """Ids of whole texts by the tokenizers library.
 
-    Equal parts of texts are handed to the library once as long as the bounded memos hold them.
+    Texts are cut at spaces in Arrow, and equal words of a slice are looked up once. Words no earlier text had are joined
+    by spaces and handed over together, which gives each the ids it has alone; the ids of all words are kept, and dropped
+    together before they pass ``MEMO_WORDS`` words or ``MEMO_CHARS`` characters by more than a slice.
     """
 
     def __init__(self, content: str):
@@ -48,41 +87,109 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.parts, self.words = Memo(MEMO), Memo(MEMO)
-        self.marks = dict(zip(MARKS, self._library(list(MARKS))))
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that are not in the memo, each with a space before it, and keep the
-        short ones there. A word and one mark behind it are two pieces, so words are known apart."""
-        word_of = {p: p[:-1] if p[-1] in self.marks and p[:-1].isalpha() else p for p in parts}
-        known = {w: v for w in set(word_of.values()) if (v := self.words.young.get(w) or self.words.recall(w))}
-        missing = [w for w in set(word_of.values()) if w not in known]
-        for word, value in zip(missing, self._library([" " + w for w in missing])):
-            known[word] = value
-            if len(word) <= MEMO_CHARS:
-                self.words.store(word, value)
-        learned = {p: known[w] if len(w) == len(p) else known[w] + self.marks[p[-1]] for p, w in word_of.items()}
-        for part, value in learned.items():
-            if len(part) <= MEMO_CHARS:
-                self.parts.store(part, value)
-        return learned
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [CUT.split(t or "") for t in texts]
-        starts = self._library([parts.pop(0) for parts in cut])
-        get = self.parts.young.get
-        found = [list(map(get, parts)) for parts in cut]
-        missing = {p for parts, values in zip(cut, found) for p, v in zip(parts, values) if v is None}
-        old = {p: v for p in missing if (v := self.parts.recall(p)) is not None}
-        learned = old | self._learn(missing - old.keys())
-        out = []
-        for start, parts, values in zip(starts, cut, found):
-            if None in values:
-                values = [learned[p] if v is None else v for p, v in zip(parts, values)]
-            out.append(start + b"".join(values))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        spec = json.loads(content)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        space = self.tokenizer.id_to_token(self._library([" "])[0][0])
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.apart = re.compile("|".join(map(re.escape, [" ", *self.special])))
+        self.uneven = "|".join([UNEVEN, *map(re.escape, self.special)])
+        self.marks = {m: np.array(ids, "<u4") for m, ids in zip(MARKS, self._library(list(MARKS)))}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.stems, self.starts = Entries(), Entries(), Entries()
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, into: Entries, words: list[str], lead: str) -> None:
+        made = self._library([lead + w for w in words])
+        sizes = np.array(list(map(len, made)), dtype=np.int64)
+        into.add(words, np.fromiter((i for ids in made for i in ids), "<u4", int(sizes.sum())), sizes)
+
+    def _together(self, words: list[str]) -> None:
+        """Learn words without a space or special token in them: joined, each begins at a token that begins with the space."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            ids = np.array(self._library([" " + " ".join(some)])[0], "<u4")
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) == len(some):
+                self.stems.add(some, ids, np.diff(np.append(begins, len(ids))))
+            else:  # another kind of tokenizer file
+                self._one_by_one(self.stems, some, " ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Learn words that follow a space. A word of letters and one mark behind it are two pieces, so the word is known apart."""
+        stems = [w[:-1] if w[-1] in self.marks and w[:-1].isalpha() else w for w in words]
+        new = [w for w in dict.fromkeys(stems) if w not in self.stems.numbers]
+        alone = [w for w in new if self.apart.search(w)]
+        self._together([w for w in new if not self.apart.search(w)] if alone else new)
+        self._one_by_one(self.stems, alone, " ")
+        number = self.stems.numbers
+        ids, sizes = self.stems.gather(np.fromiter((number[w] for w in stems), np.int64, len(stems)))
+        marked = [i for i, (w, stem) in enumerate(zip(words, stems)) if len(w) != len(stem)]
+        behind = [self.marks[words[i][-1]] for i in marked]
+        ends = np.cumsum(sizes)
+        if marked:
+            more = np.array([len(b) for b in behind])
+            ids = np.insert(ids, np.repeat(ends[marked], more), np.concatenate(behind))
+            sizes[marked] += more
+        self.words.add(words, ids, sizes)
+
+    def _numbers(self, of: Entries, words: list[str], learn) -> np.ndarray:
+        found = list(map(of.numbers.get, words))
+        missing = [w for w, n in zip(words, found) if n is None]
+        if missing:
+            learn(list(dict.fromkeys(missing)))
+            found = map(of.numbers.__getitem__, words)
+        return np.fromiter(found, np.int64, len(words))
+
+    def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All parts of all texts, and where each text's parts begin."""
+        if pc.any(pc.match_substring_regex(texts, self.uneven)).as_py():
+            cut = [CUT.split(t) for t in _strings(texts)]
+            begins = np.cumsum([0, *map(len, cut)], dtype=np.int64)
+            return pa.array([p for parts in cut for p in parts], pa.string()), begins
+        parts = pc.split_pattern(texts, " ")
+        return parts.flatten(), parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.words.numbers) > MEMO_WORDS or self.words.chars > MEMO_CHARS:
+            self._forget()
+        parts, begins = self._parts(texts)
+        first = np.zeros(len(parts), dtype=bool)
+        first[begins[:-1]] = True
+        rest = parts.filter(pa.array(~first)).dictionary_encode()
+        number = self._numbers(self.words, _strings(rest.dictionary), self._learn)
+        entries = number[rest.indices.to_numpy()] if len(number) else number
+        starts = self._numbers(self.starts, _strings(parts.filter(pa.array(first))), lambda words: self._one_by_one(self.starts, words, ""))
+        start_ids, start_sizes = self.starts.gather(starts)
+        start_ends = np.cumsum(start_sizes)
+        # a text's rest lies behind all earlier texts' parts but their first ones
+        begins -= np.arange(len(begins))
+        out: list[np.ndarray] = []
+        while len(out) < len(texts):
+            low = len(out)
+            high = max(low + 1, int(np.searchsorted(begins, begins[low] + GATHER_PARTS, side="right")) - 1)
+            ids, sizes = self.words.gather(entries[begins[low] : begins[high]])
+            ends = np.concatenate(([0], np.cumsum(sizes)))[begins[low : high + 1] - begins[low]].tolist()
+            for i, a, b in zip(range(low, high), ends[:-1], ends[1:]):
+                out.append(np.concatenate((start_ids[start_ends[i] - start_sizes[i] : start_ends[i]], ids[a:b])))
+        return out
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # texts with uneven spaces are cut by themselves, so that they do not hold up the others
+        uneven = pc.match_substring_regex(column, self.uneven).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(column)
+        for kind in (False, True):
+            at = np.flatnonzero(uneven == kind)
+            if len(at):
+                for i, ids in zip(at.tolist(), self._encode(column.take(pa.array(at)))):
+                    out[i] = ids
         return out
 
 
@@ -93,18 +200,23 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
 
     Every round replaces all pairs that stand at least so often by new symbols from ``base`` on, where
     they do not overlap, the left one first; the next round asks for a sixteenth of the count, down
-    to ``min_count``, and the last round repeats until no pair is left. No pair begins with the end
+    to ``min_count``, at which rounds repeat until no pair is left. No pair begins with the end
     id, so no symbol crosses from one document to the next.
     """
     base = int(ids.max(initial=0)) + 1
     sequence = ids.astype(np.int64)
     rules: list[np.ndarray] = []
-    level, symbols = max(min_count, int(len(ids) * FIRST_SHARE)), base
+    level, symbols, newest = max(min_count, int(len(ids) * FIRST_SHARE)), base, 0
     while len(sequence) > 1:
         keys = sequence[:-1] << 32 | sequence[1:]
-        # a coarse count first: a pair in a rare slot is rare
-        slots = ((sequence[:-1] * 0x9E3779B1) ^ (sequence[1:] * 0x85EBCA77)) >> 7 & 0xFFFFF
-        often = np.bincount(slots, minlength=1 << 20)[slots] >= level
+        if newest:
+            # all pairs were counted at this level, so only those of the last round's symbols can have become frequent
+            new = sequence >= newest
+            often = new[:-1] | new[1:]
+        else:
+            # a coarse count first: a pair in a rare slot is rare
+            slots = ((sequence[:-1] * 0x9E3779B1) ^ (sequence[1:] * 0x85EBCA77)) >> 7 & 0xFFFFF
+            often = np.bincount(slots, minlength=1 << 20)[slots] >= level
         often &= sequence[:-1] != END_ID
         places = np.flatnonzero(often)
         pairs, back, counts = np.unique(keys[places], return_inverse=True, return_counts=True)
@@ -119,6 +231,7 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
             places, back = places[take], back[take]
             used, back = np.unique(back, return_inverse=True)
             rules.append(pairs[used])
+            newest = symbols if level == min_count else 0
             sequence[places] = symbols + back
             symbols += len(used)
             sequence = np.delete(sequence, places + 1)
@@ -137,17 +250,30 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(lengths, dtype="<u4")
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a run of symbols: all rules are opened at once until none is left."""
-    symbols = symbols.astype(np.int64)
+def _opened(symbols: np.ndarray, rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of symbols, all rules opened at once until none is left, and how many each symbol gave."""
+    owner = np.arange(len(symbols))
     while len(symbols) and (is_rule := symbols >= base).any():
         at = np.arange(len(symbols)) + np.cumsum(is_rule) - is_rule
         out = np.empty(len(symbols) + int(is_rule.sum()), dtype=np.int64)
         out[at] = symbols
         opened = rules[symbols[is_rule] - base]
         out[at[is_rule]], out[at[is_rule] + 1] = opened[:, 0], opened[:, 1]
-        symbols = out
-    return symbols.astype("<u4")
+        symbols, owner = out, np.repeat(owner, 1 + is_rule)
+    return symbols, owner
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids of a run of symbols: each rule that occurs is opened once and its ids are copied to its places."""
+    symbols = symbols.astype(np.int64)
+    used, back = np.unique(symbols, return_inverse=True) if (symbols >= base).any() else (symbols, np.arange(len(symbols)))
+    ids, owner = _opened(used, rules, base)
+    size = np.bincount(owner, minlength=len(used))
+    begin = np.cumsum(size) - size
+    sizes = size[back]
+    total = np.cumsum(sizes)
+    at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin[back] - (total - sizes), sizes)
+    return ids[at].astype("<u4")
 
 
 # ---- shard format: magic, then five counts, then the arrays, all little-endian
@@ -205,6 +331,16 @@ def _encoder(content: str) -> LibraryEncoder:
     return _encoders[content]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of whole documents of about ``SLICE_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the ids of every whole text, each document closed by id 0, in ascending doc_id order.
 
@@ -221,7 +357,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, shard_tok
 
         def close() -> pa.RecordBatch:
             nonlocal number, ids, ends, names, size
-            data = pack_shard(np.frombuffer(b"".join(ids), "<u4"), np.array(ends, dtype=np.int64))
+            data = pack_shard(np.concatenate(ids), np.array(ends, dtype=np.int64))
             row = pa.RecordBatch.from_pydict({
                 "shard": pa.array([number], pa.int32()), "doc_ids": pa.array([names], pa.list_(pa.int64())),
                 "n_tokens": pa.array([size], pa.int64()), "data": pa.array([data], pa.binary()),
@@ -229,12 +365,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, shard_tok
             number, ids, ends, names, size = number + 1, [], [], [], 0
             return row
 
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
-                for doc_id, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids.append(data + b"\0\0\0\0")
-                    size += len(data) // 4 + 1
+            for part in _slices(batch):
+                for doc_id, made in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    ids += (made, end)
+                    size += len(made) + 1
                     ends.append(size)
                     names.append(doc_id)
                     if size >= shard_tokens:
