@@ -16,16 +16,18 @@ from plotgrid.llm.registry import query
 from plotgrid.session import cut_lineage
 
 SAMPLE = 6_000
-WINDOWS_PER_TEXT = 3
-WINDOW_CHARS = 400
+FIRST_PIECE = 64
+PIECE_GROWTH = 4
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 4
 RATE = 8.0
 REJECTED = 0.01
+MISLABELLED = 1e-4
 UNKNOWN = "und"
 BLOCK = 1 << 15
+TEMPERATURES = np.geomspace(1e-3, 1e2, 240)
 
 
 @dataclass(frozen=True)
@@ -93,13 +95,12 @@ def _probabilities(logits: np.ndarray, temperature: float, shift=0.0) -> np.ndar
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _train(examples: list[tuple[np.ndarray, int]], n_languages: int) -> np.ndarray:
+def _train(examples: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int) -> np.ndarray:
     """Embedding (BUCKETS x DIMENSIONS) and softmax layer by stochastic gradient descent, multiplied."""
     rng = np.random.default_rng(7)
     embedding = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     layer = np.zeros((DIMENSIONS, n_languages))
-    prepared = [(*np.unique(subword_buckets(codes), return_counts=True), y) for codes, y in examples]
-    prepared = [(u, c / c.sum(), y) for u, c, y in prepared if len(u)]
+    prepared = [(buckets, counts / counts.sum(), y) for buckets, counts, y in examples]
     steps, done = EPOCHS * len(prepared), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(prepared)):
@@ -161,123 +162,90 @@ def lowest_share(values: np.ndarray, weights: np.ndarray, share: float) -> float
     return float(values[order][min(int(np.searchsorted(reached, share, side="right")), len(values) - 1)])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Model of at most ``sample`` training documents whose language is known, chosen by hash per language.
+def pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """A whole text in parts of growing length, so that short and long texts are learned from alike."""
+    at, size = 0, FIRST_PIECE
+    while at < len(codes):
+        yield codes[at : at + size]
+        at, size = at + size, size * PIECE_GROWTH
 
-    Of each text ``WINDOWS_PER_TEXT`` evenly spaced windows of ``WINDOW_CHARS`` code points are examples. A third of
-    the sample, as whole texts scored in tasks, sets the temperature of the softmax and the level below which a
-    prediction is rejected, so that ``REJECTED`` of known text with letters falls below it. A language's first document always
-    trains. Rows of the sample weigh as many documents as they stand for, and the languages' shares among all
-    training documents enter the log-odds.
-    """
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    ids, counts = language_sample(known, sample)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for lang, held, text in zip(batch["lang"], batch["held"], batch["text"]):
-                text = text or ""
-                if held:
-                    out.append((lang, held, text))
-                    continue
-                step = max(WINDOW_CHARS, len(text) // WINDOWS_PER_TEXT)
-                out += [(lang, held, text[a : a + WINDOW_CHARS]) for a in range(0, len(text), step)][:WINDOWS_PER_TEXT]
-            yield pd.DataFrame(out, columns=["lang", "held", "text"])
+def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, buckets, counts) of every piece of every text, as numbers."""
+    for batch in batches:
+        out = []
+        for lang, text in zip(batch["lang"], batch["text"]):
+            for piece in pieces(code_points(text)):
+                buckets, counts = np.unique(subword_buckets(piece), return_counts=True)
+                if len(buckets):
+                    out.append((lang, buckets.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
+        yield pd.DataFrame(out, columns=["lang", "buckets", "counts"])
 
-    rows = (
-        known.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
-        .select("lang", (calibration_fold(F.col("doc_id")) & (F.col("rank") > 1)).alias("held"), "text")
-        .mapInPandas(windows, "lang string, held boolean, text string")
-    )
-    rows = cut_lineage(rows, "language-sample")
-    train = rows.where(~F.col("held")).orderBy("lang", F.xxhash64("text"), "text").collect()
-    names = tuple(sorted({r["lang"] for r in train}))
-    place = {name: i for i, name in enumerate(names)}
-    weights = _train([(code_points(r["text"]), place[r["lang"]]) for r in train], max(len(names), 1)).astype(np.float32)
 
-    def whole_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            codes = [(lang, code_points(text)) for lang, text in zip(batch["lang"], batch["text"])]
-            out = [(lang, averaged(c, weights).tolist()) for lang, c in codes if lang in place and (c != 32).any()]
-            yield pd.DataFrame(out, columns=["lang", "logits"])
+def best_temperature(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray, shift: np.ndarray) -> float:
+    """The temperature of least log loss. A share ``MISLABELLED`` of the rows is taken to be of another language, so
+    the least loss lies at a finite temperature also where every row is told apart."""
+    target = np.full(logits.shape, MISLABELLED / max(logits.shape[1] - 1, 1))
+    target[np.arange(len(truth)), truth] = 1 - MISLABELLED
 
-    held = rows.where("held").select("lang", "text").mapInPandas(whole_texts, "lang string, logits array<double>")
-    checked = [(r["logits"], place[r["lang"]]) for r in held.collect()]
-    quota = equal_quota(list(counts.values()), sample)
-    near = 2 * quota + 50
-    shares = known.sparkSession.createDataFrame(
-        [(lang, 1.0 if n <= near else near / n) for lang, n in counts.items()], "chosen_lang string, share double"
-    )
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    few = (
-        ids.join(F.broadcast(shares), F.col("lang") == F.col("chosen_lang")).where(place < F.col("share"))
-        .select(F.col("doc_id").alias("chosen"), "chosen_lang", place.alias("place")).distinct()
-    )
-    order = Window.partitionBy("chosen_lang").orderBy("place", F.xxhash64("chosen"), "chosen")
-    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota)
-    return chosen.drop("place"), counts
+    def loss(t: float) -> float:
+        return -((target * np.log(_probabilities(logits, t, shift) + 1e-300)).sum(axis=1) * weight).sum()
 
-
-def lowest_share(values: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """The highest of ``values`` that has at most ``share`` of the weight below it."""
-    order = np.argsort(values)
-    reached = np.cumsum(weights[order]) / weights.sum()
-    return float(values[order][min(int(np.searchsorted(reached, share, side="right")), len(values) - 1)])
+    return min((float(t) for t in TEMPERATURES), key=loss)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Model of at most ``sample`` training documents whose language is known, chosen by hash per language.
 
-    Of each text ``WINDOWS_PER_TEXT`` evenly spaced windows of ``WINDOW_CHARS`` code points are examples. A third of
-    the sample, as whole texts scored in tasks, sets the temperature of the softmax and the level below which a
-    prediction is rejected, so that ``REJECTED`` of known text with letters falls below it. A language's first document always
-    trains. Rows of the sample weigh as many documents as they stand for, and the languages' shares among all
-    training documents enter the log-odds.
+    Whole texts are learned from, in pieces of growing length (``pieces``). A third of the sample is held back from this: its
+    pieces set the temperature of the softmax, and its whole texts the level below which a prediction is rejected,
+    so that ``REJECTED`` of known text with letters falls below it. A language's first document always trains. Texts
+    stay in tasks; the driver gets counts per hash bucket and scores. Rows of the sample weigh as many documents as they
+    stand for, and the languages' shares among all training documents enter the log-odds.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids, counts = language_sample(known, sample)
+    rows = (
+        known.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang").cast("string") == F.col("chosen_lang")))
+        .select(F.col("chosen_lang").alias("lang"), (calibration_fold(F.col("doc_id")) & (F.col("rank") > 1)).alias("held"), "text")
+    )
+    rows = cut_lineage(rows, "language-sample")
+    found = rows.where(~F.col("held")).select("lang", "text").mapInPandas(_examples, "lang string, buckets binary, counts binary")
+    train = found.orderBy("lang", F.xxhash64("buckets", "counts"), "buckets", "counts").collect()
+    names = tuple(sorted({r["lang"] for r in train}))
+    place = {name: i for i, name in enumerate(names)}
+    examples = [(np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4"), place[r["lang"]]) for r in train]
+    weights = _train(examples, max(len(names), 1)).astype(np.float32)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for lang, held, text in zip(batch["lang"], batch["held"], batch["text"]):
-                text = text or ""
-                if held:
-                    out.append((lang, held, text))
-                    continue
-                step = max(WINDOW_CHARS, len(text) // WINDOWS_PER_TEXT)
-                out += [(lang, held, text[a : a + WINDOW_CHARS]) for a in range(0, len(text), step)][:WINDOWS_PER_TEXT]
-            yield pd.DataFrame(out, columns=["lang", "held", "text"])
+            for lang, text in zip(batch["lang"], batch["text"]):
+                codes = code_points(text)
+                if lang in place and (codes != 32).any():
+                    out.append((lang, True, averaged(codes, weights).tolist()))
+                    out += [(lang, False, averaged(p, weights).tolist()) for p in pieces(codes) if (p != 32).any()]
+            yield pd.DataFrame(out, columns=["lang", "whole", "logits"])
 
-    rows = (
-        known.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
-        .select("lang", (calibration_fold(F.col("doc_id")) & (F.col("rank") > 1)).alias("held"), "text")
-        .mapInPandas(windows, "lang string, held boolean, text string")
-    )
-    rows = cut_lineage(rows, "language-sample").orderBy("lang", "held", F.xxhash64("text"), "text").collect()
-    names = tuple(sorted({r["lang"] for r in rows}))
-    place = {name: i for i, name in enumerate(names)}
-    examples = [(r["held"], code_points(r["text"]), place[r["lang"]]) for r in rows]
-    weights = _train([(c, y) for held, c, y in examples if not held], max(len(names), 1)).astype(np.float32)
-    checked = [(averaged(c, weights), y) for held, c, y in examples if held]
+    held = rows.where("held").select("lang", "text").mapInPandas(scored, "lang string, whole boolean, logits array<double>").collect()
     quota = equal_quota(list(counts.values()), sample)
-    weight = np.array([counts[name] / min(counts[name], quota) for name in names])
-    shift = np.log(weight)
+    stands_for = np.array([counts[name] / min(counts[name], quota) for name in names])
+    shift = np.log(stands_for)
     temperature, level = 1.0, 0.0
-    if checked and len(names) > 1:
-        logits, truth = np.array([x for x, _ in checked]), np.array([y for _, y in checked])
-
-        def loss(t):
-            return -(np.log(_probabilities(logits, t, shift)[np.arange(len(truth)), truth] + 1e-12) * weight[truth]).sum()
-
-        temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=loss)
-        level = lowest_share(_probabilities(logits, temperature, shift).max(axis=1), weight[truth], REJECTED)
+    if held and len(names) > 1:
+        def taken(whole: bool) -> tuple[np.ndarray, np.ndarray]:
+            some = [r for r in held if r["whole"] == whole]
+            return np.array([r["logits"] for r in some]), np.array([place[r["lang"]] for r in some])
+
+        logits, truth = taken(False)
+        temperature = best_temperature(logits, truth, stands_for[truth], shift)
+        logits, truth = taken(True)
+        level = lowest_share(_probabilities(logits, temperature, shift).max(axis=1), stands_for[truth], REJECTED)
     return LanguageModel(names, weights, temperature, level, tuple(shift.tolist()) or 0.0)
 
 
 def with_language(docs: DataFrame, model: LanguageModel, reject: bool = True) -> DataFrame:
-    """``docs`` with lang_pred, lang_score in [0, 1] and lang_rejected.
+    """``docs`` with lang_pred, lang_score in [0, 1] and lang_rejected; an empty table gives no rows.
 
     A text that is null, empty or without a letter is ``und`` with score 0, and rejected. A
     calibrated probability below the model's level is rejected; with ``reject`` its lang_pred is ``und`` as

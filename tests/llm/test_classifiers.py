@@ -155,3 +155,72 @@ def test_level_holds_for_whole_texts(spark):
     below = sum(s < model.level for s in scores)
     # the level is the score of one of the whole texts that set it
     assert below <= 0.01 * len(scores) and min(abs(s - model.level) for s in scores) < 1e-6
+
+
+def test_no_text_reaches_the_driver(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    collect = type(docs).collect
+
+    def watched(frame):
+        seen.append({f.name: f.dataType.simpleString() for f in frame.schema})
+        return collect(frame)
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    monkeypatch.setattr(type(docs), "toPandas", lambda frame: 1 / 0)
+    model = language.fit(docs)
+    assert seen and not any("text" in columns for columns in seen)
+    strings = {name for columns in seen for name, kind in columns.items() if "string" in kind}
+    assert strings == {"lang"}
+    # the optimum lies inside the range that is searched, and scores do not all round to 1
+    assert language.TEMPERATURES[0] < model.temperature < language.TEMPERATURES[-1]
+    assert 0.5 < model.level < 1
+
+
+def test_temperature_is_finite_for_separable_rows():
+    rng = np.random.default_rng(0)
+    truth = rng.integers(0, 3, 300)
+    logits = rng.normal(size=(300, 3)) * 0.1
+    logits[np.arange(300), truth] += 5
+    t = language.best_temperature(logits, truth, np.ones(300), np.zeros(3))
+    assert language.TEMPERATURES[0] < t < language.TEMPERATURES[-1]
+    p = language._probabilities(logits, t).max(axis=1)
+    assert 0.999 < p.mean() < 1 - language.MISLABELLED / 2
+
+
+def test_pieces_cover_the_whole_text():
+    for n in (0, 1, 64, 65, 320, 5000):
+        codes = np.arange(n)
+        parts = list(language.pieces(codes))
+        assert sum(map(len, parts)) == n and all(len(a) < len(b) for a, b in zip(parts, parts[1:-1]))
+        assert np.array_equal(np.concatenate([*parts, codes[:0]]), codes)
+
+
+def plain_prediction(text, model):
+    """Language and score of a text by plain dictionaries: every subword's row, averaged."""
+    codes = language.code_points(text).tolist()
+    total, n = [0.0] * len(model.names), 0
+    for size in language.GRAMS:
+        for i in range(len(codes) - size + 1):
+            gram = codes[i : i + size]
+            if 32 in gram[1:-1] or gram == [32]:
+                continue
+            h = 2166136261 + size
+            for c in gram:
+                h = (h ^ c) * 16777619 % 2**32
+            row = model.weights[(h ^ h >> 15) % language.BUCKETS]
+            total, n = [t + float(w) for t, w in zip(total, row)], n + 1
+    shift = model.shift if isinstance(model.shift, tuple) else (model.shift,) * len(total)
+    z = [t / n / model.temperature + s for t, s in zip(total, shift)]
+    e = [np.exp(v - max(z)) for v in z]
+    return model.names[e.index(max(e))], max(e) / sum(e)
+
+
+def test_predictions_against_plain_steps(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"), 300)
+    for r in language.with_language(docs, model, reject=False).collect():
+        if len(r.text or "") > 3000 or r.lang_pred == "und":
+            continue
+        name, score = plain_prediction(r.text, model)
+        assert name == r.lang_pred and abs(score - r.lang_score) < 1e-4
