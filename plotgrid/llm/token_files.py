@@ -21,14 +21,16 @@ from plotgrid.session import scratch_folder
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-FIRST_SHARE = 1 / 64
+FIRST_SHARE = 1 / 1024
 MIN_COUNT = 4
-MEMO_WORDS = 800_000
-MEMO_CHARS = 24_000_000
+MEMO_WORDS = 1_200_000
+MEMO_CHARS = 30_000_000
 WORDS_AT_ONCE = 2_000
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 10_000_000
 GATHER_PARTS = 400_000
+# letters of Latin script and one mark behind them: two pieces of byte-level BPE
 MARKS = ".,!|"
+MARKED = rf"^([A-Za-zÀ-ÖØ-öø-ɏ]+)[{MARKS}]$"
 
 MAGIC = b"RPSHARD1"
 # a space before another character than white space always begins a new piece of byte-level
@@ -95,11 +97,12 @@ class LibraryEncoder:
         self.opens[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
         self.apart = re.compile("|".join(map(re.escape, [" ", *self.special])))
         self.uneven = "|".join([UNEVEN, *map(re.escape, self.special)])
-        self.marks = {m: np.array(ids, "<u4") for m, ids in zip(MARKS, self._library(list(MARKS)))}
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.stems, self.starts = Entries(), Entries(), Entries()
+        self.words, self.starts = Entries(), Entries()
+        # entries 0 to 4 are nothing and the marks behind a word; behind a space a mark is kept with it, as no other part begins so
+        self._one_by_one(self.words, ["", *MARKS, *[" " + m for m in MARKS]], "")
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,40 +112,41 @@ class LibraryEncoder:
         sizes = np.array(list(map(len, made)), dtype=np.int64)
         into.add(words, np.fromiter((i for ids in made for i in ids), "<u4", int(sizes.sum())), sizes)
 
-    def _together(self, words: list[str]) -> None:
-        """Learn words without a space or special token in them: joined, each begins at a token that begins with the space."""
+    def _learn(self, words: list[str]) -> None:
+        """Learn words that follow a space. Those without a space or special token in them are joined: each begins at a
+        token that begins with the space."""
+        alone = [w for w in words if self.apart.search(w)]
+        self._one_by_one(self.words, alone, " ")
+        if alone:
+            words = [w for w in words if not self.apart.search(w)]
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at : at + WORDS_AT_ONCE]
             ids = np.array(self._library([" " + " ".join(some)])[0], "<u4")
             begins = np.flatnonzero(self.opens[ids])
             if len(begins) == len(some):
-                self.stems.add(some, ids, np.diff(np.append(begins, len(ids))))
+                self.words.add(some, ids, np.diff(np.append(begins, len(ids))))
             else:  # another kind of tokenizer file
-                self._one_by_one(self.stems, some, " ")
-
-    def _learn(self, words: list[str]) -> None:
-        """Learn words that follow a space. A word of letters and one mark behind it are two pieces, so the word is known apart."""
-        stems = [w[:-1] if w[-1] in self.marks and w[:-1].isalpha() else w for w in words]
-        new = [w for w in dict.fromkeys(stems) if w not in self.stems.numbers]
-        alone = [w for w in new if self.apart.search(w)]
-        self._together([w for w in new if not self.apart.search(w)] if alone else new)
-        self._one_by_one(self.stems, alone, " ")
-        number = self.stems.numbers
-        ids, sizes = self.stems.gather(np.fromiter((number[w] for w in stems), np.int64, len(stems)))
-        marked = [i for i, (w, stem) in enumerate(zip(words, stems)) if len(w) != len(stem)]
-        behind = [self.marks[words[i][-1]] for i in marked]
-        ends = np.cumsum(sizes)
-        if marked:
-            more = np.array([len(b) for b in behind])
-            ids = np.insert(ids, np.repeat(ends[marked], more), np.concatenate(behind))
-            sizes[marked] += more
-        self.words.add(words, ids, sizes)
+                self._one_by_one(self.words, some, " ")
+
+    def _entries(self, parts: pa.Array) -> np.ndarray:
+        """Two entries of each part that follows a space: its word, and the mark behind it or nothing."""
+        coded = parts.dictionary_encode()
+        texts = coded.dictionary
+        marked = pc.match_substring_regex(texts, MARKED).to_numpy(zero_copy_only=False)
+        mark = np.zeros(len(texts), np.int64)
+        last = pc.utf8_slice_codeunits(texts.filter(pa.array(marked)), -1)
+        mark[marked] = pc.index_in(last, pa.array(["", *MARKS])).to_numpy(zero_copy_only=False)
+        bare = pc.is_in(texts, pa.array(list(MARKS)))
+        stems = pc.if_else(bare, pc.binary_join_element_wise(" ", texts, ""), pc.replace_substring_regex(texts, MARKED, r"\1"))
+        coded_stems = stems.dictionary_encode()
+        number = self._numbers(self.words, _strings(coded_stems.dictionary), self._learn)
+        both = np.stack([number[coded_stems.indices.to_numpy()], mark], axis=1) if len(number) else np.zeros((0, 2), np.int64)
+        return both[coded.indices.to_numpy()]
 
     def _numbers(self, of: Entries, words: list[str], learn) -> np.ndarray:
         found = list(map(of.numbers.get, words))
-        missing = [w for w, n in zip(words, found) if n is None]
-        if missing:
-            learn(list(dict.fromkeys(missing)))
+        if None in found:
+            learn(list(dict.fromkeys(w for w, n in zip(words, found) if n is None)))
             found = map(of.numbers.__getitem__, words)
         return np.fromiter(found, np.int64, len(words))
 
@@ -161,9 +165,7 @@ class LibraryEncoder:
         parts, begins = self._parts(texts)
         first = np.zeros(len(parts), dtype=bool)
         first[begins[:-1]] = True
-        rest = parts.filter(pa.array(~first)).dictionary_encode()
-        number = self._numbers(self.words, _strings(rest.dictionary), self._learn)
-        entries = number[rest.indices.to_numpy()] if len(number) else number
+        entries = self._entries(parts.filter(pa.array(~first)))
         starts = self._numbers(self.starts, _strings(parts.filter(pa.array(first))), lambda words: self._one_by_one(self.starts, words, ""))
         start_ids, start_sizes = self.starts.gather(starts)
         start_ends = np.cumsum(start_sizes)
@@ -173,8 +175,8 @@ class LibraryEncoder:
         while len(out) < len(texts):
             low = len(out)
             high = max(low + 1, int(np.searchsorted(begins, begins[low] + GATHER_PARTS, side="right")) - 1)
-            ids, sizes = self.words.gather(entries[begins[low] : begins[high]])
-            ends = np.concatenate(([0], np.cumsum(sizes)))[begins[low : high + 1] - begins[low]].tolist()
+            ids, sizes = self.words.gather(entries[begins[low] : begins[high]].ravel())
+            ends = np.concatenate(([0], np.cumsum(sizes)))[2 * (begins[low : high + 1] - begins[low])].tolist()
             for i, a, b in zip(range(low, high), ends[:-1], ends[1:]):
                 out.append(np.concatenate((start_ids[start_ends[i] - start_sizes[i] : start_ends[i]], ids[a:b])))
         return out

@@ -40,6 +40,26 @@ def test_parts_as_whole_texts(byte_bpe, library):
         assert np.frombuffer(data, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_marks_and_control_characters(byte_bpe, library):
+    texts = [". a", "a .", "a . , ! | .", "a .\0 b.\0", "\0 \0. x|", "end. end, end! end| é. É! ÿ, ×. ÷. ж. 中.", "a.. b.,", "", ".", " .", "it's. 12. a1."]
+    texts += [" ".join(texts), "word " * 3000 + "word."]
+    with open(byte_bpe) as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    for _ in range(2):  # learned, then known
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_forgetting_changes_nothing(byte_bpe, library, monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 5)
+    monkeypatch.setattr(token_files, "GATHER_PARTS", 3)
+    with open(byte_bpe) as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    for i in range(20):
+        texts = [f"some words, {i} of them. And{j} more! é{i}" for j in range(4)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("kind", ["random", "period", "equal", "empty", "one"])
 def test_grammar_round_trip_and_random_access(kind):
     rng = np.random.default_rng(1)
