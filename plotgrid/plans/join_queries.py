@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
@@ -10,7 +12,7 @@ from plotgrid.operators import filters as f
 from plotgrid.operators import points as pt
 from plotgrid.operators import shaping
 from plotgrid.operators import zones as zn
-from plotgrid.operators.conflation import Conflation
+from plotgrid.operators.conflation import Conflation, table_pairs, with_cell
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans import reference_sql as ref
 from plotgrid.plans.registry import query
@@ -164,6 +166,38 @@ def grid_bucket_join(spark, sf_dir):
     return c._with_ids(c.shapes).withColumn("iou", F.round("iou", 9))
 
 
+# The same pairs without the rule that both middles lie in one cell; lattice cells only narrow the search.
+BORDERS = CONFLATION.replace("FROM f JOIN o ON f.gx = o.gx AND f.gy = o.gy\n", """FROM (SELECT *, unnest(range(gx - 1, gx + 2)) AS nx FROM f) f JOIN o ON f.nx = o.gx AND o.gy BETWEEN f.gy - 1 AND f.gy + 1
+""")
+
+
+@query("j2_over_borders", f"{BORDERS} SELECT fkb_id, osm_id, round(iou, 9) AS iou FROM pairs")
+def over_borders(spark, sf_dir):
+    """Candidate pairs on both sides of cell borders too."""
+    c = Conflation(fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir), neighbors=True)
+    return c._with_ids(c.shapes).withColumn("iou", F.round("iou", 9))
+
+
+@query("j2_missed_at_borders", f"{BORDERS}, here AS (SELECT f.external_id AS fkb_id, o.external_id AS osm_id FROM f JOIN o ON f.gx = o.gx AND f.gy = o.gy)"
+    " SELECT fkb_id, osm_id, iou > 0.70 AS one_building FROM pairs ANTI JOIN here USING (fkb_id, osm_id)")
+def missed_at_borders(spark, sf_dir):
+    """The pairs that the one-cell rule misses, and whether they are the same building."""
+    fkb, osm = fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir)
+    wide, narrow = Conflation(fkb, osm, neighbors=True), Conflation(fkb, osm)
+    ids = ["fkb_id", "osm_id"]
+    missed = wide._with_ids(wide.shapes).join(narrow._with_ids(narrow.shapes), ids, "left_anti")
+    return missed.select(*ids, (F.col("iou") > wide.threshold).alias("one_building"))
+
+
+@query("j2_bucketed_tables", f"{CONFLATION} SELECT fkb_id, osm_id, round(iou, 9) AS iou FROM pairs")
+def bucketed_tables(spark, sf_dir):
+    """The candidate join over two catalog tables that are stored by cell."""
+    names = [f"{side}_{uuid.uuid4().hex}" for side in ("fkb", "osm")]
+    for name, df in zip(names, (fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir))):
+        layout.seed_by_cell(with_cell(df).select("external_id", "geometry", "bbox", "grid_x", "grid_y"), name, buckets=8)
+    return table_pairs(*map(spark.table, names)).withColumn("iou", F.round("iou", 9))
+
+
 @query("a5_max_iou_per_pair", f"""{CONFLATION} SELECT fkb_id, osm_id, max(iou)::DECIMAL(18,3) AS max_iou FROM pairs GROUP BY 1, 2
 UNION ALL SELECT external_id, NULL, NULL FROM f WHERE external_id NOT IN (SELECT fkb_id FROM pairs)""")
 def max_iou(spark, sf_dir):

@@ -19,6 +19,7 @@ from plotgrid.operators import polygonize as pz
 from plotgrid.operators import ranking, samples, tiling
 from plotgrid.operators import zones as zn
 from plotgrid.plans import fixtures as fx
+from plotgrid.sources import layout
 
 
 def frame(spark, rows, extra="external_id string"):
@@ -226,6 +227,49 @@ def test_conflation_misses_across_cell_borders(spark):
     assert got == {("f", None), (None, "o")}
 
 
+def test_conflation_over_cell_borders(spark):
+    fkb = frame(spark, [("f", rect(10.0098, 60.001, 10.01005, 60.002)), ("big", rect(10.02, 60.02, 10.08, 60.08)), ("far", rect(1, 1, 1.0001, 1.0001))])
+    osm = frame(spark, [("o", rect(10.0098, 60.001, 10.0101, 60.002)), ("in", rect(10.07, 60.07, 10.0701, 60.0701)), ("huge", rect(10.021, 60.02, 10.081, 60.08))])
+    c = cf.Conflation(fkb, osm, neighbors=True)
+    assert sorted((r.fkb_id, r.osm_id) for r in c._with_ids(c.shapes).collect()) == [("big", "huge"), ("big", "in"), ("f", "o")]
+    got = {tuple(r) for r in c.relations().select("fkb_id", "osm_id").collect()}
+    assert got == {("f", "o"), ("big", "huge"), ("far", None)}
+    assert {(r.source, r.external_id) for r in c.merged().collect()} == {("fkb", "f"), ("fkb", "big"), ("fkb", "far")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_neighbor_pairs_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+
+    def boxes(prefix):
+        out = []
+        for i in range(120):
+            x, y, size = 10 + rng.random() / 10, 60 + rng.random() / 10, rng.choice([0.0004, 0.003, 0.02])
+            out.append((f"{prefix}{i}", (x, y, x + size * rng.random(), y + size * rng.random())))
+        return out
+
+    f, o = boxes("f"), boxes("o")
+    expected = sorted(
+        (a, b) for a, p in f for b, q in o if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]
+    )
+    c = cf.Conflation(frame(spark, [(n, rect(*b)) for n, b in f]), frame(spark, [(n, rect(*b)) for n, b in o]), neighbors=True)
+    assert sorted((r.fkb_id, r.osm_id) for r in c._with_ids(c.shapes).collect()) == expected
+
+
+def test_tables_by_cell_join_without_an_exchange(spark, sf_dir):
+    names = ["cells_fkb", "cells_osm"]
+    for name, df in zip(names, (fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir))):
+        assert layout.seed_by_cell(cf.with_cell(df).select("external_id", "geometry", "bbox", "grid_x", "grid_y"), name, 4)
+        assert not layout.seed_by_cell(cf.with_cell(df).limit(0), name, 4)
+    pairs = cf.table_pairs(*map(spark.table, names))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+    c = cf.Conflation(fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir))
+    assert sorted(map(tuple, pairs.select("fkb_id", "osm_id").collect())) == sorted(map(tuple, c._with_ids(c.shapes).select("fkb_id", "osm_id").collect()))
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_conflation_with_an_empty_source(spark):
     some, none = frame(spark, [("a", rect(0, 0, 1, 1))]), frame(spark, [("b", rect(0, 0, 1, 1))]).limit(0)
     assert [r["source"] for r in cf.Conflation(some, none).merged().collect()] == ["fkb"]
