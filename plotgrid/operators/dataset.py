@@ -12,7 +12,6 @@ from plotgrid.functions import geometry as g
 from plotgrid.functions.geohash import geohash
 from plotgrid.functions.hashing import uniform
 from plotgrid.operators.conflation import Conflation
-from plotgrid.operators.filters import keep_valid
 from plotgrid.operators.shaping import union_by_name, with_missing_columns
 from plotgrid.operators.sizes import broadcast_if_small
 from plotgrid.operators.zones import ZoneLookup, zone_lookup, zone_pairs
@@ -110,22 +109,34 @@ def synthesize(df: DataFrame, zones: DataFrame, size: str, key: str = "region",
     clones = CLONES[size]
     if clones == 0:
         raise ValueError("the small size is the source itself and has no clones")
-    originals = keep_valid(df)
-    frames = zones.select(key, g.bounds(F.col("geometry")).alias("zone_box"))
-    sources = originals.join(broadcast_if_small(frames), key).select(
-        key, "external_id", "geometry", "zone_box", g.measures(F.col("geometry")).alias("m")
-    )
-    copies = sources.withColumn("clone", F.explode(F.sequence(F.lit(1), F.lit(clones))))
-    seed = F.concat_ws(":", key, F.coalesce("external_id", F.xxhash64("geometry").cast("string")), "clone")
-    box = F.col("zone_box")
+    b = g.bounds(F.col("geometry"))
+    box = F.struct(*[f(b[c]).alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))])
+    frames = zones.groupBy(key).agg(box.alias("_box"))
+    measured = df.withColumn("_m", g.checked_measures(F.col("geometry"))).filter("_m.valid")
+    # copy 0 is the row itself; rows of no known region have no other
+    last = F.when(F.col("_box").isNotNull(), F.lit(clones)).otherwise(0)
+    copies = measured.join(broadcast_if_small(frames), key, "left").withColumn("_clone", F.explode(F.sequence(F.lit(0), last)))
+    own, box = F.col("_clone") == 0, F.col("_box")
+    seed = F.concat_ws(":", key, F.coalesce("external_id", F.xxhash64("geometry").cast("string")), "_clone")
     drawn = copies.withColumns({
-        "x": box["xmin"] + uniform(seed, 0) * (box["xmax"] - box["xmin"]) + (uniform(seed, 3) * 2 - 1) * jitter,
-        "y": box["ymin"] + uniform(seed, 1) * (box["ymax"] - box["ymin"]) + (uniform(seed, 4) * 2 - 1) * jitter,
-        "turn": uniform(seed, 2) * (2 * math.pi),
+        "_x": box["xmin"] + uniform(seed, 0) * (box["xmax"] - box["xmin"]) + (uniform(seed, 3) * 2 - 1) * jitter,
+        "_y": box["ymin"] + uniform(seed, 1) * (box["ymax"] - box["ymin"]) + (uniform(seed, 4) * 2 - 1) * jitter,
+        "_turn": uniform(seed, 2) * (2 * math.pi),
     })
-    terms = rotation_matrix(F.col("turn"), F.col("m.cx"), F.col("m.cy"), F.col("x"), F.col("y"))
-    drawn = drawn.withColumns(terms)
-    moved = drawn.select(key, g.affine(F.col("geometry"), *[F.col(c) for c in terms]).alias("geometry"))
-    moved = with_partition_key(keep_valid(moved)).withColumn("bbox", g.bounds(F.col("geometry")))
-    return originals.unionByName(moved, allowMissingColumns=True)
-
+    terms = rotation_matrix(F.col("_turn"), F.col("_m.cx"), F.col("_m.cy"), F.col("_x"), F.col("_y"))
+    names = {t: f"_{t}" for t in terms}
+    turned = drawn.withColumns({names[t]: c for t, c in terms.items()}).withColumn(
+        "_moved", F.when(~own, g.affine(F.col("geometry"), *[F.col(c) for c in names.values()]))
+    )
+    # both functions read the moved shape of one batch; the row itself has none and was checked before
+    judged = turned.withColumns({"_valid": g.is_valid(F.col("_moved")), "_c": g.equal_area_centroid(F.col("_moved"))})
+    made = {
+        "geometry": F.coalesce("_moved", "geometry"), "bbox": F.when(own, F.col("bbox")).otherwise(g.bounds(F.col("_moved"))),
+        "partition_key": F.when(own, F.col("partition_key") if "partition_key" in df.columns else F.lit(None)).otherwise(
+            geohash(F.col("_c.x"), F.col("_c.y"), PARTITION_PRECISION)
+        ),
+    }
+    kept = [c for c in df.columns if c not in made]
+    return judged.filter(own | F.col("_valid")).select(
+        *[F.col(c) if c == key else F.when(own, F.col(c)).alias(c) for c in kept], *[c.alias(n) for n, c in made.items()]
+    )

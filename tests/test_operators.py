@@ -343,6 +343,19 @@ def test_synthesis_is_repeatable_and_inside_bounds(spark, sf_dir):
         ds.synthesize(b, zones, "small")
 
 
+def test_synthesis_reads_its_source_once(spark, sf_dir):
+    b = ds.with_partition_key(fx.buildings(spark, sf_dir))
+    table = ds.synthesize(b, fx.zones(spark), "medium")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    own = table.filter("external_id IS NOT NULL")
+    assert own.select(*b.columns).exceptAll(b).count() == 0 and own.count() == b.count()
+    outside = ds.synthesize(b.withColumn("region", F.lit("no region")), fx.zones(spark), "medium")
+    assert outside.count() == b.count()
+    broken = ds.synthesize(fx.flawed(spark, sf_dir), fx.zones(spark), "medium")
+    assert broken.filter(~g.is_valid(F.col("geometry"))).count() == 0 and "partition_key" in broken.columns
+
+
 def test_tile_chunks_hold_every_feature(spark, sf_dir):
     b = fx.buildings(spark, sf_dir)
     long = tiling.tile_geometries(b, [5], "k")
