@@ -22,11 +22,12 @@ from plotgrid.session import scratch_folder
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 FIRST_SHARE = 1 / 1024
+STEP = 64
 MIN_COUNT = 4
 MEMO_WORDS = 1_200_000
 MEMO_CHARS = 30_000_000
 WORDS_AT_ONCE = 2_000
-SLICE_BYTES = 10_000_000
+SLICE_BYTES = 5_000_000
 GATHER_PARTS = 400_000
 # letters of Latin script and one mark behind them: two pieces of byte-level BPE
 MARKS = ".,!|"
@@ -201,7 +202,7 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
     """(sequence, rules, base): Re-Pair grammar of a shard.
 
     Every round replaces all pairs that stand at least so often by new symbols from ``base`` on, where
-    they do not overlap, the left one first; the next round asks for a sixteenth of the count, down
+    they do not overlap, the left one first; the next round asks for a ``STEP``-th of the count, down
     to ``min_count``, at which rounds repeat until no pair is left. No pair begins with the end
     id, so no symbol crosses from one document to the next.
     """
@@ -239,7 +240,7 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
             sequence = np.delete(sequence, places + 1)
         elif level <= min_count:
             break
-        level = max(min_count, level // 16)
+        level = max(min_count, level // STEP)
     packed = np.concatenate(rules) if rules else np.zeros(0, dtype=np.int64)
     return sequence.astype("<u4"), np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1).astype("<u4"), base
 
