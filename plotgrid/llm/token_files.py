@@ -26,8 +26,8 @@ STEP = 64
 MIN_COUNT = 4
 MEMO_WORDS = 1_200_000
 MEMO_CHARS = 30_000_000
-WORDS_AT_ONCE = 2_000
-SLICE_BYTES = 5_000_000
+WORDS_AT_ONCE = 200
+SLICE_BYTES = 8_000_000
 GATHER_PARTS = 400_000
 # letters of Latin script and one mark behind them: two pieces of byte-level BPE
 MARKS = ".,!|"
@@ -222,9 +222,11 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
             often = np.bincount(slots, minlength=1 << 20)[slots] >= level
         often &= sequence[:-1] != END_ID
         places = np.flatnonzero(often)
-        pairs, back, counts = np.unique(keys[places], return_inverse=True, return_counts=True)
-        chosen = counts >= level
-        hit = chosen[back] if len(pairs) else np.zeros(0, dtype=bool)
+        near = keys[places]
+        pairs, counts = np.unique(near, return_counts=True)
+        pairs = pairs[counts >= level]
+        back = np.searchsorted(pairs, near)
+        hit = pairs[np.minimum(back, len(pairs) - 1)] == near if len(pairs) else np.zeros(len(near), dtype=bool)
         places, back = places[hit], back[hit]
         if len(places):
             # of touching places take the first, third, ..
