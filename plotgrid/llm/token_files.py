@@ -22,7 +22,7 @@ from plotgrid.session import scratch_folder
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 FIRST_SHARE = 1 / 1024
-STEP = 64
+STEP = 16
 MIN_COUNT = 4
 MEMO_WORDS = 1_200_000
 MEMO_CHARS = 30_000_000
@@ -151,19 +151,19 @@ class LibraryEncoder:
             found = map(of.numbers.__getitem__, words)
         return np.fromiter(found, np.int64, len(words))
 
-    def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    def _parts(self, texts: pa.Array, uneven: bool) -> tuple[pa.Array, np.ndarray]:
         """All parts of all texts, and where each text's parts begin."""
-        if pc.any(pc.match_substring_regex(texts, self.uneven)).as_py():
+        if uneven:
             cut = [CUT.split(t) for t in _strings(texts)]
             begins = np.cumsum([0, *map(len, cut)], dtype=np.int64)
             return pa.array([p for parts in cut for p in parts], pa.string()), begins
         parts = pc.split_pattern(texts, " ")
         return parts.flatten(), parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
 
-    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def _encode(self, texts: pa.Array, uneven: bool) -> list[np.ndarray]:
         if len(self.words.numbers) > MEMO_WORDS or self.words.chars > MEMO_CHARS:
             self._forget()
-        parts, begins = self._parts(texts)
+        parts, begins = self._parts(texts, uneven)
         first = np.zeros(len(parts), dtype=bool)
         first[begins[:-1]] = True
         entries = self._entries(parts.filter(pa.array(~first)))
@@ -187,11 +187,13 @@ class LibraryEncoder:
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         # texts with uneven spaces are cut by themselves, so that they do not hold up the others
         uneven = pc.match_substring_regex(column, self.uneven).to_numpy(zero_copy_only=False)
+        if not uneven.any():
+            return self._encode(column, False)
         out: list[np.ndarray | None] = [None] * len(column)
         for kind in (False, True):
             at = np.flatnonzero(uneven == kind)
             if len(at):
-                for i, ids in zip(at.tolist(), self._encode(column.take(pa.array(at)))):
+                for i, ids in zip(at.tolist(), self._encode(column.take(pa.array(at)), kind)):
                     out[i] = ids
         return out
 
@@ -222,11 +224,8 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
             often = np.bincount(slots, minlength=1 << 20)[slots] >= level
         often &= sequence[:-1] != END_ID
         places = np.flatnonzero(often)
-        near = keys[places]
-        pairs, counts = np.unique(near, return_counts=True)
-        pairs = pairs[counts >= level]
-        back = np.searchsorted(pairs, near)
-        hit = pairs[np.minimum(back, len(pairs) - 1)] == near if len(pairs) else np.zeros(len(near), dtype=bool)
+        pairs, back, counts = np.unique(keys[places], return_inverse=True, return_counts=True)
+        hit = (counts >= level)[back] if len(pairs) else np.zeros(0, dtype=bool)
         places, back = places[hit], back[hit]
         if len(places):
             # of touching places take the first, third, ..
@@ -249,10 +248,15 @@ def repair(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Number of ids that each rule stands for."""
-    lengths = [1] * len(rules)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return np.array(lengths, dtype="<u4")
+    inner = rules.astype(np.int64) - base
+    is_rule = inner >= 0
+    inner[~is_rule] = 0
+    lengths = np.zeros(len(rules), dtype=np.int64)
+    while True:  # once for each rule inside a rule inside a rule
+        longer = np.where(is_rule, lengths[inner], 1).sum(axis=1) if len(rules) else lengths
+        if (longer == lengths).all():
+            return lengths.astype("<u4")
+        lengths = longer
 
 
 def _opened(symbols: np.ndarray, rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
