@@ -275,14 +275,18 @@ def _opened(symbols: np.ndarray, rules: np.ndarray, base: int) -> tuple[np.ndarr
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids of a run of symbols: each rule that occurs is opened once and its ids are copied to its places."""
     symbols = symbols.astype(np.int64)
-    used, back = np.unique(symbols, return_inverse=True) if (symbols >= base).any() else (symbols, np.arange(len(symbols)))
-    ids, owner = _opened(used, rules, base)
-    size = np.bincount(owner, minlength=len(used))
-    begin = np.cumsum(size) - size
-    sizes = size[back]
+    is_rule = symbols >= base
+    rule = symbols[is_rule] - base
+    seen = np.zeros(len(rules), dtype=bool)
+    seen[rule] = True
+    ids, owner = _opened(np.flatnonzero(seen) + base, rules, base)
+    number = (np.cumsum(seen) - 1)[rule]
+    size = np.bincount(owner, minlength=int(seen.sum()))
+    sizes, begin = np.ones(len(symbols), np.int64), len(ids) + np.arange(len(symbols))
+    sizes[is_rule], begin[is_rule] = size[number], (np.cumsum(size) - size)[number]
     total = np.cumsum(sizes)
-    at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin[back] - (total - sizes), sizes)
-    return ids[at].astype("<u4")
+    at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - (total - sizes), sizes)
+    return np.concatenate((ids, symbols))[at].astype("<u4")
 
 
 # ---- shard format: magic, then five counts, then the arrays, all little-endian
