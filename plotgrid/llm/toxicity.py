@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +16,12 @@ from plotgrid.llm.registry import query
 from plotgrid.session import cut_lineage
 
 PER_CLASS = 6_000
-PRIOR = 200.0
+PRIOR = 5.0
 STEMS = (4, 5, 6)
-MIN_Z = 4.0
-MIN_LOG_ODDS = 2.0
-DRIFT = 0.25
+WITNESSES = 2
+DRIFT = 1.5
+TRIM = 0.95
+DECAYS = np.geomspace(0.05, 20, 240)
 SIGNIFICANCE = 1e-3
 ACCEPT = 0.5
 
@@ -39,12 +40,12 @@ class ToxicModel:
 
 
 def token_log_odds(sample: DataFrame) -> DataFrame:
-    """(token, stem, score, z): log-odds of words and word stems between the classes.
+    """(token, stem, score): log-odds of words and word stems between the classes.
 
     A document counts once for each of its tokens, so a text that repeats itself is one
-    witness. The log-odds carry an informative Dirichlet prior: ``PRIOR`` counts spread as in
-    both classes together, so that rare tokens stay near 0. z is the signed root of the
-    likelihood ratio, which holds for small counts too.
+    witness. Every token has a Dirichlet prior of ``PRIOR`` documents, divided as the tokens of
+    both classes are, so rare tokens stay near 0. Tokens of fewer than ``WITNESSES`` documents are
+    left out; they would stand nearest to 0. ``stem`` is 0 for words, else the stem's length.
     """
     words = sample.select("doc_id", "label", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
     stems = F.array(
@@ -55,39 +56,39 @@ def token_log_odds(sample: DataFrame) -> DataFrame:
         words.select("doc_id", "label", F.explode(stems).alias("t")).where(F.col("t").isNotNull())
         .select("doc_id", "label", "t.token", "t.stem").distinct()
         .groupBy("token", "stem").agg(F.sum("label").cast("double").alias("y1"), F.sum(1 - F.col("label")).cast("double").alias("y0"))
+        .where(F.col("y1") + F.col("y0") >= WITNESSES)
     )
     totals = words.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     n1, n0 = float(totals[0] or 0), float(totals[1] or 0)
-    share = (F.col("y1") + F.col("y0")) / F.lit(max(n1 + n0, 1.0))
-    a1, a0 = F.col("y1") + share * PRIOR, F.col("y0") + share * PRIOR
-    score = F.log(a1 / F.lit(n1 + PRIOR)) - F.log(a0 / F.lit(n0 + PRIOR))
+    prior1 = PRIOR * n1 / max(n1 + n0, 1.0)
+    prior0 = PRIOR - prior1
+    if not n1 or not n0:
+        return tokens.select("token", "stem", F.lit(0.0).alias("score"))
+    # both classes' totals grow by the same part of themselves, so their ratio stays n1 / n0
+    odds = F.log((F.col("y1") + prior1) / (F.col("y0") + prior0)) - float(np.log(n1 / n0))
+    return tokens.select("token", "stem", odds.alias("score"))
 
-    def deviance(y, n):
-        return F.when(y > 0, y * F.log(y / (share * max(n, 1.0)))).otherwise(0.0)
 
-    ratio = 2 * (deviance(F.col("y1"), n1) + deviance(F.col("y0"), n0))
-    return tokens.select("token", "stem", score.alias("score"), (F.signum(score) * F.sqrt(F.greatest(ratio, F.lit(0.0)))).alias("z"))
-
-
-def hits(text: str | None, words: dict[str, float], stems: dict[str, float]) -> tuple[list[tuple[int, float, int, int]], int]:
-    """(index, score, start, end) of every token with a score, and the number of tokens.
+def hits(text: str | None, words: dict[str, float], stems: dict[str, float]) -> tuple[Iterator[tuple[int, float, int, int]], int]:
+    """(index, score, start, end) of every token with a score, one after another, and the number of tokens.
 
     A word counts with its own score or that of its longest scored stem.
     """
-    found, n = [], 0
-    shortest = STEMS[0]
-    for n, match in enumerate(WORD.finditer((text or "").lower()), 1):
-        word = match.group()
-        score = words.get(word)
-        if score is None and len(word) > shortest and word[:shortest] in stems:
-            score = next((s for k in reversed(STEMS) if len(word) > k and (s := stems.get(word[:k])) is not None), None)
-            score = score or None
-        if score is not None:
-            found.append((n - 1, score, match.start(), match.end()))
-    return found, n
-
-
-def maximal_segments(found: list[tuple[int, float, int, int]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
+    low = (text or "").lower()
+
+    def scored():
+        for i, match in enumerate(WORD.finditer(low)):
+            word = match.group()
+            score = words.get(word)
+            if score is None:
+                score = next((s for k in reversed(STEMS) if len(word) > k and (s := stems.get(word[:k])) is not None), None)
+            if score is not None:
+                yield i, score, match.start(), match.end()
+
+    return scored(), sum(1 for _ in WORD.finditer(low))
+
+
+def maximal_segments(found: Iterable[tuple[int, float, int, int]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """(score, start, end) of all maximal scoring segments, by one scan.
 
     Tokens without a score cost ``drift`` each. The list holds candidate segments with the
@@ -116,36 +117,42 @@ def maximal_segments(found: list[tuple[int, float, int, int]], drift: float = DR
 
 def statistic(segments: list[tuple[float, int, int]], n: int, decay: float, scale: float) -> float:
     """Joint strength of the segments: over all of them, how far minus the log of the number
-    expected in clean text of this length lies above 0; the best one's value where none does."""
-    if not segments:
-        return -np.log(scale * max(n, 1) + 1)
+    expected in clean text of this length lies above 0; the best one's value where none does.
+    On a log scale on both sides of 0, since strong passages differ by their length more than by their kind."""
     values = [decay * s - np.log(scale * max(n, 1)) for s, _, _ in segments]
-    return float(max(max(values), sum(v for v in values if v > 0)))
+    x = max(max(values), sum(v for v in values if v > 0)) if values else -np.log(scale * max(n, 1) + 1)
+    return float(np.copysign(np.log1p(abs(x)), x))
 
 
-def _tail(rows: list[tuple[list[float], int]]) -> tuple[float, float]:
-    """(decay, scale) of the extreme-value law of segment scores, from clean texts.
+def tail_law(best: list[float], tokens: list[int]) -> tuple[float, float]:
+    """(decay, scale) of the extreme-value law of the best segment's score in clean texts.
 
-    Segment scores above a level fall off as ``scale * n * exp(-decay * s)`` for n tokens; the
-    two are the maximum-likelihood values with one pseudo-segment, so clean texts without any
-    segment give a fast fall.
+    The best of n tokens stays below s with probability ``exp(-scale * n * exp(-decay * s))``; a text
+    without a segment has the best score 0. Both values are the likeliest ones on ``DECAYS``, with one
+    text of mean length and best score 1 added. The share of the highest scores above ``TRIM`` is left out, as labels err.
     """
-    tokens = sum(n for _, n in rows) + 1
-    scores = [s for segments, _ in rows for s in segments]
-    decay = (len(scores) + 1) / (sum(scores) + 1.0)
-    return float(np.clip(decay, 0.2, 3.0)), float((len(scores) + 0.5) / tokens)
-
-
-def segments_column(text: Column, words: dict[str, float], stems: dict[str, float]) -> Column:
-    """struct(n_tokens, spans): every maximal segment of a whole text with score, start and end."""
-    @F.pandas_udf("n_tokens long, spans array<struct<score:double,start:long,end:long>>")
+    s, n = np.asarray(best, dtype=float), np.asarray(tokens, dtype=float)
+    if len(s):
+        kept = s <= np.quantile(s, TRIM)
+        s, n = s[kept], n[kept]
+    s, n = np.append(s, 1.0), np.append(n, max(n.mean(), 1.0) if len(n) else 1.0)
+    some = s > 0
+    scales = np.array([some.sum() / np.sum(n * np.exp(-d * s)) for d in DECAYS])
+    likelihood = some.sum() * np.log(scales * DECAYS) - DECAYS * s[some].sum()
+    at = int(likelihood.argmax())
+    return float(DECAYS[at]), float(scales[at])
+
+
+def per_text(text: Column, words: dict[str, float], stems: dict[str, float], kind: str, names: list[str], result) -> Column:
+    """``result(segments, number of tokens)`` of every whole text, as a struct of the type ``kind``."""
+    @F.pandas_udf(kind)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for text in texts:
                 found, n = hits(text, words, stems)
-                out.append((n, [{"score": s, "start": a, "end": b} for s, a, b in maximal_segments(found)]))
-            yield pd.DataFrame(out, columns=["n_tokens", "spans"])
+                out.append(result(maximal_segments(found), n))
+            yield pd.DataFrame(out, columns=names)
 
     return scan.asNondeterministic()(text)
 
@@ -154,23 +161,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Model of a sample of at most ``per_class`` labelled documents of each class.
 
     Token scores come from two thirds of the sample, the extreme-value law and the curve from the
-    rest. Without labels of both classes no token scores and the score is the base rate.
+    rest; of the rest only numbers reach the driver. A token's score is its log-odds less ``DRIFT``, the price of a passage's length, which
+    unknown tokens pay too. Without labels of both classes no token stands out and the score is the base rate.
     """
     sample = cut_lineage(labelled_sample(docs, labels, label, per_class), "toxic-sample")
-    odds = token_log_odds(sample.where(~calibration_fold(F.col("doc_id"))))
-    strong = odds.where((F.col("z") >= MIN_Z) & (F.col("score") >= MIN_LOG_ODDS)).collect()
-    words = {r["token"]: r["score"] for r in strong if r["stem"] == 0}
-    stems = {r["token"]: r["score"] for r in strong if r["stem"] > 0}
-    # a longer stem or word is only reached through its shortest stem
-    for stem in list(stems):
-        stems.setdefault(stem[: STEMS[0]], 0.0)
-    held = sample.where(calibration_fold(F.col("doc_id"))).select(
-        "label", segments_column(F.col("text"), words, stems).alias("found")
-    ).collect()
-    rows = [(r["label"], [(s["score"], s["start"], s["end"]) for s in r["found"]["spans"]], r["found"]["n_tokens"]) for r in held]
-    decay, scale = _tail([([s for s, _, _ in spans], n) for y, spans, n in rows if y == 0])
-    truth = [y for y, _, _ in rows]
-    slope, intercept = fit_logistic([statistic(spans, n, decay, scale) for _, spans, n in rows], truth)
+    odds = token_log_odds(sample.where(~calibration_fold(F.col("doc_id")))).collect()
+    words = {r["token"]: r["score"] - DRIFT for r in odds if r["stem"] == 0}
+    stems = {r["token"]: r["score"] - DRIFT for r in odds if r["stem"] > 0}
+    held = sample.where(calibration_fold(F.col("doc_id")))
+    best = held.where("label = 0").select(per_text(
+        F.col("text"), words, stems, "best double, n long", ["best", "n"], lambda found, n: (max((s for s, _, _ in found), default=0.0), n)
+    ).alias("b")).select("b.*").collect()
+    decay, scale = tail_law([r["best"] for r in best], [r["n"] for r in best])
+    rows = held.select("label", per_text(
+        F.col("text"), words, stems, "x double", ["x"], lambda found, n: (statistic(found, n, decay, scale),)
+    ).alias("s")).select("label", "s.x").collect()
+    truth = [r["label"] for r in rows]
+    slope, intercept = fit_logistic([r["x"] for r in rows], truth)
     return ToxicModel(words, stems, decay, scale, (slope, intercept + prior_shift(labels, label, truth)))
 
 
@@ -178,28 +185,22 @@ def with_toxicity(docs: DataFrame, model: ToxicModel, significance: float = SIGN
     """``docs`` with toxic_score in [0, 1] and toxic_spans.
 
     toxic_spans lists every passage (start and end in code points of the lower-cased text, score)
-    that clean text of this length holds with an expectation of at most ``significance``. A null or empty text has no passage
+    that clean text of this length holds with an expectation of at most ``significance``; in a text whose
+    score reaches ``ACCEPT`` also those expected less than once, which make up its score, so that no text is called toxic without a
+    passage. A null or empty text has no passage
     and the lowest score. Only the text is read; other columns pass through
-    (columns of these names are replaced), repeated rows get equal results.
+    (columns of these names are replaced), repeated rows and ties get equal results, an empty table gives no rows.
     """
     decay, scale, curve = model.decay, model.scale, model.curve
-    words, stems = model.words, model.stems
 
-    @F.pandas_udf("score double, spans array<struct<start:long,end:long,score:double>>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = []
-            for text in texts:
-                found, n = hits(text, words, stems)
-                segments = maximal_segments(found)
-                kept = [s for s in segments if scale * max(n, 1) * np.exp(-decay * s[0]) <= significance]
-                out.append((
-                    float(logistic(statistic(segments, n, decay, scale), curve)),
-                    [{"start": a, "end": b, "score": s} for s, a, b in kept],
-                ))
-            yield pd.DataFrame(out, columns=["score", "spans"])
-
-    judged = docs.select(F.struct("*").alias("row"), judge.asNondeterministic()("text").alias("judged"))
+    def judge(found, n):
+        score = float(logistic(statistic(found, n, decay, scale), curve))
+        limit = 1.0 if score >= ACCEPT else significance
+        return score, [{"start": a, "end": b, "score": s} for s, a, b in found if scale * max(n, 1) * np.exp(-decay * s) <= limit]
+
+    judged = docs.select(F.struct("*").alias("row"), per_text(
+        F.col("text"), model.words, model.stems, "score double, spans array<struct<start:long,end:long,score:double>>", ["score", "spans"], judge
+    ).alias("judged"))
     names = [c for c in docs.columns if c.lower() not in ("toxic_score", "toxic_spans")]
     return judged.select(
         *[F.col("row").getField(c).alias(c) for c in names],

@@ -224,3 +224,69 @@ def test_predictions_against_plain_steps(spark):
             continue
         name, score = plain_prediction(r.text, model)
         assert name == r.lang_pred and abs(score - r.lang_score) < 1e-4
+
+
+def test_token_log_odds_against_counts(spark):
+    rng = random.Random(6)
+    pool = [f"{rng.choice(['alpha', 'beta', 'gam'])}{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(pool, k=12)), int(i % 4 == 0)) for i in range(80)]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    counts, totals = {}, [0, 0]
+    for _, text, label in rows:
+        tokens = {(w, 0) for w in text.split()}
+        totals[label] += len(tokens)
+        for token in tokens | {(w[:n], n) for w, _ in tokens for n in toxicity.STEMS if len(w) > n}:
+            counts.setdefault(token, [0, 0])[label] += 1
+    part = toxicity.PRIOR * totals[1] / sum(totals)
+    want = {
+        t: np.log((y[1] + part) * totals[0] / ((y[0] + toxicity.PRIOR - part) * totals[1]))
+        for t, y in counts.items() if sum(y) >= toxicity.WITNESSES
+    }
+    got = {(r.token, r.stem): r.score for r in toxicity.token_log_odds(sample).collect()}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert min(want.values()) < 0 < max(want.values())
+
+
+def test_toxic_score_and_passages_against_plain_steps(spark):
+    rng = random.Random(7)
+    words = {w: s for w, s in zip("abcdefg", (2.5, 1.5, -0.5, -2.0, 0.0, 4.0, -1.0))}
+    model = toxicity.ToxicModel(words, {"long": 3.0, "longe": -3.0}, 1.2, 0.05, (1.5, -1.0))
+    texts = [" ".join(rng.choices([*words, "zz", "longs", "longest", "Long"], k=rng.randint(0, 25))) for _ in range(120)]
+    judged = toxicity.with_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    passages = 0
+    for r in judged:
+        tokens = r.text.split()
+        scores = [words.get(t.lower(), 3.0 if t == "longs" else -3.0 if t == "longest" else -toxicity.DRIFT) for t in tokens]
+        starts = [len(" ".join(tokens[:i])) + (i > 0) for i in range(len(tokens))]
+        segments, expected = plain_segments(scores), 0.05 * max(len(tokens), 1)
+        values = [1.2 * s - np.log(expected) for s, _, _ in segments]
+        x = max([sum(v for v in values if v > 0), max(values)]) if values else -np.log(expected + 1)
+        score = 1 / (1 + np.exp(-1.5 * np.sign(x) * np.log1p(abs(x)) + 1.0))
+        assert abs(score - r.toxic_score) < 1e-9
+        limit = 1.0 if score >= toxicity.ACCEPT else toxicity.SIGNIFICANCE
+        want = [(starts[i], starts[j] + len(tokens[j])) for (_, i, j), v in zip(segments, values) if np.exp(-v) <= limit]
+        assert [(s.start, s.end) for s in r.toxic_spans] == want
+        passages += len(want)
+    assert passages > 50
+
+
+def test_tail_law_recovers_its_own_parameters():
+    rng = np.random.default_rng(5)
+    n = rng.integers(50, 500, 20_000)
+    best = np.maximum(0.0, (np.log(0.1 * n) - np.log(-np.log(rng.random(n.size)))) / 1.5)
+    decay, scale = toxicity.tail_law(best.tolist(), n.tolist())
+    # the trimmed tail makes the fall a little steeper
+    assert 1.4 < decay < 1.9 and 0.07 < scale < 0.25
+    assert all(v > 0 for v in toxicity.tail_law([], [])) and all(v > 0 for v in toxicity.tail_law([0.0] * 9, [0] * 9))
+
+
+def test_quality_score_against_plain_steps(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    good, bad = quality._compressor(model.good), quality._compressor(model.bad)
+    for r in quality.with_quality(docs, model).collect():
+        data = (r.text or "").encode()
+        parts = [data[i : i + 1000] for i in range(0, len(data), 1000)]
+        saved = sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts) / max(len(data), 1)
+        assert abs(np.interp(saved, model.points, model.scores) - r.quality_score) < 1e-9
