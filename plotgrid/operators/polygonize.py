@@ -37,12 +37,13 @@ def line_segments(lines: DataFrame, column: str = "geometry") -> DataFrame:
     ).filter("x0 <> x1 OR y0 <> y1").distinct()
 
 
-def split_segments(segments: DataFrame, cell: float = CELL, snap: float = 0.0) -> DataFrame:
+def split_segments(segments: DataFrame, cell: float = CELL, snap: float = 0.0, parents: bool = False) -> DataFrame:
     """Cut every segment where another one crosses, touches or overlaps it.
 
     An end point as near as ``snap`` to a segment counts as lying on it and cuts it there, so
     that lines drawn up to another one meet it although their coordinates are rounded. 0
-    asks for exact contact.
+    asks for exact contact. With ``parents`` every piece has its uncut segment as ``parent``,
+    once for each segment that it lies on.
     """
     placed = edge_cells(segments, F.lit(cell)).select(
         "row", "column", F.struct(*SEGMENT).alias("a"),
@@ -99,8 +100,9 @@ def split_segments(segments: DataFrame, cell: float = CELL, snap: float = 0.0) -
         )).alias("p"),
     )
     along = Window.partitionBy("a").orderBy("p")
-    pieces = cuts.unionByName(ends).distinct().select("p", F.lead("p").over(along).alias("q"))
+    pieces = cuts.unionByName(ends).distinct().select("a", "p", F.lead("p").over(along).alias("q"))
     return pieces.filter(F.col("q").isNotNull()).select(
+        *([F.col("a").alias("parent")] if parents else []),
         F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1")
     ).distinct()
 
@@ -171,6 +173,15 @@ def faces(edges: DataFrame) -> DataFrame:
     if not loose.isEmpty():
         edges = cut_lineage(edges.join(loose, "id", "left_anti"), "edges")
         labels, rounds = ring_labels(successors(edges))
+    return _traced(edges, labels, rounds)
+
+
+def ring_table(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Rings ``label, ring, twice`` of directed edges ``id, ux, uy`` whose next ones are ``links`` (``id, next``)."""
+    return _traced(edges, *ring_labels(links))
+
+
+def _traced(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
     places = _ring_places(labels, rounds)
     placed = edges.join(labels.select("id", "label"), "id").join(places, "id")
     return placed.groupBy("label").agg(
@@ -178,10 +189,10 @@ def faces(edges: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("place", F.col("ux").alias("x"), F.col("uy").alias("y")))),
             lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")),
         ).alias("ring"),
-    ).withColumn("ring", F.concat("ring", F.slice("ring", 1, 1))).withColumn("twice", _twice_area(F.col("ring")))
+    ).withColumn("ring", F.concat("ring", F.slice("ring", 1, 1))).withColumn("twice", signed_twice_area(F.col("ring")))
 
 
-def _twice_area(ring: Column) -> Column:
+def signed_twice_area(ring: Column) -> Column:
     """Twice the signed area, measured from the first point."""
     first = ring[0]
     return F.aggregate(
@@ -198,6 +209,12 @@ def polygonize(lines: DataFrame, column: str = "geometry", snap: float = 0.0) ->
     :func:`split_segments`). This runs jobs when called.
     """
     rings = cut_lineage(faces(half_edges(split_segments(line_segments(lines, column), snap=snap))), "faces")
+    return with_holes(rings)
+
+
+def with_holes(rings: DataFrame) -> DataFrame:
+    """Polygons (geometry, bbox) of rings ``label, ring, twice``: those that turn left, with the others as holes
+    of the smallest one around them."""
     shells = rings.filter("twice > 0").select(
         "label", F.array(F.array("ring")).alias("geometry"), "twice"
     ).withColumn("bbox", g.bounds(F.col("geometry")))

@@ -211,3 +211,24 @@ def linework(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     other = blocks.filter(k % 5 == 0).select("k", F.lit("Veg").alias("layer"), line((-0.5, 0.3), (1.5, 0.3)).alias("geometry"))
     return lines.unionByName(marks).unionByName(other)
+
+
+def touching_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of buildings that meet, one block per order on the lattice of ``linework``, in eighths of a block.
+
+    Modulo 4: two squares that overlap; two with a common edge; a frame of four bars with a square in its
+    middle; two squares with a common corner, one of them listed twice.
+    """
+    k = F.col("k")
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
+    x, y, s = (k % 4096) / 1024, F.floor(k / 4096) / 1024, 1 / 16384
+
+    def boxes(*corners):
+        return F.array(*[g.rectangle(x + a * s, y + b * s, x + c * s, y + d * s) for a, b, c, d in corners])
+
+    kinds = [
+        boxes((0, 0, 4, 4), (2, 2, 6, 6)), boxes((0, 0, 4, 4), (4, 0, 8, 4)),
+        boxes((0, 0, 8, 2), (0, 6, 8, 8), (0, 2, 2, 6), (6, 2, 8, 6), (3, 3, 5, 5)), boxes((0, 0, 4, 4), (4, 4, 8, 8), (4, 4, 8, 8)),
+    ]
+    chosen = F.when(k % 4 == 0, kinds[0]).when(k % 4 == 1, kinds[1]).when(k % 4 == 2, kinds[2]).otherwise(kinds[3])
+    return blocks.select("k", F.explode(chosen).alias("geometry"))

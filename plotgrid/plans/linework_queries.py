@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
+from plotgrid.operators import coverage
 from plotgrid.operators import filters as f
 from plotgrid.operators import polygonize as pz
 from plotgrid.plans import fixtures as fx
@@ -41,3 +42,13 @@ def union_lines(spark, sf_dir):
     pieces = pz.split_segments(pz.line_segments(lines))
     k = F.floor(F.col("x0") * 1024) + 4096 * F.floor(F.least("y0", "y1") * 1024)
     return pieces.groupBy(k.alias("k")).agg(F.count("*").alias("pieces"))
+
+
+@query("a11_union_areas", f"""{BLOCKS}, u AS (SELECT k, s2 / 64 AS unit FROM b)
+SELECT k, unit * CASE k % 4 WHEN 0 THEN 28 WHEN 1 THEN 32 WHEN 2 THEN 48 ELSE 16 END AS area,
+  CAST(CASE k % 4 WHEN 2 THEN 2 ELSE 1 END AS INT) AS rings FROM u
+UNION ALL SELECT k, unit * CASE k % 4 WHEN 2 THEN 4 ELSE 16 END, CAST(1 AS INT) FROM u WHERE k % 4 > 1""")
+def union_areas(spark, sf_dir):
+    united = coverage.union_areas(fx.touching_areas(spark, sf_dir))
+    k = F.floor(F.col("bbox.xmin") * 1024) + 4096 * F.floor(F.col("bbox.ymin") * 1024)
+    return united.select(k.alias("k"), g.area(F.col("geometry")).alias("area"), F.size(F.col("geometry")[0]).alias("rings"))
