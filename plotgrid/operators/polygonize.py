@@ -129,35 +129,29 @@ def successors(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), clockwise.alias("next"))
 
 
-def ring_labels(links: DataFrame) -> tuple[DataFrame, int]:
-    """``id, next, label``: the least id of each ring, and the rounds it took."""
-    state = cut_lineage(links.select("id", "next", F.col("next").alias("jump"), F.col("id").alias("label")), "rings")
-    rounds = 0
+def ring_labels(links: DataFrame) -> DataFrame:
+    """``id, label, steps``: the least id of each half-edge's ring, and the steps to it along the ring.
+
+    After k rounds a row knows the least id of the 2^k half-edges from itself on and how far ahead it
+    stands; ties keep the nearer one. One more round than the longest ring needs finds nothing new and ends it.
+    """
+    state = cut_lineage(links.select(
+        "id", F.col("next").alias("jump"), F.col("id").alias("label"), F.lit(0).cast("bigint").alias("steps"),
+    ), "rings")
+    span = 1
     while True:
-        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("label").alias("seen"))
-        moved = state.join(ahead, "jump").select(
-            "id", "next", F.col("far").alias("jump"), F.least("label", "seen").alias("label"),
-            (F.col("seen") < F.col("label")).alias("changed"),
+        ahead = state.select(
+            F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("label").alias("seen"), F.col("steps").alias("more"),
         )
-        moved = cut_lineage(moved, "rings")
-        rounds += 1
+        less = F.col("seen") < F.col("label")
+        moved = cut_lineage(state.join(ahead, "jump").select(
+            "id", F.col("far").alias("jump"), F.least("label", "seen").alias("label"),
+            F.when(less, F.col("more") + span).otherwise(F.col("steps")).alias("steps"), less.alias("changed"),
+        ), "rings")
+        span *= 2
         state = moved.drop("changed")
         if moved.filter("changed").isEmpty():
-            return state.select("id", "next", "label"), rounds
-
-
-def _ring_places(labels: DataFrame, rounds: int) -> DataFrame:
-    """``id, place``: steps from each half-edge to the leader of its ring, by doubling."""
-    state = labels.select(
-        "id", F.when(F.col("id") == F.col("label"), F.col("id")).otherwise(F.col("next")).alias("jump"),
-        F.when(F.col("id") == F.col("label"), 0).otherwise(1).cast("bigint").alias("steps"),
-    )
-    for _ in range(rounds):
-        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("steps").alias("more"))
-        state = cut_lineage(state.join(ahead, "jump").select(
-            "id", F.col("far").alias("jump"), (F.col("steps") + F.col("more")).alias("steps")
-        ), "places")
-    return state.select("id", F.when(F.col("steps") == 0, F.lit(-(1 << 62))).otherwise(-F.col("steps")).alias("place"))
+            return state.select("id", "label", "steps")
 
 
 def faces(edges: DataFrame) -> DataFrame:
@@ -167,23 +161,24 @@ def faces(edges: DataFrame) -> DataFrame:
     of a free line or of a bridge between parts. All such segments go at once, however
     long their chains are, and the rings are traced anew.
     """
-    labels, rounds = ring_labels(successors(edges))
+    labels = ring_labels(successors(edges))
     twin = labels.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("label").alias("twin_label"))
     loose = cut_lineage(labels.join(twin, "id").filter("label = twin_label").select("id"), "loose")
     if not loose.isEmpty():
         edges = cut_lineage(edges.join(loose, "id", "left_anti"), "edges")
-        labels, rounds = ring_labels(successors(edges))
-    return _traced(edges, labels, rounds)
+        labels = ring_labels(successors(edges))
+    return _traced(edges, labels)
 
 
 def ring_table(edges: DataFrame, links: DataFrame) -> DataFrame:
     """Rings ``label, ring, twice`` of directed edges ``id, ux, uy`` whose next ones are ``links`` (``id, next``)."""
-    return _traced(edges, *ring_labels(links))
+    return _traced(edges, ring_labels(links))
 
 
-def _traced(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
-    places = _ring_places(labels, rounds)
-    placed = edges.join(labels.select("id", "label"), "id").join(places, "id")
+def _traced(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    # the leader comes first, then the others by their way still to go
+    place = F.when(F.col("steps") == 0, F.lit(-(1 << 62))).otherwise(-F.col("steps")).alias("place")
+    placed = edges.join(labels.select("id", "label", place), "id")
     return placed.groupBy("label").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("place", F.col("ux").alias("x"), F.col("uy").alias("y")))),
