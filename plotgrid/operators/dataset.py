@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotgrid.functions import geometry as g
 from plotgrid.functions.geohash import geohash
 from plotgrid.functions.hashing import uniform
-from plotgrid.operators.conflation import Conflation
+from plotgrid.operators.conflation import Conflation, with_cell
 from plotgrid.operators.shaping import union_by_name, with_missing_columns
 from plotgrid.operators.sizes import broadcast_if_small
 from plotgrid.operators.zones import ZoneLookup, zone_lookup, zone_pairs
@@ -57,16 +57,16 @@ def prepare_dataset(
 ) -> DataFrame:
     """Clip both sources to all regions at once, key them, and conflate within regions.
 
-    The clipped sources are kept as tables (the raw layer of the dataset), since the
-    conflation reads them more than once; ``keep`` writes one under a name and reads it again.
+    The clipped sources are kept as tables (the raw layer of the dataset) with the cells and shape keys of the
+    conflation, which reads them more than once; ``keep`` writes one under a name and reads it again.
     This runs jobs when called.
     """
     lookup = zone_lookup(zones, key)
 
     def raw(df, name):
-        return keep(with_partition_key(clip_to_regions([df], zones, key, lookup)), name)
+        return keep(with_cell(with_partition_key(clip_to_regions([df], zones, key, lookup))), name)
 
-    return Conflation(raw(fkb, "raw-fkb"), raw(osm, "raw-osm"), by=(key,)).merged()
+    return Conflation(raw(fkb, "raw-fkb"), raw(osm, "raw-osm"), by=(key,), keyed=True).merged()
 
 
 def publish_dataset(

@@ -455,3 +455,15 @@ def test_metric_rollup_without_values(spark):
     got = {r["metric"]: r for r in samples.metric_rollup(points).collect()}
     assert (got["m"]["total"], got["m"]["mean"], got["m"]["last"], got["m"]["greatest"], got["m"]["least"]) == (0, 0, 0, 0, 0)
     assert (got["n"]["total"], got["n"]["greatest"], got["n"]["least"], got["n"]["rate_total"]) == (-2, 0, -3, -120)
+
+
+def test_merged_table_reads_no_source_again(spark, tmp_path):
+    fkb, osm = conflation_rows()
+    sources = []
+    for name, rows in (("fkb", fkb), ("osm", osm)):
+        frame(spark, rows).write.parquet(f"{tmp_path}/{name}")
+        sources.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    merged = cf.Conflation(*sources).merged()
+    assert merged.inputFiles() and not any(str(tmp_path) in f for f in merged.inputFiles())
+    keyed = [cf.with_cell(s) for s in sources]
+    assert sorted(map(str, cf.Conflation(*keyed, keyed=True).merged().collect())) == sorted(map(str, merged.collect()))
