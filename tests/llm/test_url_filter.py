@@ -33,3 +33,27 @@ def test_long_url_repeats_and_empty_table(spark):
     assert [r.verdict for r in u.judge_urls(pages).collect()] == ["block"] * 3
     assert u.judge_urls(pages.where("false")).count() == 0
     assert [r.verdict for r in u.judge_urls(pages, rules=(), strict=(), soft=()).collect()] == ["allow"] * 3
+
+
+@pytest.mark.parametrize("url,verdict", [
+    ("http://shop.net/sale/deals", "allow"), ("http://shop.net/sale/deals?vip=1", "block"),
+    ("http://x.net/free/sale", "allow"), ("http://x.net/free/sale/hot", "block"), ("http://x.net/payday-loan", "block"),
+    ("http://x.net/hotel/wholesale/vips", "allow"),
+])
+def test_weights_of_soft_terms(spark, url, verdict):
+    assert u.judge_urls(spark.createDataFrame([(1, url)], "page_id bigint, url string")).first().verdict == verdict
+
+
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame(
+        [("Alpha ", None), ("alpha", 2), ("beta", 2), ("beta", 4), ("gamma", 3), (" ", 9), (None, 1), ("off", 0)],
+        "term string, weight int",
+    )
+    strict, soft = u.vocabulary(terms)
+    assert (strict, soft) == (["alpha"], {"beta": 4, "gamma": 3})
+    urls = [("http://a.net/ALPHA", "block"), ("http://a.net/beta", "allow"), ("http://a.net/beta/gamma", "block"), ("http://a.net/off/gamma/gamma", "allow")]
+    got = u.judge_urls(spark.createDataFrame(urls, "url string, want string"), (), strict, soft)
+    assert all(r.verdict == r.want for r in got.collect())
+    assert u.vocabulary(terms.filter("false")) == ([], {})
+    with pytest.raises(ValueError, match="more than 2"):
+        u.vocabulary(terms, most=2)
