@@ -50,7 +50,9 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = KMER_WORDS, fill
     counts as often as it stands there. The hash's leading bits choose one of 64 bins, each of
     which takes the place of one random order. A bin's two least k-mers, put back in text
     order, are hashed to its entry: moving passages changes it, unlike plain MinHash. A hash and
-    its place share one number (40 and 24 bits), so sorting numbers does the selection.
+    its place share one number (40 and 24 bits), so sorting numbers does the selection. Places of texts beyond
+    16,777,216 words start again at 0: all their k-mers still take part and equal texts still get equal signatures,
+    but two k-mers on different sides of such a border may be paired in the wrong order.
     Bins without a k-mer have no entry; a blank text is one empty word.
 
     With ``filled`` every bin has an entry of two k-mers: a bin that holds fewer takes the next ones from
