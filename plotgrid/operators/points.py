@@ -43,21 +43,32 @@ def point_cells(points: DataFrame, cell: float = CELL) -> DataFrame:
     )
 
 
-def _containing(buildings: DataFrame, positions: DataFrame) -> DataFrame:
-    """Rows of ``buildings`` (geometry, bbox and others) beside every position inside."""
+def _containing(buildings: DataFrame, positions: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """Rows of ``buildings`` (geometry, bbox and others) beside every position inside.
+
+    ``levels`` lists the levels that occur among the buildings; on the others no position is shuffled.
+    """
     keys = ["level", "cx", "cy"]
-    near = covered_cells(buildings).join(point_cells(positions), keys).filter(
+    placed = point_cells(positions)
+    if levels is not None:
+        placed = placed.join(F.broadcast(levels), "level", "left_semi")
+    near = covered_cells(buildings).join(placed, keys).filter(
         F.col("lon").between(F.col("bbox.xmin"), F.col("bbox.xmax"))
         & F.col("lat").between(F.col("bbox.ymin"), F.col("bbox.ymax"))
     )
     return near.filter(g.contains(F.col("geometry"), F.col("lon"), F.col("lat"))).drop(*keys)
 
 
+def occurring_levels(buildings: DataFrame) -> DataFrame:
+    """Grid levels of the buildings' boxes, ``LEVELS`` rows at most; reads the boxes alone."""
+    return buildings.select(level_of(F.col("bbox"), CELL).alias("level")).filter("level IS NOT NULL").distinct()
+
+
 def point_in_polygon_counts(points: DataFrame, buildings: DataFrame) -> DataFrame:
     """For every point the number of buildings that strictly contain it, 0 included.
 
     Equal positions are looked up once. A point list proven small is broadcast and the
-    buildings stay where they are; otherwise both sides shuffle by cell, and equal
+    buildings stay where they are; otherwise both sides shuffle by cell (points only on levels that occur), and equal
     buildings are counted together first so that copies cannot multiply.
     """
     positions = points.select("lon", "lat").distinct()
@@ -65,7 +76,7 @@ def point_in_polygon_counts(points: DataFrame, buildings: DataFrame) -> DataFram
     if at_most(positions, POINT_ROWS):
         found = _containing(shapes.withColumn("n", F.lit(1).cast("bigint")), F.broadcast(positions))
     else:
-        found = _containing(shapes.groupBy("geometry", "bbox").agg(F.count("*").alias("n")), positions)
+        found = _containing(shapes.groupBy("geometry", "bbox").agg(F.count("*").alias("n")), positions, occurring_levels(buildings))
     counts = found.groupBy("lon", "lat").agg(F.sum("n").alias("n_buildings"))
     return points.join(counts, ["lon", "lat"], "left").withColumn(
         "n_buildings", F.coalesce("n_buildings", F.lit(0).cast("bigint"))

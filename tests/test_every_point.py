@@ -2,7 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from plotgrid.functions import geometry as g
+from plotgrid.operators import points as pt
 from plotgrid.plans import fixtures as fx
 from plotgrid.plans.catalog import QUERIES
 
@@ -38,3 +41,21 @@ def test_every_center_finds_its_pairs(spark, sf_dir, rect):
     got = [tuple(r) for r in QUERIES["j6_pairs_with_points"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(zip(k[of].tolist(), k[at].tolist()))
     assert {p for _, p in got} == set(k.tolist())
+
+
+def test_points_move_only_on_levels_that_occur(spark, monkeypatch):
+    small = [(float(i) / 64, 60.0, float(i) / 64 + 1e-4, 60.0001) for i in range(40)]
+    boxes = [*small, (0.0, 59.0, 2.0, 61.0)]
+    frame = spark.createDataFrame(boxes, "x double, y double, u double, v double").select(
+        g.rectangle(F.col("x"), F.col("y"), F.col("u"), F.col("v")).alias("geometry")
+    ).withColumn("bbox", g.bounds(F.col("geometry")))
+    spots = [((x + u) / 2, (y + v) / 2) for x, y, u, v in boxes] + [(5.0, 5.0)]
+    points = spark.createDataFrame(spots, "lon double, lat double")
+    assert pt.occurring_levels(frame).count() == 2
+    assert pt.occurring_levels(frame.filter("false")).count() == 0
+    want = {p: int(n) for p, n in zip(spots, inside(np.array(spots), np.array([(x, y, u - x, v - y) for x, y, u, v in boxes])).sum(axis=1))}
+    for rows in (pt.POINT_ROWS, 0):
+        monkeypatch.setattr(pt, "POINT_ROWS", rows)
+        assert {(r.lon, r.lat): r.n_buildings for r in pt.point_in_polygon_counts(points, frame).collect()} == want
+    empty = pt.point_in_polygon_counts(points, frame.filter("false"))
+    assert {r.n_buildings for r in empty.collect()} == {0}
