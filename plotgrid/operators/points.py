@@ -90,11 +90,13 @@ def containing_pairs(polygons: DataFrame, points: DataFrame) -> DataFrame:
 
 def containing_polygons(polygons: DataFrame, points: DataFrame) -> DataFrame:
     """Distinct polygons that strictly contain at least one point."""
-    positions = points.select("lon", "lat").distinct()
+    positions, levels = points.select("lon", "lat").distinct(), None
     if at_most(positions, POINT_ROWS):
         positions = F.broadcast(positions)
+    else:
+        levels = occurring_levels(polygons)
     columns = polygons.columns
-    return _containing(polygons, positions).select(*columns).distinct()  # copies meet only where a point hits
+    return _containing(polygons, positions, levels).select(*columns).distinct()  # copies meet only where a point hits
 
 
 def first_inner_points(buildings: DataFrame, frame: Frame, n: int) -> DataFrame:

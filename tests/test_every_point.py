@@ -57,5 +57,6 @@ def test_points_move_only_on_levels_that_occur(spark, monkeypatch):
     for rows in (pt.POINT_ROWS, 0):
         monkeypatch.setattr(pt, "POINT_ROWS", rows)
         assert {(r.lon, r.lat): r.n_buildings for r in pt.point_in_polygon_counts(points, frame).collect()} == want
+        assert pt.containing_polygons(frame, points).count() == len(boxes)
     empty = pt.point_in_polygon_counts(points, frame.filter("false"))
     assert {r.n_buildings for r in empty.collect()} == {0}
