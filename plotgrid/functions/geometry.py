@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotgrid.functions import kernels, projections, wkb
 from plotgrid.functions.sessions import per_application
+from plotgrid.functions.streams import with_streamed
 
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
@@ -122,6 +123,16 @@ def measures(geometry: Column, src: int = 4326, dst: int = 4326) -> Column:
     return _measure_function(src, dst)(geometry)
 
 
+def _measured_batch(batch: pa.RecordBatch) -> pa.Array:
+    return pa.StructArray.from_arrays(_measure_columns(kernels.Shapes(batch.column("geometry"))), names=MEASURES)
+
+
+def with_measures(df: DataFrame, name: str) -> DataFrame:
+    """``measures`` of the column ``geometry`` in its place, for tables that are too large to wait in a task's queue."""
+    kind = "struct<area:double,perimeter:double,cx:double,cy:double>"
+    return with_streamed(df, {name: (kind, _measured_batch)}, drop=("geometry",))
+
+
 def area(geometry: Column, src: int = 4326, dst: int = 4326) -> Column:
     return measures(geometry, src, dst)["area"]
 
@@ -154,8 +165,7 @@ def _equal_area_centroid():
     @F.arrow_udf("struct<x:double,y:double>")
     def center(geometry: pa.Array) -> pa.Array:
         shapes = kernels.Shapes(geometry, projections.laea_forward)
-        values = kernels.measures(shapes)
-        lon, lat = projections.laea_inverse(values["cx"], values["cy"])
+        lon, lat = kernels.equal_area_centers(shapes, projections.laea_inverse)
         return pa.StructArray.from_arrays(
             [pa.array(lon, mask=shapes.null), pa.array(lat, mask=shapes.null)], names=["x", "y"]
         )

@@ -100,6 +100,23 @@ def measures(shapes: Shapes) -> dict[str, np.ndarray]:
     return {"area": twice / 2, "perimeter": perimeter, "cx": cx, "cy": cy}
 
 
+def equal_area_centers(projected: Shapes, back) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of projected shapes, turned back to degrees."""
+    values = measures(projected)
+    return back(values["cx"], values["cy"])
+
+
+def shell_bounds(shapes: Shapes) -> list[pa.Array]:
+    """Least x and y, greatest x and y of every geometry's shells; NaN for one without points."""
+    shell = ~shapes.ring_hole[shapes.point_ring]
+    geom, first = np.unique(shapes.point_geom[shell], return_index=True)
+    found = [np.full(shapes.n, np.nan) for _ in range(4)]
+    if len(geom):
+        for out, values, step in zip(found, (shapes.x, shapes.y) * 2, (np.minimum, np.minimum, np.maximum, np.maximum)):
+            out[geom] = step.reduceat(values[shell], first)
+    return [pa.array(v) for v in found]
+
+
 def _pair_steps(owner: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (left item, right item) index pairs with the same owner, in bounded steps.
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotgrid.functions import geometry as g
+from plotgrid.functions import kernels, projections
 from plotgrid.functions.geohash import geohash
-from plotgrid.functions.hashing import uniform
 from plotgrid.operators.conflation import Conflation, with_cell
 from plotgrid.operators.shaping import union_by_name, with_missing_columns
 from plotgrid.operators.sizes import broadcast_if_small
@@ -98,13 +103,76 @@ def rotation_matrix(angle: Column, cx: Column, cy: Column, target_x: Column, tar
     }
 
 
+def _draws(seeds: list[str], copy: int) -> np.ndarray:
+    """Five numbers in [0, 1) for each seed and copy, as ``hashing.uniform`` takes them from the text ``seed:copy``."""
+    end = f":{copy}"
+    digests = b"".join([hashlib.sha256((seed + end).encode()).digest()[:30] for seed in seeds])
+    digits = np.frombuffer(digests, np.uint8).reshape(len(seeds), 5, 6).astype(float)
+    return digits @ (256.0 ** np.arange(5, -1, -1)) / (1 << 48)
+
+
+def _moved(base: pa.RecordBatch, spans: list[np.ndarray], copy: int, jitter: float) -> tuple[pa.Array, kernels.Shapes]:
+    """The copy of every row's shape, moved into its frame and turned."""
+    u0, u1, turn, u3, u4 = _draws(base.column("_seed").to_pylist(), copy).T
+    xmin, ymin, xmax, ymax, cx, cy = spans
+    to_x = xmin + u0 * (xmax - xmin) + (u3 * 2 - 1) * jitter
+    to_y = ymin + u1 * (ymax - ymin) + (u4 * 2 - 1) * jitter
+    cos, sin = np.cos(turn * (2 * math.pi)), np.sin(turn * (2 * math.pi))
+    tx, ty = to_x - (cos * cx - sin * cy), to_y - (sin * cx + cos * cy)
+    shapes = kernels.Shapes(base.column("geometry"))
+    g_of, x, y = shapes.point_geom, shapes.x, shapes.y
+    moved = kernels.renest(
+        base.column("geometry"), cos[g_of] * x - sin[g_of] * y + tx[g_of], sin[g_of] * x + cos[g_of] * y + ty[g_of]
+    )
+    return moved, kernels.Shapes(moved)
+
+
+def _with_copies(names: list[str], key: str, clones: int, jitter: float):
+    """Batches of valid rows, then of their valid copies one number after the other; so a batch never holds more rows than came."""
+    frame = ("xmin", "ymin", "xmax", "ymax")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = kernels.Shapes(batch.column("geometry"))
+            ok = kernels.valid(shapes)
+            center = kernels.measures(shapes)
+            keep = pa.array(ok)
+            own = batch.filter(keep)
+            types = {n: own.schema.field(n).type for n in names}
+            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+            out = pa.schema([*[(n, types[n]) for n in names], ("_c", point), ("_own", pa.bool_())])
+            yield pa.RecordBatch.from_arrays(
+                [*[own.column(n) for n in names], pa.nulls(len(own), point), pa.array(np.ones(len(own), bool))], schema=out
+            )
+            known = ok & batch.column("_box").is_valid().to_numpy(zero_copy_only=False)
+            if not known.any():
+                continue
+            base = batch.filter(pa.array(known))
+            spans = [pc.struct_field(base.column("_box"), c).to_numpy(zero_copy_only=False) for c in frame]
+            spans += [center["cx"][known], center["cy"][known]]
+            for copy in range(1, clones + 1):
+                moved, placed = _moved(base, spans, copy, jitter)
+                good = kernels.valid(placed)
+                middle = kernels.equal_area_centers(kernels.Shapes(moved, projections.laea_forward), projections.laea_inverse)
+                made = {
+                    key: base.column(key), "geometry": moved,
+                    "bbox": pa.StructArray.from_arrays(kernels.shell_bounds(placed), names=list(frame)),
+                }
+                columns = [made[n].cast(types[n]) if n in made else pa.nulls(len(base), types[n]) for n in names]
+                columns += [pa.StructArray.from_arrays([pa.array(v) for v in middle], names=["x", "y"]), pa.array(np.zeros(len(base), bool))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out).filter(pa.array(good))
+
+    return stream
+
+
 def synthesize(df: DataFrame, zones: DataFrame, size: str, key: str = "region", jitter: float = JITTER) -> DataFrame:
     """Enlarge a building table with moved and turned copies of its valid rows.
 
     Every copy lands uniformly inside its region's bounds with a random turn. The numbers
     come from a digest of (region, id or else shape, copy), so a retried task builds the same copy,
     and rows without an id or listed in two regions draw apart. Copies keep
-    only region, geometry and partition key.
+    only region, geometry and partition key. A row goes to Python once and its copies come back in streamed
+    batches, so neither waits in a task, however many copies there are.
     """
     clones = CLONES[size]
     if clones == 0:
@@ -112,31 +180,16 @@ def synthesize(df: DataFrame, zones: DataFrame, size: str, key: str = "region",
     b = g.bounds(F.col("geometry"))
     box = F.struct(*[f(b[c]).alias(c) for c, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))])
     frames = zones.groupBy(key).agg(box.alias("_box"))
-    measured = df.withColumn("_m", g.checked_measures(F.col("geometry"))).filter("_m.valid")
-    # copy 0 is the row itself; rows of no known region have no other
-    last = F.when(F.col("_box").isNotNull(), F.lit(clones)).otherwise(0)
-    copies = measured.join(broadcast_if_small(frames), key, "left").withColumn("_clone", F.explode(F.sequence(F.lit(0), last)))
-    own, box = F.col("_clone") == 0, F.col("_box")
-    seed = F.concat_ws(":", key, F.coalesce("external_id", F.xxhash64("geometry").cast("string")), "_clone")
-    drawn = copies.withColumns({
-        "_x": box["xmin"] + uniform(seed, 0) * (box["xmax"] - box["xmin"]) + (uniform(seed, 3) * 2 - 1) * jitter,
-        "_y": box["ymin"] + uniform(seed, 1) * (box["ymax"] - box["ymin"]) + (uniform(seed, 4) * 2 - 1) * jitter,
-        "_turn": uniform(seed, 2) * (2 * math.pi),
-    })
-    terms = rotation_matrix(F.col("_turn"), F.col("_m.cx"), F.col("_m.cy"), F.col("_x"), F.col("_y"))
-    names = {t: f"_{t}" for t in terms}
-    turned = drawn.withColumns({names[t]: c for t, c in terms.items()}).withColumn(
-        "_moved", F.when(~own, g.affine(F.col("geometry"), *[F.col(c) for c in names.values()]))
-    )
-    # both functions read the moved shape of one batch; the row itself has none and was checked before
-    judged = turned.withColumns({"_valid": g.is_valid(F.col("_moved")), "_c": g.equal_area_centroid(F.col("_moved"))})
-    made = {
-        "geometry": F.coalesce("_moved", "geometry"), "bbox": F.when(own, F.col("bbox")).otherwise(g.bounds(F.col("_moved"))),
-        "partition_key": F.when(own, F.col("partition_key") if "partition_key" in df.columns else F.lit(None)).otherwise(
-            geohash(F.col("_c.x"), F.col("_c.y"), PARTITION_PRECISION)
-        ),
-    }
-    kept = [c for c in df.columns if c not in made]
-    return judged.filter(own | F.col("_valid")).select(
-        *[F.col(c) if c == key else F.when(own, F.col(c)).alias(c) for c in kept], *[c.alias(n) for n, c in made.items()]
-    )
+    made = ("geometry", "bbox", "partition_key")
+    rows = df if "partition_key" in df.columns else df.withColumn("partition_key", F.lit(None).cast("string"))
+    rows = rows.select(*[c for c in df.columns if c not in made], *made)
+    # rows of no known region have no copies
+    seed = F.concat_ws(":", key, F.coalesce("external_id", F.xxhash64("geometry").cast("string")))
+    seeded = rows.join(broadcast_if_small(frames), key, "left").withColumn("_seed", seed).select(*rows.columns, "_box", "_seed")
+    schema = T.StructType([
+        *[T.StructField(f.name, f.dataType) for f in rows.schema.fields],
+        *T.StructType.fromDDL("_c struct<x:double,y:double>, _own boolean").fields,
+    ])
+    stacked = seeded.mapInArrow(_with_copies(rows.columns, key, clones, jitter), schema)
+    drawn = geohash(F.col("_c.x"), F.col("_c.y"), PARTITION_PRECISION)
+    return stacked.withColumn("partition_key", F.when(F.col("_own"), F.col("partition_key")).otherwise(drawn)).drop("_c", "_own")

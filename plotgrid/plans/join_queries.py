@@ -314,7 +314,7 @@ SELECT region, 'original', count(*), round(avg(minx + w / 2), 6), round(avg(miny
 
 def _clones(spark, sf_dir, size):
     table = ds.synthesize(fx.buildings(spark, sf_dir), fx.zones(spark), size)
-    measured = table.withColumn("m", g.measures(F.col("geometry")))
+    measured = g.with_measures(table.select("region", "external_id", "geometry", "bbox"), "m")
     kind = F.when(F.col("external_id").isNull(), "clone").otherwise("original").alias("kind")
     return measured.groupBy("region", kind).agg(
         F.count("*").alias("n"), F.round(F.avg("m.cx"), 6).alias("mean_x"), F.round(F.avg("m.cy"), 6).alias("mean_y"),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plotgrid.functions import geometry as g
 from plotgrid.functions import kernels
 from plotgrid.functions import wkb
+from plotgrid.functions.geohash import geohash
+from plotgrid.functions.hashing import uniform
 from plotgrid.operators import aggregates as agg
 from plotgrid.operators import conflation as cf
 from plotgrid.operators import dataset as ds
@@ -356,6 +358,19 @@ def test_synthesis_reads_its_source_once(spark, sf_dir):
     assert broken.filter(~g.is_valid(F.col("geometry"))).count() == 0 and "partition_key" in broken.columns
 
 
+def test_synthesis_keeps_no_row_waiting_for_python(spark, sf_dir):
+    # an Arrow function in a select queues its rows, in a file without bound once memory is short
+    table = ds.synthesize(ds.with_partition_key(fx.buildings(spark, sf_dir).filter("k < 40")).localCheckpoint(), fx.zones(spark), "large")
+    assert "ArrowEvalPython" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.filter("external_id IS NULL").count() == 40 * 19
+    # boxes, keys and draws are those of the column functions
+    again = table.select("bbox", g.bounds(F.col("geometry")).alias("b"), "partition_key", g.equal_area_centroid(F.col("geometry")).alias("c"))
+    assert again.filter("bbox <> b").count() == 0
+    assert again.filter(F.col("partition_key") != geohash(F.col("c.x"), F.col("c.y"), ds.PARTITION_PRECISION)).count() == 0
+    column = spark.range(1).select(*[uniform(F.lit("07:o1:3"), i) for i in range(5)]).first()
+    assert list(column) == ds._draws(["07:o1"], 3)[0].tolist()
+
+
 def test_tile_chunks_hold_every_feature(spark, sf_dir):
     b = fx.buildings(spark, sf_dir)
     long = tiling.tile_geometries(b, [5], "k")
