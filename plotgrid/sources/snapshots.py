@@ -82,7 +82,8 @@ class Snapshots:
             base = known[-1] if known else 0
             folder = uuid.uuid4().hex
             new = change(self.read(base) if known else self.read())
-            new.coalesce(1).write.parquet(f"{self.path}/data/{folder}")
+            # one file while the table is small; a change is worked out by many tasks however large it gets
+            new.hint("rebalance").write.parquet(f"{self.path}/data/{folder}")
             if self._commit(base + 1, folder):
                 return base + 1
             self._files.delete(self._at(f"data/{folder}"), True)
