@@ -182,8 +182,8 @@ def over_borders(spark, sf_dir):
     " SELECT fkb_id, osm_id, iou > 0.70 AS one_building FROM pairs ANTI JOIN here USING (fkb_id, osm_id)")
 def missed_at_borders(spark, sf_dir):
     """The pairs that the one-cell rule misses, and whether they are the same building."""
-    fkb, osm = fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir)
-    wide, narrow = Conflation(fkb, osm, neighbors=True), Conflation(fkb, osm)
+    wide = Conflation(fx.fkb(spark, sf_dir), fx.osm(spark, sf_dir), neighbors=True)
+    narrow = Conflation(wide.fkb, wide.osm, keyed=True)
     ids = ["fkb_id", "osm_id"]
     missed = wide._with_ids(wide.shapes).join(narrow._with_ids(narrow.shapes), ids, "left_anti")
     return missed.select(*ids, (F.col("iou") > wide.threshold).alias("one_building"))
