@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plotgrid.functions import geometry as g
 from plotgrid.operators.points import containing_pairs
 from plotgrid.operators.polygonize import SEGMENT, ring_table, signed_twice_area, split_segments, with_holes
-from plotgrid.session import cut_lineage
+from plotgrid.session import cut_lineage, scratch_folder, scratch_scope
 
 
 def directed_segments(shapes: DataFrame) -> DataFrame:
@@ -81,11 +81,15 @@ def union_areas(areas: DataFrame, cell: float = 1 / 1024) -> DataFrame:
     which edges meet and should be about the size of an area. Crossing points are computed in doubles, so edges
     must cross clearly or share their points. This runs jobs when called.
     """
-    distinct = areas.filter(F.col("geometry").isNotNull()).select("geometry").distinct()
-    # the numbers must not change when a task runs again, so they are written once
-    shapes = cut_lineage(distinct.select(
-        F.monotonically_increasing_id().alias("shape"), "geometry", g.bounds(F.col("geometry")).alias("bbox")
-    ), "areas")
-    pieces = outline_pieces(shapes, cell).withColumn("id", F.monotonically_increasing_id())
-    edges = cut_lineage(pieces, "outline")
-    return with_holes(cut_lineage(ring_table(edges, _next_around(edges)), "outline-rings"))
+    spark = areas.sparkSession
+    folder = scratch_folder(spark, "outline-rings")
+    with scratch_scope(spark):  # the tables on the way are not read again
+        distinct = areas.filter(F.col("geometry").isNotNull()).select("geometry").distinct()
+        # the numbers must not change when a task runs again, so they are written once
+        shapes = cut_lineage(distinct.select(
+            F.monotonically_increasing_id().alias("shape"), "geometry", g.bounds(F.col("geometry")).alias("bbox")
+        ), "areas")
+        pieces = outline_pieces(shapes, cell).withColumn("id", F.monotonically_increasing_id())
+        edges = cut_lineage(pieces, "outline")
+        rings = cut_lineage(ring_table(edges, _next_around(edges)), "outline-rings", folder)
+    return with_holes(rings)

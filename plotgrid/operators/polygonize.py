@@ -17,7 +17,7 @@ from plotgrid.functions import geometry as g
 from plotgrid.operators.filters import LINE_LAYERS, POINT_LAYERS, keep_layers
 from plotgrid.operators.points import containing_pairs, containing_polygons
 from plotgrid.operators.zones import edge_cells
-from plotgrid.session import cut_lineage
+from plotgrid.session import cut_lineage, drop_folder, scratch_folder, scratch_scope
 
 CELL = 1 / 1024
 SEGMENT = ["x0", "y0", "x1", "y1"]
@@ -51,11 +51,12 @@ def split_segments(segments: DataFrame, cell: float = CELL, snap: float = 0.0, p
     other = placed.select("row", "column", F.col("a").alias("b"))
     a = {c: F.col(f"a.{c}") for c in SEGMENT}
     b = {c: F.col(f"b.{c}") for c in SEGMENT}
+    # every pair once a cell, the lesser segment first
     near = placed.join(other, ["row", "column"]).filter(
-        (F.col("a") != F.col("b")) & (a["x0"] - snap <= b["x1"]) & (b["x0"] - snap <= a["x1"])
+        (F.col("a") < F.col("b")) & (a["x0"] - snap <= b["x1"]) & (b["x0"] - snap <= a["x1"])
         & (F.least(a["y0"], a["y1"]) - snap <= F.greatest(b["y0"], b["y1"]))
         & (F.least(b["y0"], b["y1"]) - snap <= F.greatest(a["y0"], a["y1"]))
-    ).select("a", "b").distinct()
+    ).select("a", "b")
 
     def turn(s, x, y):
         return (s["x1"] - s["x0"]) * (y - s["y0"]) - (s["y1"] - s["y0"]) * (x - s["x0"])
@@ -78,30 +79,30 @@ def split_segments(segments: DataFrame, cell: float = CELL, snap: float = 0.0, p
     if snap:
         for one, two in ((a, b), (b, a)):
             proper &= ~on(one, two["x0"], two["y0"]) & ~on(one, two["x1"], two["y1"])
-    # Both segments must get the same crossing point, so it is always computed from the
-    # lesser of the two.
-    first, second = F.least("a", "b"), F.greatest("a", "b")
-    f = {c: first[c] for c in SEGMENT}
-    s = {c: second[c] for c in SEGMENT}
-    d0, d1 = turn(s, f["x0"], f["y0"]), turn(s, f["x1"], f["y1"])
+    # both segments get the same crossing point, computed from the lesser one
+    d0, d1 = turn(b, a["x0"], a["y0"]), turn(b, a["x1"], a["y1"])
     t = d0 / (d0 - d1)
     crossing = F.struct(
-        (f["x0"] + t * (f["x1"] - f["x0"])).alias("x"), (f["y0"] + t * (f["y1"] - f["y0"])).alias("y")
-    )
-    found = F.array_compact(F.array(
-        F.when(proper, crossing),
-        F.when(on(a, b["x0"], b["y0"]), F.struct(b["x0"].alias("x"), b["y0"].alias("y"))),
-        F.when(on(a, b["x1"], b["y1"]), F.struct(b["x1"].alias("x"), b["y1"].alias("y"))),
-    ))
-    cuts = near.select("a", F.explode(found).alias("p"))
-    ends = segments.select(F.struct(*SEGMENT).alias("a")).select(
-        "a", F.explode(F.array(
-            F.struct(a["x0"].alias("x"), a["y0"].alias("y")), F.struct(a["x1"].alias("x"), a["y1"].alias("y"))
-        )).alias("p"),
+        (a["x0"] + t * (a["x1"] - a["x0"])).alias("x"), (a["y0"] + t * (a["y1"] - a["y0"])).alias("y")
     )
+
+    def end(s, i):
+        return F.struct(s[f"x{i}"].alias("x"), s[f"y{i}"].alias("y"))
+
+    def at(name, p):
+        return F.struct(F.col(name).alias("a"), p.alias("p"))
+
+    crossed = near.withColumn("cross", F.when(proper, crossing))
+    cuts = crossed.select(F.explode(F.array(
+        *[F.when(F.col("cross").isNotNull(), at(name, F.col("cross"))) for name in ("a", "b")],
+        *[F.when(on(one, two[f"x{i}"], two[f"y{i}"]), at(name, end(two, i)))
+          for name, one, two in (("a", a, b), ("b", b, a)) for i in (0, 1)],
+    )).alias("cut")).filter("cut IS NOT NULL").select("cut.a", "cut.p")
+    ends = segments.select(F.struct(*SEGMENT).alias("a")).select("a", F.explode(F.array(end(a, 0), end(a, 1))).alias("p"))
+    # a pair may meet in several cells, always at the same points, which then follow each other
     along = Window.partitionBy("a").orderBy("p")
-    pieces = cuts.unionByName(ends).distinct().select("a", "p", F.lead("p").over(along).alias("q"))
-    return pieces.filter(F.col("q").isNotNull()).select(
+    pieces = cuts.unionByName(ends).select("a", "p", F.lead("p").over(along).alias("q")).filter("p <> q")
+    return pieces.select(
         *([F.col("a").alias("parent")] if parents else []),
         F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1")
     ).distinct()
@@ -135,19 +136,23 @@ def ring_labels(links: DataFrame) -> DataFrame:
     After k rounds a row knows the least id of the 2^k half-edges from itself on and how far ahead it
     stands; ties keep the nearer one. One more round than the longest ring needs finds nothing new and ends it.
     """
+    spark = links.sparkSession
+    folder = scratch_folder(spark, "rings")
     state = cut_lineage(links.select(
         "id", F.col("next").alias("jump"), F.col("id").alias("label"), F.lit(0).cast("bigint").alias("steps"),
-    ), "rings")
+    ), "rings", folder)
     span = 1
     while True:
         ahead = state.select(
             F.col("id").alias("jump"), F.col("jump").alias("far"), F.col("label").alias("seen"), F.col("steps").alias("more"),
         )
         less = F.col("seen") < F.col("label")
+        before, folder = folder, scratch_folder(spark, "rings")
         moved = cut_lineage(state.join(ahead, "jump").select(
             "id", F.col("far").alias("jump"), F.least("label", "seen").alias("label"),
             F.when(less, F.col("more") + span).otherwise(F.col("steps")).alias("steps"), less.alias("changed"),
-        ), "rings")
+        ), "rings", folder)
+        drop_folder(spark, before)  # a round reads the one before it only
         span *= 2
         state = moved.drop("changed")
         if moved.filter("changed").isEmpty():
@@ -159,14 +164,19 @@ def faces(edges: DataFrame) -> DataFrame:
 
     A segment with the same ring on both sides bounds no face: it is part of a dead end,
     of a free line or of a bridge between parts. All such segments go at once, however
-    long their chains are, and the rings are traced anew.
+    long their chains are, and the rings that lost one are traced anew; a half-edge and its successor
+    are in one ring, so the other rings stay as they are.
     """
     labels = ring_labels(successors(edges))
     twin = labels.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("label").alias("twin_label"))
-    loose = cut_lineage(labels.join(twin, "id").filter("label = twin_label").select("id"), "loose")
+    loose = cut_lineage(labels.join(twin, "id").filter("label = twin_label").select("id", "label"), "loose")
     if not loose.isEmpty():
-        edges = cut_lineage(edges.join(loose, "id", "left_anti"), "edges")
-        labels = ring_labels(successors(edges))
+        cut = cut_lineage(labels.join(loose.select("label").distinct(), "label", "left_semi").join(loose, "id", "left_anti").select("id"), "cut")
+        # around a corner only edges of the broken rings find another successor, which may have to be looked for past any edge
+        stay = cut_lineage(edges.join(loose, "id", "left_anti"), "edges")
+        again = ring_labels(successors(stay).join(cut, "id", "left_semi"))
+        whole = labels.join(loose.select("label").distinct(), "label", "left_anti")
+        return _traced(stay, whole.select("id", "label", "steps").unionByName(again))
     return _traced(edges, labels)
 
 
@@ -203,7 +213,9 @@ def polygonize(lines: DataFrame, column: str = "geometry", snap: float = 0.0) ->
     ``snap`` is the distance at which a line's end meets another line (see
     :func:`split_segments`). This runs jobs when called.
     """
-    rings = cut_lineage(faces(half_edges(split_segments(line_segments(lines, column), snap=snap))), "faces")
+    folder = scratch_folder(lines.sparkSession, "faces")
+    with scratch_scope(lines.sparkSession):  # the tables on the way are not read again
+        rings = cut_lineage(faces(half_edges(split_segments(line_segments(lines, column), snap=snap))), "faces", folder)
     return with_holes(rings)
 
 
