@@ -60,6 +60,20 @@ def test_forgetting_changes_nothing(byte_bpe, library, monkeypatch):
         assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_memo_keeps_words_that_return(byte_bpe, library, monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 40)
+    with open(byte_bpe) as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    for i in range(12):
+        texts = [f"x the same words " + " ".join(f"rare{i}a{j}" for j in range(25)), f"alone{i}"]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.words.numbers) <= 40 + 28 and {"the", "same", "words"} <= encoder.words.numbers.keys()
+    # texts of one word fill the memo of first words
+    for i in range(30):
+        encoder.encode([f"first{i}of{j}" for j in range(10)])
+        assert len(encoder.starts.numbers) <= 40 + 10
+
+
 @pytest.mark.parametrize("kind", ["random", "period", "equal", "empty", "one"])
 def test_grammar_round_trip_and_random_access(kind):
     rng = np.random.default_rng(1)
