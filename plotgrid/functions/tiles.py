@@ -65,23 +65,61 @@ def tile_bounds(z: Column, x: Column, y: Column) -> Column:
     return g.box(x / n * 360.0 - 180.0, lat(y + 1), (x + 1) / n * 360.0 - 180.0, lat(y))
 
 
+def _to_tile(geometry: pa.Array, z: pa.Array, x: pa.Array, y: pa.Array, extent: int, buffer: int) -> pa.ListArray:
+    shapes = kernels.Shapes(geometry, projections.mercator_forward)
+    zoom, col, row = (a.to_numpy(zero_copy_only=False).astype(np.float64) for a in (z, x, y))
+    size = WORLD / 2.0**zoom
+    owner = shapes.point_geom
+    px = (shapes.x - (col * size - WORLD / 2)[owner]) / size[owner] * extent
+    py = ((WORLD / 2 - row * size)[owner] - shapes.y) / size[owner] * extent
+    # Halves go up (as floor(v + 1/2)), which both engines of the checks can repeat.
+    xy = np.floor(np.stack([px, py], axis=1) + 0.5)
+    return _cut_rings(shapes, xy, -float(buffer), float(extent + buffer))
+
+
 @per_application
 def _tile_space(extent: int, buffer: int):
     @F.arrow_udf(g.GEOMETRY)
     def to_tile(geometry: pa.Array, z: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        shapes = kernels.Shapes(geometry, projections.mercator_forward)
-        zoom, col, row = (a.to_numpy(zero_copy_only=False).astype(np.float64) for a in (z, x, y))
-        size = WORLD / 2.0**zoom
-        owner = shapes.point_geom
-        px = (shapes.x - (col * size - WORLD / 2)[owner]) / size[owner] * extent
-        py = ((WORLD / 2 - row * size)[owner] - shapes.y) / size[owner] * extent
-        # Halves go up (as floor(v + 1/2)), which both engines of the checks can repeat.
-        xy = np.floor(np.stack([px, py], axis=1) + 0.5)
-        return _cut_rings(shapes, xy, -float(buffer), float(extent + buffer))
+        return _to_tile(geometry, z, x, y, extent, buffer)
 
     return g._once(to_tile)
 
 
+@per_application
+def _tile_shape(extent: int, buffer: int):
+    @F.arrow_udf(f"struct<geometry:{g.GEOMETRY},area:double>")
+    def shape(
+        geometry: pa.Array, settled: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array,
+        z: pa.Array, x: pa.Array, y: pa.Array,
+    ) -> pa.Array:
+        met = settled.to_numpy(zero_copy_only=False).astype(bool)
+        asked = np.flatnonzero(~met)
+        if len(asked):
+            rows = pa.array(asked)
+            frames = kernels.boxes(*[v.take(rows).to_numpy(zero_copy_only=False) for v in (x0, y0, x1, y1)])
+            met[asked] = kernels.intersects(kernels.Shapes(geometry.take(rows)), kernels.Shapes(frames))
+        cut = _to_tile(geometry, z, x, y, extent, buffer)
+        if not met.all():
+            cut = cut.take(pa.array(np.arange(len(cut)), mask=~met))
+        shapes = kernels.Shapes(cut)
+        area = pa.array(kernels.measures(shapes)["area"], pa.float64(), mask=shapes.null)
+        return pa.StructArray.from_arrays([cut, area], names=["geometry", "area"])
+
+    return g._once(shape)
+
+
+def tile_shape(geometry: Column, bbox: Column, z: Column, x: Column, y: Column, extent: int = EXTENT, buffer: int = BUFFER) -> Column:
+    """struct(geometry, area): ``to_tile_space`` of a geometry that shares a point with the tile, and its area, in one pass.
+
+    Both are NULL for a geometry that does not meet the tile or leaves no area there. Its box must meet the tile's;
+    only those that reach over the tile's border are tested.
+    """
+    frame = tile_bounds(z, x, y)
+    sides = [frame[c] for c in ("xmin", "ymin", "xmax", "ymax")]
+    return _tile_shape(extent, buffer)(geometry, g.box_within(bbox, frame), *sides, z, x, y)
+
+
 def _cut_rings(shapes: kernels.Shapes, xy: np.ndarray, low: float, high: float) -> pa.ListArray:
     """Cut closed rings to the square [low, high] and drop those left without area."""
     outside = ((xy < low) | (xy > high)).any(axis=1)

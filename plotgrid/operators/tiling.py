@@ -40,6 +40,13 @@ def feature_tiles(df: DataFrame, zooms: list[int], id_column: str, wanted: DataF
     Tiles under the feature's box come from arithmetic (no join); the exact test runs only
     for features that reach over a tile border. With ``wanted`` (distinct z, x, y) other tiles fall away before it.
     """
+    placed = _under_boxes(df, zooms, id_column, wanted)
+    frame = tl.tile_bounds(*[F.col(c) for c in TILE])
+    return placed.filter(g.intersects_box(F.col("geometry"), F.col("bbox"), frame))
+
+
+def _under_boxes(df: DataFrame, zooms: list[int], id_column: str, wanted: DataFrame | None) -> DataFrame:
+    """One row per feature and tile below its box."""
     n = F.pow(F.lit(2.0), F.col("z"))
 
     def column(lon):
@@ -62,15 +69,21 @@ def feature_tiles(df: DataFrame, zooms: list[int], id_column: str, wanted: DataF
     )
     if wanted is not None:
         placed = placed.join(broadcast_if_small(wanted), TILE, "left_semi")
-    frame = tl.tile_bounds(*[F.col(c) for c in TILE])
-    return placed.filter(g.intersects_box(F.col("geometry"), F.col("bbox"), frame))
+    return placed
 
 
 def tile_geometries(df: DataFrame, zooms: list[int], id_column: str, wanted: DataFrame | None = None) -> DataFrame:
     """Long form of a tile set: z, x, y, feature_id, geometry in tile units."""
-    placed = feature_tiles(df, zooms, id_column, wanted)
-    cut = placed.withColumn("geometry", tl.to_tile_space(F.col("geometry"), *[F.col(c) for c in TILE]))
-    return cut.filter(F.col("geometry").isNotNull()).select(*TILE, "feature_id", "geometry")
+    return measured_geometries(df, zooms, id_column, wanted).drop("tile_area")
+
+
+def measured_geometries(df: DataFrame, zooms: list[int], id_column: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The same with ``tile_area``. Test, cut and area are one Arrow function, so a task keeps one Python worker."""
+    tile = [F.col(c) for c in TILE]
+    placed = _under_boxes(df, zooms, id_column, wanted)
+    near = placed.filter(g.boxes_overlap(F.col("bbox"), tl.tile_bounds(*tile)))
+    cut = near.withColumn("_cut", tl.tile_shape(F.col("geometry"), F.col("bbox"), *tile)).filter(F.col("_cut.geometry").isNotNull())
+    return cut.select(*TILE, "feature_id", "_cut.geometry", F.col("_cut.area").alias("tile_area"))
 
 
 def parse_tile_list(lists: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -132,7 +145,7 @@ def tile_pyramid(df: DataFrame, zooms: list[int], id_column: str, max_features:
     among the survivors of eight parts each time, so a low-zoom tile that holds everything is
     not ranked by one task.
     """
-    long = tile_geometries(df, zooms, id_column).withColumn("tile_area", g.area(F.col("geometry")))
+    long = measured_geometries(df, zooms, id_column)
     if max_features is None:
         return long.withColumn("dropped", F.lit(0).cast("bigint"))
     shape = F.xxhash64("feature_id", "geometry")

@@ -482,3 +482,16 @@ def test_merged_table_reads_no_source_again(spark, tmp_path):
     assert merged.inputFiles() and not any(str(tmp_path) in f for f in merged.inputFiles())
     keyed = [cf.with_cell(s) for s in sources]
     assert sorted(map(str, cf.Conflation(*keyed, keyed=True).merged().collect())) == sorted(map(str, merged.collect()))
+
+
+def test_tile_geometries_take_one_python_worker(spark):
+    b = spark.range(200).select(
+        F.col("id").alias("k"), g.rectangle(F.col("id") / 16.0, F.lit(10.0), F.col("id") / 16.0 + 0.3, F.lit(10.0) + F.col("id") / 50.0 + 0.1).alias("geometry")
+    ).withColumn("bbox", g.bounds(F.col("geometry")))
+    long = tiling.measured_geometries(b, [4, 9], "k")
+    assert long._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    # the same rows, shapes and areas as test, cut and area one after the other
+    tile = [F.col(c) for c in tiling.TILE]
+    steps = tiling.feature_tiles(b, [4, 9], "k").withColumn("geometry", tl.to_tile_space(F.col("geometry"), *tile))
+    steps = steps.filter(F.col("geometry").isNotNull()).select(*tiling.TILE, "feature_id", "geometry", g.area(F.col("geometry")).alias("tile_area"))
+    assert sorted(map(str, long.collect())) == sorted(map(str, steps.collect()))
