@@ -38,9 +38,11 @@ def previous_row(df: DataFrame, keys: list[str], ts: str, order: list[str], colu
     must start with ``ts`` (or follow it).
     """
     bucketed = df.withColumn("_bucket", F.floor(F.col(ts) / width))
-    tails = bucketed.groupBy(*keys, "_bucket").agg(
-        F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail")
-    )
+    if columns == order[:1]:  # a plain maximum is counted without sorting
+        tail = F.struct(F.max(columns[0]).alias(columns[0]))
+    else:
+        tail = F.max_by(F.struct(*columns), F.struct(*order))
+    tails = bucketed.groupBy(*keys, "_bucket").agg(tail.alias("_tail"))
     over_buckets = Window.partitionBy(*keys).orderBy("_bucket")
     handed = tails.select(*keys, "_bucket", F.lag("_tail").over(over_buckets).alias("_handed"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)

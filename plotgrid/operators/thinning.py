@@ -11,6 +11,7 @@ from plotgrid.functions import geometry as g
 from plotgrid.functions import tiles as tl
 from plotgrid.functions.curves import hilbert_key
 from plotgrid.operators.ranking import previous_row
+from plotgrid.operators.sizes import broadcast_if_small
 from plotgrid.operators.tiling import MAX_ZOOM, TILE, tile_counts
 from plotgrid.session import cut_lineage
 
@@ -26,15 +27,19 @@ PARTED_UNITS = 8.0
 TYPICAL = 0.5
 
 
-def with_gaps(long: DataFrame) -> DataFrame:
-    """Append ``place``, a feature's position along the tile's Hilbert curve, and ``gap`` to the feature before it.
+def with_places(long: DataFrame) -> DataFrame:
+    """Append ``place``, a feature's position along the tile's Hilbert curve, and ``_shape``, which orders equal ids."""
+    b = g.bounds(F.col("geometry"))
+    middle = [(F.floor((b[low] + b[high]) / 2) + tl.BUFFER).cast("bigint") for low, high in (("xmin", "xmax"), ("ymin", "ymax"))]
+    return long.withColumn("place", hilbert_key(*middle, TILE_BITS)).withColumn("_shape", F.xxhash64("feature_id", "geometry"))
+
+
+def with_gaps(placed: DataFrame) -> DataFrame:
+    """Append ``gap`` to the feature before along the curve to rows of :func:`with_places`, and leave out ``_shape``.
 
     The first feature of a tile has no gap (NULL). Equal places are ordered by id, then by shape. Stretches of the curve are
     ordered apart and hand their last place on, so a tile that holds everything is not ordered by one task.
     """
-    b = g.bounds(F.col("geometry"))
-    middle = [(F.floor((b[low] + b[high]) / 2) + tl.BUFFER).cast("bigint") for low, high in (("xmin", "xmax"), ("ymin", "ymax"))]
-    placed = long.withColumn("place", hilbert_key(*middle, TILE_BITS)).withColumn("_shape", F.xxhash64("feature_id", "geometry"))
     order = ["place", "feature_id", "_shape"]
     lagged = previous_row(placed, TILE, "place", order, ["place"], STRETCH)
     return lagged.withColumn("gap", F.col("place") - F.col("prev_place")).drop("prev_place", "_shape")
@@ -76,17 +81,20 @@ def drop_densest(long: DataFrame, max_features: int) -> DataFrame:
     ``long`` is z, x, y, feature_id, geometry in tile units. A feature's gap along the tile's Hilbert curve tells how dense
     its place is; a tile over the limit keeps the features whose gap reaches its least gap, and its first one. Features of equal
     gap stay or go together, so a tile may keep fewer than it might. Appends ``place``, ``gap`` and ``dropped``, how
-    many the tile lost. Runs jobs when called.
+    many the tile lost. Shapes are written once where they are and fetched for the features that stay; only places and row
+    numbers are shuffled for the gaps. Runs jobs when called.
     """
     if max_features < 1:
         raise ValueError("a tile keeps at least one feature")
-    gaps = cut_lineage(with_gaps(long), "gaps")
+    placed = cut_lineage(with_places(long).withColumn("_row", F.monotonically_increasing_id()), "places")
+    gaps = cut_lineage(with_gaps(placed.select(*TILE, "feature_id", "place", "_shape", "_row")), "gaps")
     least = gap_thresholds(gaps, max_features)
     flagged = gaps.join(least, TILE, "left").withColumn(
         "stays", F.col("least_gap").isNull() | F.col("gap").isNull() | (F.col("gap") >= F.col("least_gap"))
     )
     lost = flagged.groupBy(*TILE).agg(F.count_if(~F.col("stays")).alias("dropped"))
-    return flagged.filter("stays").drop("stays", "least_gap").join(lost, TILE)
+    stay = flagged.filter("stays").select(*TILE, "_row", "gap").join(lost, TILE).drop(*TILE)
+    return placed.drop("_shape").join(broadcast_if_small(stay), "_row").select(*long.columns, "place", "gap", "dropped")
 
 
 def world_position(bbox: Column) -> tuple[Column, Column]:

@@ -109,3 +109,33 @@ def test_copies_of_one_spot_do_not_count(spark):
     many = lattice(spark, 9, 16)
     row = thinning.choose_zoom(many.union(many).union(many), "id").first()
     assert row.neighbours == 255
+
+
+def test_gaps_shuffle_no_shapes(spark):
+    rows = [(5, 1, 1, i, 37 * i % 4000, 91 * i % 4000) for i in range(300)]
+    written = []
+    keep = thinning.cut_lineage
+
+    def watched(df, name):
+        written.append((name, df._jdf.queryExecution().optimizedPlan().toString(), df.columns))
+        return keep(df, name)
+
+    thinning.cut_lineage = watched
+    try:
+        got = thinning.drop_densest(squares(spark, rows), 20)
+    finally:
+        thinning.cut_lineage = keep
+    assert got.columns == ["z", "x", "y", "feature_id", "geometry", "place", "gap", "dropped"]
+    assert [name for name, _, _ in written] == ["places", "gaps"]
+    assert "geometry" not in written[1][2] and "Aggregate" not in written[0][1] and "max_by" not in written[1][1]
+    # a row that stays has its own shape
+    for r in got.collect():
+        px, py = 37 * r.feature_id % 4000, 91 * r.feature_id % 4000
+        assert tuple(r.geometry[0][0][0]) == (px - 1.0, py - 1.0)
+
+
+def test_copies_of_a_row_stay_single(spark):
+    rows = [(5, 1, 1, 70, 100, 100)] * 3 + [(5, 1, 1, i, 1000 + 300 * i, 900) for i in range(8)]
+    got = thinning.drop_densest(squares(spark, rows), 40).collect()
+    assert len(got) == 11 and sorted(r.feature_id for r in got).count(70) == 3
+    assert sorted(r.gap for r in got if r.feature_id == 70 and r.gap is not None)[:2] == [0, 0]
