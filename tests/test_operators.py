@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
 from plotgrid.functions import kernels
+from plotgrid.functions import tiles as tl
 from plotgrid.functions import wkb
 from plotgrid.functions.geohash import geohash
 from plotgrid.functions.hashing import uniform
@@ -495,3 +496,35 @@ def test_tile_geometries_take_one_python_worker(spark):
     steps = tiling.feature_tiles(b, [4, 9], "k").withColumn("geometry", tl.to_tile_space(F.col("geometry"), *tile))
     steps = steps.filter(F.col("geometry").isNotNull()).select(*tiling.TILE, "feature_id", "geometry", g.area(F.col("geometry")).alias("tile_area"))
     assert sorted(map(str, long.collect())) == sorted(map(str, steps.collect()))
+
+
+def test_keys_and_cells_go_to_python_once(spark):
+    b = spark.range(50).select(
+        g.rectangle(F.col("id") / 16.0, F.lit(60.0), F.col("id") / 16.0 + 0.01, F.lit(60.0) + F.col("id") / 999.0 + 0.01).alias("geometry")
+    )
+    both = ds.with_key_and_cell(b)
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    apart = cf.with_cell(ds.with_partition_key(b))
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_large_shapes_move_only_cells_that_hold_one(spark):
+    def source(rows):
+        df = spark.createDataFrame(rows, "external_id string, x double, y double, w double")
+        x, y, w = F.col("x"), F.col("y"), F.col("w")
+        boxed = df.withColumns({"geometry": g.rectangle(x, y, x + w, y + w), "bbox": g.box(x, y, x + w, y + w)})
+        return cf.with_cell(boxed.drop("x", "y", "w"))
+
+    small = [("a", 10.0041, 60.0041, 0.0002), ("b", 10.0141, 60.0041, 0.0002)]
+    assert cf._large_pairs(source(small), source(small), cf.CELL) is None
+    big = ("c", 10.0001, 60.0001, 0.0098)
+    for one, other, expected in (
+        ([*small, big], small, {("c", "a")}), (small, [*small, big], {("a", "c")}),
+        ([*small, big], [*small, big], {("c", "a"), ("a", "c"), ("c", "c")}),
+    ):
+        f, o = source(one), source(other)
+        key = {tuple(r) for r in cf._large_pairs(f, o, cf.CELL).select("f_h1", "o_h1").collect()}
+        name = {r.h1: r.external_id for r in [*f.collect(), *o.collect()]}
+        assert {(name[a], name[b]) for a, b in key} == expected
+        found = cf.candidate_shapes(f, o, cf.CELL).select("f_h1", "o_h1").collect()
+        assert sorted((name[a], name[b]) for a, b in found) == sorted(expected | {("a", "a"), ("b", "b")})
