@@ -50,6 +50,42 @@ def test_marks_and_control_characters(byte_bpe, library):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_breaks_and_marks(byte_bpe, library):
+    """A newline is cut off only where the library begins a piece at it, marks only behind letters."""
+    breaks = ["\n", "\n\n", "\n\n\n", " \n", "\n ", "\t\n", "\n\t", "\n\t\n", "\r\n", "\x85\n", "\u3000\n "]
+    words = ["Word", "é", "end.", "it's", "x'", "a?!", "b)];", "''", "...", "12.", "c'll.", "ж!", "d\\", "e`~", "f-g-"]
+    texts = [a + x + b + x + a for x in breaks for a in words for b in words] + breaks + [x + "end" for x in breaks] + ["end" + x for x in breaks]
+    with open(byte_bpe) as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    for _ in range(2):  # learned, then known
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_known_words_go_to_the_library_once(byte_bpe, library):
+    """Words known behind a space, words known behind a newline and marks may meet anew without the library."""
+    with open(byte_bpe) as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    encoder.encode(["Some words?! behind spaces\nOther... begin lines\nOf texts).\n\nOver"])
+
+    def called(words):
+        raise AssertionError(words)
+
+    encoder._learn = encoder._library = called
+    for text in ["Other words...\nOver spaces?!\n\nOf words\nSome behind).", "Of begin?!\nOver", "Over... lines).\n\nOther"]:
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_first_words_are_forgotten_too(byte_bpe, library, monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 40)
+    with open(byte_bpe) as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    for i in range(30):
+        texts = [f"first{i}of{j}\nline{i}of{j}..." for j in range(10)] + [f"\tuneven{i}of{j}" for j in range(10)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.words.numbers) <= 40 + 20 and len(encoder.starts.numbers) <= 40 + 10
+
+
 def test_forgetting_changes_nothing(byte_bpe, library, monkeypatch):
     monkeypatch.setattr(token_files, "MEMO_WORDS", 5)
     monkeypatch.setattr(token_files, "GATHER_PARTS", 3)
@@ -94,6 +130,16 @@ def test_grammar_round_trip_and_random_access(kind):
     assert not (rules[:, 0] == token_files.END_ID).any() if len(rules) else True
 
 
+def test_pairs_that_do_not_fit_one_number():
+    rng = np.random.default_rng(2)
+    left, right = rng.integers(0, 5, (2, 1000))
+    places = np.arange(1000)
+    packed = token_files._in_order(left, right, places, 3)
+    wide = token_files._in_order(left, right, places, 30)
+    assert (packed[1] == wide[1]).all() and (packed[1] == np.lexsort((places, right, left))).all()
+    assert (packed[0] == np.sort(left << 3 | right)).all() and (wide[0] == np.sort(left << 30 | right)).all()
+
+
 def test_odd_rows_and_small_shards(spark, odd, empty, byte_bpe, library):
     path = scratch_folder(spark, "token-test")
     token_files.write_token_files(odd, byte_bpe, path, shard_tokens=50)
