@@ -66,13 +66,13 @@ def test_known_words_go_to_the_library_once(byte_bpe, library):
     """Words known behind a space, words known behind a newline and marks may meet anew without the library."""
     with open(byte_bpe) as f:
         encoder = token_files.LibraryEncoder(f.read())
-    encoder.encode(["Some words?! behind spaces\nOther... begin lines\nOf texts).\n\nOver"])
+    encoder.encode(["Some words?! behind spaces\nOther... begin lines\nOf texts).\n\nOver", "Blank\n\n\nlines"])
 
     def called(words):
         raise AssertionError(words)
 
     encoder._learn = encoder._library = called
-    for text in ["Other words...\nOver spaces?!\n\nOf words\nSome behind).", "Of begin?!\nOver", "Over... lines).\n\nOther"]:
+    for text in ["Other words...\nOver spaces?!\n\nOf words\nSome behind).", "Of begin?!\nOver", "Over... lines).\n\nOther", "Of words\n\n\nSome\nBlank"]:
         assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
