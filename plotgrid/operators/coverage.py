@@ -3,18 +3,18 @@
 All outlines are cut where they meet. A piece belongs to the outline of the union where one
 side of it is covered and the other is not: areas with this piece in their own outline lie on
 one side only, and no other area holds the piece inside. These pieces, directed with the
-covered side on the left, are traced to rings by joins like any linework; no group of touching
+covered side on the left, are traced to rings like any linework; no group of touching
 areas is gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotgrid.functions import geometry as g
 from plotgrid.operators.points import containing_pairs
-from plotgrid.operators.polygonize import SEGMENT, ring_table, signed_twice_area, split_segments, with_holes
+from plotgrid.operators.polygonize import SEGMENT, cut_pieces, dealt_ways, signed_twice_area, trace_rings, way_at, with_holes
 from plotgrid.session import cut_lineage, scratch_folder, scratch_scope
 
 
@@ -38,39 +38,31 @@ def directed_segments(shapes: DataFrame) -> DataFrame:
 
 
 def outline_pieces(shapes: DataFrame, cell: float) -> DataFrame:
-    """``ux, uy, vx, vy``: pieces with the union on their left only. ``shapes`` has shape, geometry, bbox."""
-    sides = cut_lineage(directed_segments(shapes), "sides")
-    cut = split_segments(sides.select(*SEGMENT).distinct(), cell, parents=True)
-    parent = F.struct(*SEGMENT)
-    owners = cut_lineage(
-        cut.join(sides.select(parent.alias("parent"), "shape", "forward"), "parent").select(*SEGMENT, "shape", "forward"), "owners"
+    """``id, ux, uy, vx, vy``: pieces with the union on their left only. ``shapes`` has shape, geometry, bbox."""
+    side = F.col("forward").cast("bigint")
+    pieces = cut_pieces(directed_segments(shapes).select(*SEGMENT, (F.col("shape") * 2 + side).alias("tag")), cell)
+    first = F.col("tags")[0].bitwiseAND(1)
+    one_sided = pieces.withColumn("side", first).filter(
+        (F.size("tags") == 1) | ~F.exists("tags", lambda tag: tag.bitwiseAND(1) != F.col("side"))
+    )
+    middles = one_sided.select(
+        "id", "side", "tags", ((F.col("x0") + F.col("x1")) / 2).alias("lon"), ((F.col("y0") + F.col("y1")) / 2).alias("lat")
     )
-    one_sided = owners.groupBy(*SEGMENT).agg(F.bool_and("forward").alias("all"), F.bool_or("forward").alias("any")).filter("all = any")
-    middles = one_sided.withColumns({"lon": (F.col("x0") + F.col("x1")) / 2, "lat": (F.col("y0") + F.col("y1")) / 2})
-    inside = containing_pairs(shapes, middles.select(*SEGMENT, "lon", "lat")).select(*SEGMENT, "shape")
     # a cut point may be rounded to the inner side of an area that it lies on, so owners do not count
-    covered = inside.join(owners, [*SEGMENT, "shape"], "left_anti").select(*SEGMENT).distinct()
-    kept = one_sided.join(covered, SEGMENT, "left_anti")
+    inside = containing_pairs(shapes, middles).filter(~F.array_contains("tags", F.col("shape") * 2 + F.col("side")))
+    kept = one_sided.join(inside.select("id"), "id", "left_anti")
     there, back = ("x0", "y0", "x1", "y1"), ("x1", "y1", "x0", "y0")
-    return kept.select(*[
-        F.when(F.col("all"), F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in zip(there, back, ("ux", "uy", "vx", "vy"))
+    return kept.select("id", *[
+        F.when(F.col("side") == 1, F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in zip(there, back, ("ux", "uy", "vx", "vy"))
     ])
 
 
-def _next_around(edges: DataFrame) -> DataFrame:
-    """``id, next``: the outline goes on with the first edge clockwise of the way back, so areas
+def outline_ways(edges: DataFrame, cell: float) -> DataFrame:
+    """The outline goes on with the first edge clockwise of the way back, so areas
     that touch in a corner stay apart."""
-    def at(x, y, other_x, other_y, out):
-        turn = F.atan2(F.col(other_y) - F.col(y), F.col(other_x) - F.col(x))
-        return edges.select(F.col(x).alias("x"), F.col(y).alias("y"), turn.alias("turn"), "id", F.lit(out).alias("out"))
-
-    ways = at("ux", "uy", "vx", "vy", True).unionByName(at("vx", "vy", "ux", "uy", False))
-    around = Window.partitionBy("x", "y").orderBy("turn", "id")
-    before = around.rowsBetween(Window.unboundedPreceding, -1)
-    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    outgoing = F.when(F.col("out"), F.col("id"))
-    follow = F.coalesce(F.last(outgoing, ignorenulls=True).over(before), F.last(outgoing, ignorenulls=True).over(whole))
-    return ways.withColumn("next", follow).filter("NOT out").select("id", "next")
+    none = F.lit(-1)
+    ends = [way_at("ux", "uy", "vx", "vy", none, F.col("id")), way_at("vx", "vy", "ux", "uy", F.col("id"), none)]
+    return dealt_ways(edges.select(F.explode(F.array(*ends)).alias("way")), cell)
 
 
 def union_areas(areas: DataFrame, cell: float = 1 / 1024) -> DataFrame:
@@ -89,7 +81,5 @@ def union_areas(areas: DataFrame, cell: float = 1 / 1024) -> DataFrame:
         shapes = cut_lineage(distinct.select(
             F.monotonically_increasing_id().alias("shape"), "geometry", g.bounds(F.col("geometry")).alias("bbox")
         ), "areas")
-        pieces = outline_pieces(shapes, cell).withColumn("id", F.monotonically_increasing_id())
-        edges = cut_lineage(pieces, "outline")
-        rings = cut_lineage(ring_table(edges, _next_around(edges)), "outline-rings", folder)
+        rings = trace_rings(outline_ways(outline_pieces(shapes, cell), cell), folder, twins=False)
     return with_holes(rings)

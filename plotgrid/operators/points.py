@@ -52,9 +52,10 @@ def _containing(buildings: DataFrame, positions: DataFrame, levels: DataFrame |
     placed = point_cells(positions)
     if levels is not None:
         placed = placed.join(F.broadcast(levels), "level", "left_semi")
+    # what lies strictly inside a shape lies strictly inside its box
     near = covered_cells(buildings).join(placed, keys).filter(
-        F.col("lon").between(F.col("bbox.xmin"), F.col("bbox.xmax"))
-        & F.col("lat").between(F.col("bbox.ymin"), F.col("bbox.ymax"))
+        (F.col("lon") > F.col("bbox.xmin")) & (F.col("lon") < F.col("bbox.xmax"))
+        & (F.col("lat") > F.col("bbox.ymin")) & (F.col("lat") < F.col("bbox.ymax"))
     )
     return near.filter(g.contains(F.col("geometry"), F.col("lon"), F.col("lat"))).drop(*keys)
 
@@ -85,7 +86,7 @@ def point_in_polygon_counts(points: DataFrame, buildings: DataFrame) -> DataFram
 
 def containing_pairs(polygons: DataFrame, points: DataFrame) -> DataFrame:
     """Every polygon row beside every point row strictly inside it (columns of both)."""
-    return _containing(polygons, points)
+    return _containing(polygons, points, occurring_levels(polygons))
 
 
 def containing_polygons(polygons: DataFrame, points: DataFrame) -> DataFrame:

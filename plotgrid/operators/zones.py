@@ -66,22 +66,23 @@ def zone_edges(zones: DataFrame, key: str) -> DataFrame:
     return edges.select(key, "edge", "edge.*")
 
 
-def edge_cells(edges: DataFrame, size: Column) -> DataFrame:
-    """Append ``row, column`` of every grid cell a segment (x0, y0, x1, y1) touches.
+def edge_cells(edges: DataFrame, size: Column, reach: float = 0.0) -> DataFrame:
+    """Append ``row, column`` of every grid cell a segment (x0, y0, x1, y1) touches, or comes as near as ``reach`` along both axes.
 
     The walk goes row by row and takes only the columns passed inside each row, so a long
     slanted segment lists the cells along it and not those of its whole box.
     """
     low_y, high_y = F.least("y0", "y1"), F.greatest("y0", "y1")
     low_x, high_x = F.least("x0", "x1"), F.greatest("x0", "x1")
-    rows = edges.withColumn("row", F.explode(F.sequence(F.ceil(low_y / size) - 1, F.floor(high_y / size))))
+    rows = edges.withColumn("row", F.explode(F.sequence(F.ceil((low_y - reach) / size) - 1, F.floor((high_y + reach) / size))))
     slack = size * 1e-9
     slope = (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    at_floor = F.col("x0") + slope * (F.greatest(F.col("row") * size, low_y) - F.col("y0"))
-    at_roof = F.col("x0") + slope * (F.least((F.col("row") + 1) * size, high_y) - F.col("y0"))
+    floor_y = F.least(F.greatest(F.col("row") * size - reach, low_y), high_y)
+    roof_y = F.greatest(F.least((F.col("row") + 1) * size + reach, high_y), low_y)
+    at_floor, at_roof = (F.col("x0") + slope * (y - F.col("y0")) for y in (floor_y, roof_y))
     flat = F.col("y0") == F.col("y1")
-    left = F.when(flat, low_x).otherwise(F.greatest(low_x, F.least(at_floor, at_roof) - slack))
-    right = F.when(flat, high_x).otherwise(F.least(high_x, F.greatest(at_floor, at_roof) + slack))
+    left = F.when(flat, low_x).otherwise(F.greatest(low_x, F.least(at_floor, at_roof) - slack)) - reach
+    right = F.when(flat, high_x).otherwise(F.least(high_x, F.greatest(at_floor, at_roof) + slack)) + reach
     return rows.withColumns({"_left": left, "_right": right}).withColumn("column", F.explode(
         F.sequence(F.ceil(F.col("_left") / size) - 1, F.floor(F.col("_right") / size))
     )).drop("_left", "_right")
